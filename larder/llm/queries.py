@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe_round_trip
+from .hnsw import op10_nearest_vectors
 from .langid import op9_language_id
+from .line_dedup import op2_line_dedup
 from .mixing import OP7_SQL, op7_mix_sources
+from .near_dup import op4_near_duplicates
+from .token_store import op3_token_shards
 from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op7_mix_sources, op8_toxicity, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_line_dedup, op3_token_shards, op4_near_duplicates, op7_mix_sources, op8_toxicity, op9_language_id, op10_nearest_vectors)}
 SQL = {"op7_mix_sources": OP7_SQL}
