@@ -5,25 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, common, langid
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-MIN_SCORE = 0.0  # language ID rejects `und` alone: doubt about a language is no fault of a clean document
+from larder.llm import bpe, common, langid, line_dedup, mixing, near_dup
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what has a language; rejects texts that are null or without a letter."""
-    found = langid.predict(docs, langid.train(docs), keep=docs.columns + ["text"] * ("text" not in docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """Texts without a language (null, or without a letter) go. Doubt between languages is no fault of a text: no score is too low."""
+    found = langid.predict(docs.withColumn("_lang", F.col("lang")), langid.train(docs), keep=docs.columns)
+    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are like an earlier one go; every document stays. n_chars is that of what is left."""
+    out = line_dedup.without_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of the smallest id; rows without an id stay, as they link with nothing."""
+    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes: none, one or two."""
+    taken = mixing.mix(docs).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    out = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).where("t.copies > 0")
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("t.copies").cast("int")))).select("d.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, common.vocabulary("word_bpe_49k.json")).drop("decoded")
+    """The documents as token ids, with their number."""
+    return bpe.encode_documents(docs, common.vocabulary("word_bpe_49k.json")).withColumn("n_tokens", F.size("ids").cast("long")).drop("decoded", "text")
 
 
-STAGES = [("language ID", languages), ("BPE", encode)]
+STAGES = [("language ID", languages), ("line dedup", lines), ("MinHash near-dedup", near_duplicates), ("mix", mix), ("BPE", encode)]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # trained and iterated stages: each is tested against a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
