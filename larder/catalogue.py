@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from larder.operators import prices, relational, stock
+from larder.plans import shopping
+
+QUERIES = prices.QUERIES | stock.QUERIES | shopping.QUERIES | relational.QUERIES
+SQL = prices.SQL | stock.SQL | shopping.SQL | relational.SQL
