@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .common import byte_column, read, vocabulary
 
@@ -230,7 +231,7 @@ def encoder(path: str) -> WordBpe:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs with `ids` (array<int>) and `decoded` (string) more, replacing columns of these names."""
     base = docs.drop("ids", "decoded")
-    schema = base.schema.add("ids", "array<int>").add("decoded", "string")
+    schema = base.schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
