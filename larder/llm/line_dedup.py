@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from .common import byte_column, hashes, lower_words, mix, parts, read, shingle_
 SIZE = 5  # words of a shingle; lines with fewer words are too short to be told apart and stay
 SKETCH = 1 << 20  # counters of shingle frequencies: fixed, so what is broadcast does not grow
 BLOCKS = 16
+FEW = 8  # lines of a shingle that are all held against each other, and pivots of commoner shingles
 TOP, OF = 3, 4  # similarity 3/4
 
 
@@ -183,37 +184,38 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(asked, "doc_id").select("text", "asked").mapInArrow(run, "fp long, s binary").dropDuplicates(["fp"])
 
 
-def later_matches(members: DataFrame, sets_of: callable) -> DataFrame | None:
-    """fp of the sets that have an earlier similar one, from members (g, fp, n, i, o): o is the set's first line, as a struct that sorts by place.
+def later_matches(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """fp of the sets that have an earlier similar one, from members (g, k, fp, n, i, o): k sets share the shingle g, o is the set's first line, as a struct that sorts by place.
 
-    As with documents, no shingle gives all pairs of its lines: in each round the earliest line of each hash
-    slice is a pivot, and lines without an earlier match so far are held against the earlier pivots that pass
-    the length and position filters. A shingle is done when no open line is left, or when all but one of its
-    lines have been pivots. Slices grow eightfold; nothing is left out.
+    As with documents, no shingle gives all pairs of its lines. First its pivots are held against later
+    members that pass the length and position filters: all of a shingle of up to FEW sets, else the earliest
+    of each of FEW hash slices. Copies of one line have found their match then. What has none yet, in a
+    larger shingle, is held against all earlier members, once: nothing is left out.
     """
-    slices, found, tested, sets = 1, None, None, None
-    while True:
-        own = members if found is None else members.join(found.withColumn("hit", F.lit(True)), "fp", "left")
-        own = own if found is not None else own.withColumn("hit", F.lit(None).cast("boolean"))
-        cut = written(members.groupBy("g", F.pmod(F.xxhash64("fp", F.lit(slices)), F.lit(slices)).alias("slice")).agg(F.min(F.struct("o", "fp", "n", "i")).alias("p"), F.count(F.lit(1)).alias("k")), "pivots")
-        overlap = F.ceil(F.lit(TOP) * (F.col("n") + F.col("p.n")) / F.lit(TOP + OF))
-        fits = (OF * F.least("n", "p.n") >= TOP * F.greatest("n", "p.n")) & (1 + F.least(F.col("n") - F.col("i"), F.col("p.n") - F.col("p.i")) - 1 >= overlap)
-        pairs = own.where("hit IS NULL").join(cut.select("g", "p"), "g").where((F.col("p.o") < F.col("o")) & fits).select(F.col("fp").alias("x"), F.col("p.fp").alias("y")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = written(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("x", "y")).alias("fp")).distinct()
-        more = written(sets_of(ids if sets is None else ids.join(sets.select("fp"), "fp", "left_anti")), "sets")
-        sets = more if sets is None else sets.unionByName(more)
-        hits = confirmed(pairs, sets).select(F.col("x").alias("fp")).distinct()
-        found = written(hits if found is None else hits.unionByName(found).distinct(), "hits")
-        left = cut.groupBy("g").agg((F.sum("k") - F.count(F.lit(1))).alias("rest")).where("rest > 1").select("g")
-        open_ = members.join(found, "fp", "left_anti").join(left, "g", "left_semi").select("g").distinct()
-        members = written(members.join(open_, "g", "left_semi"), "open")
-        if not members.take(1):
-            return found
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        slices *= 8
+        sets = written(sets_of(pairs.select(F.explode(F.array("x", "y")).alias("fp")).distinct()), "sets")
+        return pairs, written(confirmed(pairs, sets).select(F.col("x").alias("fp")).distinct(), "hits")
+
+    def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        p = earlier.select("g", F.col("fp").alias("y"), F.col("o").alias("py"), F.col("n").alias("pn"), F.col("i").alias("pi"))
+        overlap = F.ceil(F.lit(TOP) * (F.col("n") + F.col("pn")) / F.lit(TOP + OF))
+        fits = (OF * F.least("n", "pn") >= TOP * F.greatest("n", "pn")) & (F.least(F.col("n") - F.col("i"), F.col("pn") - F.col("pi")) >= overlap)
+        return later.join(p, "g").where((F.col("py") < F.col("o")) & fits).select(F.col("fp").alias("x"), "y").distinct()
+
+    slice_ = F.when(F.col("k") <= FEW, F.col("fp")).otherwise(F.pmod(F.xxhash64("fp"), F.lit(FEW)))
+    pivots = members.groupBy("g", slice_.alias("slice")).agg(F.min(F.struct("o", "fp", "n", "i")).alias("p")).select("g", "p.*")
+    pairs, found = verified(candidates(members, pivots))
+    large = members.where(F.col("k") > FEW)
+    rest = large.join(found, "fp", "left_anti")
+    # the earliest of a shingle has nothing before it
+    first = large.groupBy("g").agg(F.min("o").alias("least"))
+    rest = written(rest.join(first, "g").where("o > least").drop("least"), "open")
+    if not rest.take(1):
+        return found
+    new = verified(candidates(rest, large).join(pairs, ["x", "y"], "left_anti"))[1]
+    return found.unionByName(new).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -228,7 +230,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     first = written(every.groupBy("fp").agg(F.min(F.struct("doc_id", "line")).alias("o")), "first")
     rows = prefixes(docs, frequencies(docs)).repartition(parts(docs.sparkSession), "g").sortWithinPartitions("g", "fp")
     members = shared_only(rows).select("g", "fp", F.shiftright("ni", 32).alias("n"), F.col("ni").bitwiseAND(2**32 - 1).alias("i"))
-    members = written(members.join(first, "fp"), "members")
+    shared = members.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    members = written(members.join(shared, "g").join(first, "fp"), "members")
     found = later_matches(members, lambda ids: line_sets(docs, first.join(ids, "fp", "left_semi").select(F.col("o.doc_id").alias("doc_id"), F.col("o.line").alias("line"), "fp")))
     out = every.join(first, "fp").join(found.withColumn("hit", F.lit(True)), "fp", "left")
     return out.where(F.col("hit") | (F.struct("doc_id", "line") > F.col("o"))).select("doc_id", "line").distinct()

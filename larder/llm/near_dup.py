@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_column, mix, read, shingles, written
@@ -14,6 +14,7 @@ from .graph import components
 
 SLOTS = 128
 BAND = 4  # slots of a band: a pair at 0.75 shares one of 32 bands but in 5 of a million cases
+FEW = 8  # ids of a band that are all held against each other, and pivots of larger bands
 CHUNK = 1 << 17  # elements whose permutations are held at once
 
 
@@ -54,8 +55,15 @@ def band_keys(sign: np.ndarray, band: int = BAND) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def sketch(sign: np.ndarray) -> np.ndarray:
+    """Two bits of each of the 128 slots, as four longs."""
+    h = mix(sign)
+    bits = np.stack([(h >> np.uint64(1)) & np.uint64(1), (h >> np.uint64(2)) & np.uint64(1)], 2).reshape(len(sign), 4, 64)
+    return (bits << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, fp1 and fp2 (128 bits that name the set), bands."""
+    """doc_id, th (hash of the text), n_shingles, fp1 and fp2 (128 bits that name the set), bands, s (256 bits of the signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -64,15 +72,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets = [shingles(t) for t in byte_column(batch, "text")]
                 size = np.array([len(s) for s in sets], np.int64)
                 flat, owner = np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.repeat(np.arange(len(sets)), size)
-                keys = band_keys(superminhash(flat, owner, len(sets)))
+                sign = superminhash(flat, owner, len(sets))
                 fp = []
                 for salt in (0, 0xA24BAED4963EE407):
                     acc = np.concatenate([[np.uint64(0)], np.cumsum(mix(flat ^ np.uint64(salt)))])
                     end = np.cumsum(size)
                     fp.append(pa.array((acc[end] - acc[end - size]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array(size), *fp, pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "th", "n_shingles", "fp1", "fp2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array(size), *fp, pa.array(list(band_keys(sign)), pa.list_(pa.int64())), pa.array(list(sketch(sign)), pa.list_(pa.int64()))], names=["doc_id", "th", "n_shingles", "fp1", "fp2", "bands", "s"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, fp1 long, fp2 long, bands array<long>, s array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -97,35 +105,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def link_classes(members: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """(id, component) of the ids that are linked, from members (g, id): ids that share a band are candidates.
+def alike(x: str, y: str) -> Column:
+    """Whether two ids can be linked at all: by their sizes, and by two bits of each slot of their signatures.
+
+    At a similarity of 0.75 the 256 bits differ in 32 places, with a deviation of 6.3; a pair that differs in
+    over 64 is passed over, which a linked pair does once in some million cases (as the bands do).
+    """
+    differ = sum(F.bit_count(F.col(f"{x}s")[k].bitwiseXOR(F.col(f"{y}s")[k])) for k in range(4))
+    return (differ <= 64) & (100 * F.least(f"{x}n", f"{y}n") >= 75 * F.greatest(f"{x}n", f"{y}n"))
+
+
+def link_classes(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, component) of the ids that are linked, from members (g, k, id, s, n): ids that share a band g, of k ids, are candidates.
 
-    No band gives all its pairs. In each round a band is cut into slices by a hash of the id, the smallest id
-    of each slice is a pivot, and members are held against the pivots that are not of their component yet. A
-    band is done when all its members are of one component, or when all but one have been pivots. Slices grow
-    eightfold from one, so a band of copies of one text takes one round and as many pairs as it has members,
-    and a band of strangers ends after each has met each. Nothing is left out at any size.
+    No band gives all its pairs. First a band's pivots are held against its members: all of a band of up to
+    FEW ids, else the smallest id of each of FEW hash slices. A band of copies of one text is one component
+    then. Where a large band is not, the ids outside its largest component are held against all members of
+    other components, once: so every pair in a band is compared or joined already, at any size.
     """
-    slices, links, component, tested = 1, None, None, None
-    while True:
-        own = members if component is None else members.join(component, "id", "left")
-        own = own.withColumn("c", F.coalesce("component", "id") if component is not None else F.col("id"))
-        cut = own.groupBy("g", F.pmod(F.xxhash64("id", F.lit(slices)), F.lit(slices)).alias("slice")).agg(F.min(F.struct("id", "c")).alias("p"), F.count(F.lit(1)).alias("n"))
-        cut = written(cut, "pivots")
-        pairs = own.join(cut.select("g", "p"), "g").where("id <> p.id AND c <> p.c").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = written(confirmed(pairs, texts), "links")
-        links = new if links is None else links.unionByName(new)
-        component = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        left = cut.groupBy("g").agg((F.sum("n") - F.count(F.lit(1))).alias("rest")).where("rest > 1")
-        now = members.join(component, "id", "left").groupBy("g").agg(F.min(F.coalesce("component", "id")).alias("lo"), F.max(F.coalesce("component", "id")).alias("hi")).where("lo <> hi")
-        members = written(members.join(left.select("g"), "g", "left_semi").join(now.select("g"), "g", "left_semi"), "open")
-        if not members.take(1):
-            return component
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        slices *= 8
+    slice_ = F.when(F.col("k") <= FEW, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(FEW)))
+    pivots = members.groupBy("g", slice_.alias("slice")).agg(F.min(F.struct("id", "s", "n")).alias("p")).select("g", F.col("p.id").alias("pid"), F.col("p.s").alias("ps"), F.col("p.n").alias("pn"))
+    pairs = members.join(pivots, "g").where(F.when(F.col("k") <= FEW, F.col("pid") < F.col("id")).otherwise(F.col("pid") != F.col("id")) & alike("", "p"))
+    pairs = written(pairs.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct(), "pairs")
+    links = written(confirmed(pairs, texts), "links")
+    component = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    own = members.where(F.col("k") > FEW).join(component, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    main = own.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("g", "main")
+    own = written(own.join(main, "g"), "open")
+    if not own.take(1):
+        return component
+    out = own.where("c <> main").select("g", F.col("id").alias("pid"), F.col("s").alias("ps"), F.col("n").alias("pn"), F.col("c").alias("pc"))
+    more = own.join(out, "g").where((F.col("c") != F.col("pc")) & alike("", "p"))
+    more = more.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    new = written(confirmed(written(more, "pairs"), texts), "links")
+    return components(links.unionByName(new).select(F.col("a").alias("u"), F.col("b").alias("v"))) if new.take(1) else component
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -140,10 +153,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sign = written(signatures(docs), "signatures")
     able = sign.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(able.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("bands").alias("bands")).select("fp1", "fp2", F.col("r.doc_id").alias("id"), F.col("r.th").alias("th"), "bands"), "classes")
+    classes = written(able.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.first("bands").alias("bands"), F.first("s").alias("s"), F.first("n_shingles").alias("n")).select("fp1", "fp2", F.col("r.doc_id").alias("id"), F.col("r.th").alias("th"), "bands", "s", "n"), "classes")
     every = classes.select(F.explode("bands").alias("g"), "id")
-    shared = every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    members = written(every.join(shared, "g"), "members")
+    shared = every.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = written(every.join(shared, "g").join(classes.select("id", "s", "n"), "id"), "members")
     ids = members.select("id").distinct().join(classes.select("id", "th"), "id")
     texts = docs.withColumn("th", F.xxhash64("text")).join(ids.select(F.col("id").alias("doc_id"), "th"), ["doc_id", "th"], "left_semi")
     texts = written(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "texts")
