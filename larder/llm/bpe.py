@@ -231,7 +231,8 @@ def encoder(path: str) -> WordBpe:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs with `ids` (array<int>) and `decoded` (string) more, replacing columns of these names."""
     base = docs.drop("ids", "decoded")
-    schema = base.schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    # base.schema is one object for all who ask: a longer one is a new one
+    schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
