@@ -115,13 +115,28 @@ def alike(x: str, y: str) -> Column:
     return (differ <= 64) & (100 * F.least(f"{x}n", f"{y}n") >= 75 * F.greatest(f"{x}n", f"{y}n"))
 
 
+def lone_shingles(texts: DataFrame) -> DataFrame:
+    """id and lone: the number of its shingles that no other of these texts has; ids without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column("id").to_pylist(), byte_column(batch, "text"), strict=True):
+                h = shingles(text).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i))], names=["h", "id"])
+
+    rows = texts.select("id", "text").mapInArrow(run, "h long, id long")
+    once = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1")
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def link_classes(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, component) of the ids that are linked, from members (g, k, id, s, n): ids that share a band g, of k ids, are candidates.
 
     No band gives all its pairs. First a band's pivots are held against its members: all of a band of up to
     FEW ids, else the smallest id of each of FEW hash slices. A band of copies of one text is one component
     then. Where a large band is not, the ids outside its largest component are held against all members of
-    other components, once: so every pair in a band is compared or joined already, at any size.
+    other components, once: so every pair in a band is compared or joined already, at any size. Passed over
+    are only pairs of which one has too few shingles that any other open id has, too.
     """
     slice_ = F.when(F.col("k") <= FEW, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(FEW)))
     pivots = members.groupBy("g", slice_.alias("slice")).agg(F.min(F.struct("id", "s", "n")).alias("p")).select("g", F.col("p.id").alias("pid"), F.col("p.s").alias("ps"), F.col("p.n").alias("pn"))
@@ -134,8 +149,13 @@ def link_classes(members: DataFrame, texts: DataFrame) -> DataFrame:
     own = written(own.join(main, "g"), "open")
     if not own.take(1):
         return component
-    out = own.where("c <> main").select("g", F.col("id").alias("pid"), F.col("s").alias("ps"), F.col("n").alias("pn"), F.col("c").alias("pc"))
-    more = own.join(out, "g").where((F.col("c") != F.col("pc")) & alike("", "p"))
+    alone = lone_shingles(texts.join(own.select("id").distinct(), "id", "left_semi"))
+    own = written(own.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone"), "open")
+    # what two sets share is at least 3/7 of both sizes together, and no more than either shares with anyone
+    able = own.where(4 * F.col("m") >= 3 * F.col("n"))
+    out = able.where("c <> main").select("g", F.col("id").alias("pid"), F.col("s").alias("ps"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("c").alias("pc"))
+    fits = 7 * F.least("m", "pm") >= 3 * (F.col("n") + F.col("pn"))
+    more = able.join(out, "g").where((F.col("c") != F.col("pc")) & fits & alike("", "p"))
     more = more.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     new = written(confirmed(written(more, "pairs"), texts), "links")
     return components(links.unionByName(new).select(F.col("a").alias("u"), F.col("b").alias("v"))) if new.take(1) else component
