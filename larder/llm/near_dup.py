@@ -16,6 +16,7 @@ SLOTS = 128
 BAND = 4  # slots of a band: a pair at 0.75 shares one of 32 bands but in 5 of a million cases
 FEW = 8  # ids of a band that are all held against each other, and pivots of larger bands
 CHUNK = 1 << 17  # elements whose permutations are held at once
+WORDS = 16  # longs of the bitmap that bounds what two sets do not share
 
 
 def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -129,6 +130,24 @@ def lone_shingles(texts: DataFrame) -> DataFrame:
     return once.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
 
 
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """id and bits: each shingle of the text flips one of WORDS * 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.bincount((shingles(t) % np.uint64(WORDS * 64)).astype(np.int64), minlength=WORDS * 64) & 1 for t in byte_column(batch, "text")]
+            packed = [np.packbits(b.astype(np.uint8)).view(np.int64) for b in bits]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.list_(pa.int64()))], names=["id", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, bits array<long>")
+
+
+def can_link(x: str, y: str) -> Column:
+    """Exact: the bits in which two bitmaps differ are each of a shingle that only one set has, and linked sets have at most a seventh of both sizes of those."""
+    differ = sum(F.bit_count(F.col(f"{x}bits")[k].bitwiseXOR(F.col(f"{y}bits")[k])) for k in range(WORDS))
+    return 7 * differ <= F.col(f"{x}n") + F.col(f"{y}n")
+
+
 def link_classes(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, component) of the ids that are linked, from members (g, k, id, s, n): ids that share a band g, of k ids, are candidates.
 
@@ -136,7 +155,8 @@ def link_classes(members: DataFrame, texts: DataFrame) -> DataFrame:
     FEW ids, else the smallest id of each of FEW hash slices. A band of copies of one text is one component
     then. Where a large band is not, the ids outside its largest component are held against all members of
     other components, once: so every pair in a band is compared or joined already, at any size. Passed over
-    are only pairs of which one has too few shingles that any other open id has, too.
+    are only pairs that cannot be linked: one has too few shingles that any other open id has, too, or their
+    bitmaps differ in more bits than a linked pair's sets do in shingles.
     """
     slice_ = F.when(F.col("k") <= FEW, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(FEW)))
     pivots = members.groupBy("g", slice_.alias("slice")).agg(F.min(F.struct("id", "s", "n")).alias("p")).select("g", F.col("p.id").alias("pid"), F.col("p.s").alias("ps"), F.col("p.n").alias("pn"))
@@ -149,13 +169,14 @@ def link_classes(members: DataFrame, texts: DataFrame) -> DataFrame:
     own = written(own.join(main, "g"), "open")
     if not own.take(1):
         return component
-    alone = lone_shingles(texts.join(own.select("id").distinct(), "id", "left_semi"))
-    own = written(own.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone"), "open")
+    still = texts.join(own.select("id").distinct(), "id", "left_semi")
+    alone = lone_shingles(still)
+    own = own.join(alone, "id", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
     # what two sets share is at least 3/7 of both sizes together, and no more than either shares with anyone
-    able = own.where(4 * F.col("m") >= 3 * F.col("n"))
-    out = able.where("c <> main").select("g", F.col("id").alias("pid"), F.col("s").alias("ps"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("c").alias("pc"))
+    able = written(own.where(4 * F.col("m") >= 3 * F.col("n")).join(bitmaps(still), "id"), "open")
+    out = able.where("c <> main").select("g", F.col("id").alias("pid"), F.col("s").alias("ps"), F.col("bits").alias("pbits"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("c").alias("pc"))
     fits = 7 * F.least("m", "pm") >= 3 * (F.col("n") + F.col("pn"))
-    more = able.join(out, "g").where((F.col("c") != F.col("pc")) & fits & alike("", "p"))
+    more = able.join(out, "g").where((F.col("c") != F.col("pc")) & fits & alike("", "p") & can_link("", "p"))
     more = more.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     new = written(confirmed(written(more, "pairs"), texts), "links")
     return components(links.unionByName(new).select(F.col("a").alias("u"), F.col("b").alias("v"))) if new.take(1) else component
