@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larder.operators import prices, relational, stock
+from larder.operators import matching, prices, relational, stock
 from larder.plans import shopping
 
-QUERIES = prices.QUERIES | stock.QUERIES | shopping.QUERIES | relational.QUERIES
-SQL = prices.SQL | stock.SQL | shopping.SQL | relational.SQL
+QUERIES = matching.QUERIES | prices.QUERIES | stock.QUERIES | shopping.QUERIES | relational.QUERIES
+SQL = matching.SQL | prices.SQL | stock.SQL | shopping.SQL | relational.SQL
