@@ -1,24 +1,24 @@
-"""Language-model scores by a probabilistic suffix tree over the bytes of words."""
+"""Language-model scores by a probabilistic suffix tree over the bytes of texts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashes, held_out, mix, read, written
+from .common import byte_column, hashes, held_out, mix, read, written
 
 DEPTH = 6  # bytes of the longest context
-LEAST_SHARE = 2e-6  # contexts rarer than this among all symbols are no states: at most DEPTH / LEAST_SHARE states at any size
+HEAD = 2  # contexts of so many bytes or fewer are few at any size (of the alphabet, not of the corpus): each task has them all
+LEAST = 2  # training symbols after a context that is a state
 GAIN = 3.0  # nats of training text that a context must save over the next shorter one, for each of its symbols
 CHUNK_MB = 16  # of text that one task holds together, about
 MB = 1 << 20
-STOP = 0  # begins and ends a word; the text's end is a word of its own
-END = b"\x01"
+GAP, END = b" ", b"\n"  # after each word, and after the last one of a text; neither is in a word
+BYTE = np.uint64(8)
 
 
 def chunked(docs: DataFrame, chunks: int) -> DataFrame:
@@ -49,102 +49,86 @@ def chunk_words(texts: list[bytes], teach: np.ndarray) -> tuple[list[bytes], np.
     return list(number), ids, length, count
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word as STOP, its bytes, STOP: for each symbol after the first STOP its word, itself, and the DEPTH bytes before it as one number.
+def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol of each text, its words with a GAP after each and one END, with the `depth` symbols before it, and the symbols of each text. Before a text there are ENDs.
 
-    A context never reaches over the word's beginning. A number holds at most DEPTH bytes and how many they
-    are, so that contexts of different lengths differ.
+    A gram is one number: the nearest symbol before is the highest byte, so that the contexts that end alike
+    lie together when sorted; the symbol itself is the lowest.
     """
-    size = np.array([len(w) + 1 for w in words], np.int64)
-    raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
-    word = np.repeat(np.arange(len(words)), size)
-    begin = np.cumsum(size) - size
-    pos = np.arange(len(raw)) - begin[word]
-    padded = np.concatenate([np.zeros(DEPTH, np.uint8), raw]).astype(np.uint64)
-    context = np.zeros(len(raw), np.uint64)
-    for d in range(1, DEPTH + 1):
-        # the byte d before; the STOP at the beginning counts as one
-        byte = np.where(pos >= d, padded[DEPTH - d : DEPTH - d + len(raw)], 0).astype(np.uint64)
-        context |= (byte << np.uint64(8 * (d - 1)))
-    return word, raw, named(context, np.minimum(pos + 1, DEPTH))
+    words = [t.lower().split() for t in texts]
+    parts = [GAP.join([*w, END]) for w in words]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    raw = np.frombuffer(b"".join([END * depth + p for p in parts]), np.uint8)
+    own = np.ones(len(raw), bool)
+    at = np.cumsum(size + depth) - size
+    for d in range(1, depth + 1):
+        own[at - d] = False
+    out = raw.astype(np.uint64)
+    for d in range(1, depth + 1):
+        out[d:] |= raw[:-d].astype(np.uint64) << np.uint64(8 * (depth - d + 1))
+    return out[own], size
+
+
+def shortened(gram: np.ndarray, depth: int, d: int) -> np.ndarray:
+    """Grams of `depth` with the last d symbols before alone."""
+    return ((gram >> np.uint64(8 * (depth - d + 1))) << BYTE) | (gram & np.uint64(255))
+
+
+def blocks(texts: list[bytes], size: int = 2 * MB) -> Iterator[slice]:
+    """Runs of texts of about `size` bytes: what is held at once beside the distinct grams."""
+    a, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size or i + 1 == len(texts):
+            yield slice(a, i + 1)
+            a, held = i + 1, 0
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their numbers."""
+    if len(key) and not (key[1:] >= key[:-1]).all():
+        order = np.argsort(key, kind="stable")  # mostly runs that are sorted
+        key, n = key[order], n[order]
+    new = starts(key)
+    return key[new], np.add.reduceat(n, new) if len(new) else n
 
 
-def named(context: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    return context | (depth.astype(np.uint64) << np.uint64(56))
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def taught(texts: list[bytes], teach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams and how often each was seen in training."""
+    g, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for part in blocks(texts):
+        own, size = grams(texts[part])
+        both, k = np.unique((own << np.uint64(1)) | np.repeat(teach[part], size).astype(np.uint64), return_counts=True)
+        own, k = summed(both >> np.uint64(1), np.where(both & np.uint64(1), k, 0))
+        g, n = summed(np.concatenate([g, own]), np.concatenate([n, k]))
+    return g, n
 
 
 def packed(x: np.ndarray, kind: str) -> bytes:
-    return x.astype(kind).tobytes()
+    """By planes of bytes, as these compress."""
+    x = np.ascontiguousarray(x.astype(kind))
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
 
 
-def gather(docs: DataFrame, buckets: int) -> DataFrame:
-    """Of each chunk, one row a bucket: packed hashes of its distinct tokens with their training counts, and packed (context, symbol) pairs of DEPTH with theirs."""
+def unpacked(x: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        texts = [x or b"" for x in table.column("text").cast(pa.binary()).to_pylist()]
-        words, _, _, count = chunk_words(texts, ~table.column("held_out").to_numpy())
-        h = hashes(words)
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        word, symbol, context = spelled(words)
-        pair = np.stack([context, symbol.astype(np.uint64)])
-        order = np.lexsort((pair[1], pair[0]))
-        c, s, n = pair[0][order], pair[1][order], np.minimum(count, 1)[word][order]
-        new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])]))
-        c, s, n = c[new], s[new], np.add.reduceat(n, new)
-        c, s, n = c[n > 0], s[n > 0], n[n > 0]
-        other = (mix(c) % np.uint64(buckets)).astype(np.int64)
-        rows = []
-        for b in range(buckets):
-            i, j = bucket == b, other == b
-            rows.append({"bucket": b, "chunk": key[0].as_py(), "h": packed(h[i], "<u8"), "n": packed(count[i], "<i8"), "c": packed(c[j], "<u8"), "s": packed(s[j], "<u1"), "k": packed(n[j], "<i8")})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("h", pa.binary()), ("n", pa.binary()), ("c", pa.binary()), ("s", pa.binary()), ("k", pa.binary())]))
-
-    return docs.groupBy("chunk").applyInArrow(run, "bucket int, chunk int, h binary, n binary, c binary, s binary, k binary")
-
-
-def counted(rows: DataFrame) -> DataFrame:
-    """Sums of each bucket. kind 0: for each chunk, its hashes with their counts in the whole corpus (n) and the number of chunks that trained on them (s). kind 1: the bucket's (context, symbol) counts, with the number of its distinct trained tokens and their sum."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = [np.frombuffer(x, "<u8") for x in pdf["h"]]
-        own, at = np.unique(np.concatenate(h), return_inverse=True)
-        total = np.zeros(len(own), np.int64)
-        np.add.at(total, at, np.concatenate([np.frombuffer(x, "<i8") for x in pdf["n"]]))
-        count = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["n"]])
-        holders = np.bincount(at, count > 0, len(own)).astype(np.int64)
-        ends = np.cumsum([len(x) for x in h])[:-1]
-        out = [(0, int(c), packed(x, "<u8"), packed(n, "<i8"), packed(m, "<i8"), 0, 0) for c, x, n, m in zip(pdf["chunk"], h, np.split(total[at], ends), np.split(holders[at], ends), strict=True)]
-        c = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["c"]])
-        s = np.concatenate([np.frombuffer(x, "<u1") for x in pdf["s"]])
-        k = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["k"]])
-        if len(c):
-            order = np.lexsort((s, c))
-            c, s, k = c[order], s[order], k[order]
-            new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])]))
-            c, s, k = c[new], s[new], np.add.reduceat(k, new)
-        out.append((1, -1, packed(c, "<u8"), packed(k, "<i8"), packed(s, "<u1"), int((total > 0).sum()), int(total.sum())))
-        return pd.DataFrame(out, columns=["kind", "chunk", "h", "n", "s", "v", "t"])
-
-    return rows.groupBy("bucket").applyInPandas(run, "kind int, chunk int, h binary, n binary, s binary, v long, t long")
-
-
-def frequent(sums: DataFrame, depth: int, least: float) -> DataFrame:
-    """(c, s, k) of the contexts of one depth seen `least` times or more: longer contexts are cut to their last bytes, summed in each task and again over all."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for h, s, n in zip(pdf["h"], pdf["s"], pdf["n"], strict=True):
-                c, s, n = np.frombuffer(h, "<u8"), np.frombuffer(s, "<u1"), np.frombuffer(n, "<i8")
-                full = (c >> np.uint64(56)).astype(np.int64)
-                c = named(c & np.uint64((1 << (8 * depth)) - 1), np.minimum(full, depth))
-                order = np.lexsort((s, c))
-                c, s, n = c[order], s[order], n[order]
-                new = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])])) if len(c) else np.zeros(0, int)
-                yield pd.DataFrame({"c": c[new].view(np.int64), "s": s[new].astype(np.int32), "k": np.add.reduceat(n, new) if len(new) else n})
-
-    rows = sums.where("kind = 1").select("h", "s", "n").mapInPandas(cut, "c long, s int, k long").groupBy("c", "s").agg(F.sum("k").alias("k"))
-    by = rows.groupBy("c").agg(F.sum("k").alias("total"), F.collect_list(F.struct("s", "k")).alias("next"))  # at most 256 symbols
-    return by.where(F.col("total") >= least)
+
+def steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=np.uint64(0))
+
+
+def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """All contexts that end in the same HEAD + 1 bytes meet in one bucket."""
+    end = gram >> np.uint64(8 * (DEPTH - HEAD))
+    new = starts(end)
+    return np.repeat((mix(end[new]) % np.uint64(buckets)).astype(np.int64), np.diff(np.append(new, len(end))))
 
 
 class SuffixTree:
@@ -153,50 +137,45 @@ class SuffixTree:
     def __init__(self, root: np.ndarray):
         seen = root + 0.5  # all 256 symbols can come
         self.root = np.log10(seen / seen.sum())
-        self.context = [np.zeros(0, np.uint64)]
-        self.pairs = [np.zeros(0, np.uint64)]  # (state number << 8 | symbol), sorted
-        self.value = [np.zeros(0)]
-        self.back = [np.zeros(0)]  # what an unseen symbol costs at a state
+        self.context: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        self.pairs: list[np.ndarray] = [np.zeros(0, np.uint64)]  # (state number << 8 | symbol), sorted
+        self.value: list[np.ndarray] = [np.zeros(0)]
+        self.back: list[np.ndarray] = [np.zeros(0)]  # what an unseen symbol costs at a state
 
-    def add(self, c: np.ndarray, nexts: list[list[tuple[int, int]]], gain: float) -> None:
-        """One more depth. A context stays if its symbols are so much likelier than in the state it would fall to: counts weigh the divergence."""
+    def add(self, gram: np.ndarray, n: np.ndarray, depth: int, least: int = LEAST, gain: float = GAIN) -> None:
+        """One more depth, from training grams of `depth`. A context stays if it was seen `least` times and its symbols are so much likelier than in the state it would fall to: counts weigh the divergence."""
         d = len(self.context)
-        order = np.argsort(c)
-        own, pairs, value, back = [], [], [], []
-        for i in order.tolist():
-            s = np.array([x[0] for x in nexts[i]], np.int64)
-            k = np.array([x[1] for x in nexts[i]], np.float64)
-            total, kinds = k.sum(), len(k)
-            shorter = self.look(np.full(len(s), c[i], np.uint64), s, d - 1)
-            p = k / (total + kinds)  # what is left, kinds / (total + kinds), goes to the shorter state
-            mine = np.log10(p + kinds / (total + kinds) * 10**shorter)
-            if (k * (mine - shorter)).sum() * np.log(10) < gain * kinds:
-                continue
-            sort = np.argsort(s)
-            pairs.append((np.uint64(len(own)) << np.uint64(8)) | s[sort].astype(np.uint64))
-            value.append(mine[sort])
-            back.append(np.log10(kinds / (total + kinds)))
-            own.append(c[i])
-        self.context.append(np.array(own, np.uint64))
-        self.pairs.append(np.concatenate(pairs) if pairs else np.zeros(0, np.uint64))
-        self.value.append(np.concatenate(value) if value else np.zeros(0))
-        self.back.append(np.array(back))
-
-    def look(self, c: np.ndarray, symbol: np.ndarray, depth: int | None = None) -> np.ndarray:
+        gram, n = summed(shortened(gram, depth, d), n)
+        context = gram >> BYTE
+        new = starts(context)
+        kinds = np.diff(np.append(new, len(context)))
+        total = np.add.reduceat(n, new) if len(new) else n
+        shorter = self.look(gram, d)
+        all_, many = np.repeat(total, kinds), np.repeat(kinds, kinds)
+        # what is left, kinds / (total + kinds), goes to the shorter state
+        mine = np.log10((n + many * 10**shorter) / (all_ + many))
+        saved = np.add.reduceat(n * (mine - shorter), new) * np.log(10) if len(new) else total
+        stays = (total >= least) & (saved >= gain * kinds)
+        own = np.repeat(stays, kinds)
+        self.context.append(context[new][stays])
+        number = np.repeat(np.arange(stays.sum()), kinds[stays]).astype(np.uint64)
+        self.pairs.append((number << BYTE) | (gram[own] & np.uint64(255)))
+        self.value.append(mine[own])
+        self.back.append(np.log10(kinds / (total + kinds))[stays])
+
+    def look(self, gram: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         """log10 P(symbol | the longest suffix of the context that is a state)."""
-        depth = len(self.context) - 1 if depth is None else depth
-        out, price = np.zeros(len(c)), np.zeros(len(c))
-        full = (c >> np.uint64(56)).astype(np.int64)
-        left = np.arange(len(c))
-        for d in range(depth, 0, -1):
+        out, price = np.zeros(len(gram)), np.zeros(len(gram))
+        left = np.arange(len(gram))
+        for d in range(len(self.context) - 1, 0, -1):
             states = self.context[d]
             if not len(states) or not len(left):
                 continue
-            x = named(c[left] & np.uint64((1 << (8 * d)) - 1), np.minimum(full[left], d))
+            x = gram[left] >> np.uint64(8 * (depth - d + 1))
             at = np.minimum(np.searchsorted(states, x), len(states) - 1)
-            hit = np.flatnonzero((states[at] == x) & (full[left] >= d))
+            hit = np.flatnonzero(states[at] == x)
             rows, at = left[hit], at[hit]
-            want = (at.astype(np.uint64) << np.uint64(8)) | symbol[rows].astype(np.uint64)
+            want = (at.astype(np.uint64) << BYTE) | (gram[rows] & np.uint64(255))
             k = np.minimum(np.searchsorted(self.pairs[d], want), len(self.pairs[d]) - 1)
             seen = self.pairs[d][k] == want
             out[rows[seen]] = price[rows[seen]] + self.value[d][k[seen]]
@@ -204,72 +183,133 @@ class SuffixTree:
             done = np.zeros(len(left), bool)
             done[hit[seen]] = True
             left = left[~done]
-        out[left] = price[left] + self.root[symbol[left]]
+        out[left] = price[left] + self.root[(gram[left] & np.uint64(255)).astype(np.int64)]
         return out
 
+    def deeper(self, gram: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> SuffixTree:
+        """With the states of the depths up to `depth` that the training grams of that depth make; this one is not changed."""
+        out = SuffixTree.__new__(SuffixTree)
+        out.root, out.context, out.pairs, out.value, out.back = self.root, self.context[:], self.pairs[:], self.value[:], self.back[:]
+        while len(out.context) <= depth:
+            out.add(gram, n, depth)
+        return out
 
-def build(sums: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, gain: float = GAIN) -> SuffixTree:
-    """The tree. All counts come from the whole corpus; what reaches the driver is one row a state at most, bounded by depth / least_share."""
-    base = frequent(sums, 0, 0).toPandas()
-    root = np.zeros(256)
-    for row in base["next"]:
-        for s, k in row:
-            root[s] += k
-    tree = SuffixTree(root)
-    for d in range(1, depth + 1):
-        pdf = frequent(sums, d, max(2.0, least_share * root.sum())).where(F.shiftrightunsigned("c", 56) == d).toPandas()
-        tree.add(pdf["c"].to_numpy(np.int64).view(np.uint64), [[tuple(x) for x in row] for row in pdf["next"]], gain)
-    return tree
+
+def head(own: DataFrame) -> SuffixTree:
+    """The states of HEAD bytes or fewer, from training counts of the whole corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2_000):
+                g, _ = grams(byte_column(whole.slice(a, 2_000), "text"), HEAD)
+                g, n = np.unique(g, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+
+    got = own.where("NOT held_out").select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    g, n = got["g"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    return SuffixTree(np.bincount((g & np.uint64(255)).astype(np.int64), n, 256)).deeper(g, n, HEAD)
+
+
+def gather(own: DataFrame, buckets: int) -> DataFrame:
+    """Of each chunk, one row a bucket: its distinct tokens (hashes) and grams with their training counts, sorted and packed."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        texts, teach = byte_column(table, "text"), ~table.column("held_out").to_numpy()
+        words, _, _, count = chunk_words(texts, teach)
+        h, count = summed(hashes(words), count)
+        del words
+        g, n = taught(texts, teach)
+        to, other = (h % np.uint64(buckets)).astype(np.int64), bucket_of(g, buckets)
+        rows = []
+        for b in range(buckets):
+            i, j = to == b, other == b
+            rows.append({"bucket": b, "chunk": key[0].as_py(), "h": packed(steps(h[i]), "<u8"), "c": packed(count[i], "<i8"), "g": packed(steps(g[j]), "<u8"), "n": packed(n[j], "<i8")})
+        return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *[(x, pa.binary()) for x in "hcgn"]]))
+
+    return own.groupBy("chunk").applyInArrow(run, "bucket int, chunk int, h binary, c binary, g binary, n binary")
+
+
+def answered(rows: DataFrame, tree: SuffixTree) -> DataFrame:
+    """For each bucket and chunk, in the order of what was asked: the corpus's training counts of the tokens (c) and the grams' log10 probabilities (p); v, in one row of a bucket, is the number of its distinct trained tokens."""
+    held = rows.sparkSession.sparkContext.broadcast(tree)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        def together(name: str, number: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            each = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in table.column(name).to_pylist()]
+            own, at = np.unique(np.concatenate(each), return_inverse=True)
+            n = np.concatenate([unpacked(x, "<i8") for x in table.column(number).to_pylist()])
+            return own, np.bincount(at, n, len(own)).astype(np.int64), at, np.cumsum([0, *map(len, each)])
+
+        _, count, at, edge = together("h", "c")
+        g, n, where, cut = together("g", "n")
+        p = held.value.deeper(g[n > 0], n[n > 0]).look(g)
+        chunks = table.column("chunk").to_pylist()
+        out = [{"chunk": c, "bucket": key[0].as_py(), "c": packed(count[at[edge[k] : edge[k + 1]]], "<i8"), "p": packed(p[where[cut[k] : cut[k + 1]]], "<f4"), "v": int((count > 0).sum()) if k == 0 else 0} for k, c in enumerate(chunks)]
+        return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("c", pa.binary()), ("p", pa.binary()), ("v", pa.int64())]))
+
+    return rows.groupBy("bucket").applyInArrow(run, "chunk int, bucket int, c binary, p binary, v long")
 
 
-def scores(docs: DataFrame, chunk_mb: int = CHUNK_MB) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def scores(docs: DataFrame, chunk_mb: float = CHUNK_MB) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and what of both scores is of its known tokens: base_known, score_known.
 
     Tokens are the lower-cased words and one end; the base is the add-one unigram over the V distinct
-    training tokens and one unknown. The model has the same V + 1 symbols. The tree spells a token byte by
-    byte, the end as any other, and its spellings smooth the tokens' own counts: (c + V * spelling) / (N + V).
-    An unknown token has all that is left to spellings that were never trained on. The tree learns from the
-    distinct training tokens of each chunk, as it is asked about rare ones above all. The score is the sum over all tokens. Null texts are empty (the end alone), null ids count as
-    trained on; repeated rows are rows of their own. An empty table gives no rows. Documents are dealt out by
-    hash in chunks of about `chunk_mb`; a chunk asks for the counts of its own distinct tokens only.
+    training tokens and one unknown. The score is the tree's log10 probability of the text as a sequence of
+    bytes, words with one space after each and the end: of each symbol after the longest suffix of what is
+    before it, over words' beginnings, that is a state. A token has its bytes and the space after it, known or
+    not. So the base gives all unknown tokens one symbol, the tree each its own spelling. The tree learns
+    from all training symbols. Null texts are empty (the end alone), null ids count as trained on; repeated
+    rows are rows of their own. An empty table gives no rows. Documents are dealt out by hash in chunks of
+    about `chunk_mb`, on which no figure depends; the states lie in buckets by the last bytes of their
+    contexts, and a chunk asks for those of its own distinct grams only.
     """
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    chunks = max(1, -(-int(size) // (chunk_mb * MB)))
+    chunks = max(1, -(-int(size) // int(chunk_mb * MB)))
     own = chunked(docs, chunks)
-    sums = written(counted(gather(own, chunks)), "counts")
-    v, t = sums.where("kind = 1").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    tree = docs.sparkSession.sparkContext.broadcast(build(sums))
-    asked = sums.where("kind = 0").select("chunk", "h", "n", "s")
+    asked = answered(gather(own, chunks), head(own))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = [x or b"" for x in left.column("text").cast(pa.binary()).to_pylist()]
-        words, ids, length, trained = chunk_words(texts, ~left.column("held_out").to_numpy())
-        known, count, holders = (np.concatenate([np.frombuffer(x, kind) for x in right.column(name).to_pylist()] or [np.zeros(0, kind)]) for name, kind in (("h", "<u8"), ("n", "<i8"), ("s", "<i8")))
-        order = np.argsort(known)
-        order = order[np.searchsorted(known[order], hashes(words))] if len(texts) else order
-        c, holders = count[order], holders[order]
-        base = np.log10((c + 1.0) / (t + v + 1.0))
-        word = np.zeros(len(words))
-        for a in range(0, len(words), 100_000):
-            w, symbol, context = spelled(words[a : a + 100_000])
-            word[a : a + 100_000] = np.bincount(w, tree.value.look(context, symbol.astype(np.int64)), len(words[a : a + 100_000]))
-        spelled_ = np.where(trained > 0, 10**word / np.maximum(holders, 1), 0).sum()
-        word = np.where(c > 0, np.log10((c + v * 10**word) / max(t + v, 1)), 0) if t else word * 0
+        texts = byte_column(left, "text")
+        words, ids, length, _ = chunk_words(texts, ~left.column("held_out").to_numpy())
+        got = {r["bucket"]: r for r in right.select(["bucket", "c", "p"]).to_pylist()}
+        hashed = hashes(words)
+        h, at = np.unique(hashed, return_inverse=True)
+        count, to = np.zeros(len(h), np.int64), (h % np.uint64(chunks)).astype(np.int64)
+        for b, r in got.items():
+            count[to == b] = unpacked(r["c"], "<i8")
+        c = count[at][ids]
+        base = np.log10(c + 1.0)
+        g = np.zeros(0, np.uint64)
+        for part in blocks(texts):
+            g = np.union1d(g, grams(texts[part])[0])
+        p, to = np.zeros(len(g), np.float32), bucket_of(g, chunks)
+        for b, r in got.items():
+            p[to == b] = unpacked(r["p"], "<f4")
+        token = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        token[0] = 1  # the end has no space after it
+        each = np.zeros(len(ids))
         start = np.cumsum(length) - length
-        n = len(length)
+        for part in blocks(texts):
+            own = grams(texts[part])[0]
+            i, j = start[part.start], start[part.start] + length[part].sum()
+            u, back = np.unique(own, return_inverse=True)
+            x = p[np.searchsorted(g, u)].astype(np.float64)[back]
+            wide = token[ids[i:j]]
+            each[i:j] = np.add.reduceat(x, np.cumsum(wide) - wide)
+        add = (lambda x: np.add.reduceat(x, start)) if len(texts) else (lambda x: x)
+        v = np.zeros(len(texts), np.int64)
+        v[:1] = sum(right.column("v").to_pylist())
+        known = c > 0
         return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": length,
-            "n_known": np.add.reduceat((c > 0)[ids].astype(np.int64), start) if n else np.zeros(0, np.int64), "train_tokens": np.full(n, t, np.int64),
-            "base_score": np.add.reduceat(base[ids], start) if n else np.zeros(0), "score": np.add.reduceat(word[ids], start) if n else np.zeros(0),
-            "spelled": np.where(np.arange(n) == 0, spelled_, 0.0),
+            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": length, "n_known": add(known.astype(np.int64)),
+            "base": add(base), "score": add(each), "score_known": add(np.where(known, each, 0.0)), "v": v,
         })
 
-    out = written(own.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled double"), "scores")
-    inside = min(out.agg(F.coalesce(F.sum("spelled"), F.lit(0.0))).first()[0], 0.999)
-    unknown = float(np.log10(v / (t + v) * (1 - inside))) if t else 0.0
-    score = F.col("score") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", score.alias("score"))
+    out = written(own.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, score_known double, v long"), "scores")
+    t, v = out.agg(F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    least = F.lit(float(np.log10(t + v + 1.0)))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(t)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * least).alias("base_score"), "score", (F.col("base") - F.col("n_known") * least).alias("base_known"), "score_known")
 
 
 def op5_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(read(spark, sf_dir, "documents"))
+    return scores(read(spark, sf_dir, "documents")).drop("base_known", "score_known")
