@@ -98,15 +98,26 @@ def starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; x itself is sorted."""
+    x.sort()
+    return x[starts(x)]
+
+
 def taught(texts: list[bytes], teach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct grams and how often each was seen in training."""
-    g, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    g, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for part in blocks(texts):
         own, size = grams(texts[part])
-        both, k = np.unique((own << np.uint64(1)) | np.repeat(teach[part], size).astype(np.uint64), return_counts=True)
-        own, k = summed(both >> np.uint64(1), np.where(both & np.uint64(1), k, 0))
-        g, n = summed(np.concatenate([g, own]), np.concatenate([n, k]))
-    return g, n
+        own = (own << np.uint64(1)) | np.repeat(teach[part], size).astype(np.uint64)
+        own.sort()
+        new = starts(own)
+        k = np.diff(np.append(new, len(own)))
+        own = own[new]
+        own, k = summed(own >> np.uint64(1), np.where(own & np.uint64(1), k, 0))
+        g.append(own)
+        n.append(k.astype(np.int32))
+    return summed(np.concatenate(g), np.concatenate(n).astype(np.int64))
 
 
 def packed(x: np.ndarray, kind: str) -> bytes:
@@ -279,9 +290,8 @@ def scores(docs: DataFrame, chunk_mb: float = CHUNK_MB) -> DataFrame:
             count[to == b] = unpacked(r["c"], "<i8")
         c = count[at][ids]
         base = np.log10(c + 1.0)
-        g = np.zeros(0, np.uint64)
-        for part in blocks(texts):
-            g = np.union1d(g, grams(texts[part])[0])
+        g = np.concatenate([np.zeros(0, np.uint64), *[distinct(grams(texts[part])[0]) for part in blocks(texts)]])
+        g = distinct(g)
         p, to = np.zeros(len(g), np.float32), bucket_of(g, chunks)
         for b, r in got.items():
             p[to == b] = unpacked(r["p"], "<f4")
@@ -292,8 +302,10 @@ def scores(docs: DataFrame, chunk_mb: float = CHUNK_MB) -> DataFrame:
         for part in blocks(texts):
             own = grams(texts[part])[0]
             i, j = start[part.start], start[part.start] + length[part].sum()
-            u, back = np.unique(own, return_inverse=True)
-            x = p[np.searchsorted(g, u)].astype(np.float64)[back]
+            order = np.argsort(own)
+            x = np.empty(len(own), np.float32)
+            x[order] = p[np.searchsorted(g, own[order])]
+            x = x.astype(np.float64)
             wide = token[ids[i:j]]
             each[i:j] = np.add.reduceat(x, np.cumsum(wide) - wide)
         add = (lambda x: np.add.reduceat(x, start)) if len(texts) else (lambda x: x)
