@@ -18,8 +18,9 @@ SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\r\x0b\f"
 CACHE = 150_000  # words a worker remembers
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
-#: A text is out of its group's band beyond this many quartile ranges from the quartiles, and at least so far (as a share of the median, or plainly) from them.
-WIDE, LEAST = 4.0, {"chars_per_token": 0.25, "chars_per_byte_token": 0.25, "byte_share": 0.05, "entropy": 0.15}
+#: A text is out of its group's band beyond this many quartile ranges from the quartiles; only where they are equal, beyond LEAST (a share of the median, or plainly).
+WIDE = {"chars_per_token": 4.0, "chars_per_byte_token": 4.0, "byte_share": 4.0, "entropy": 1.5}
+LEAST = {"chars_per_token": 0.25, "chars_per_byte_token": 0.25, "byte_share": 0.05, "entropy": 0.15}
 SCRIPT = regex.compile(r"(\p{Latin})|(\p{Cyrillic})|(\p{Greek})|(\p{Han}|\p{Hiragana}|\p{Katakana}|\p{Hangul})|(\p{Arabic})|(\p{L})")
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "East Asian", "Arabic", "other")
 
@@ -142,7 +143,7 @@ def verdicts(docs: DataFrame, folder: str) -> DataFrame:
     inside = F.lit(True)
     for c, least in LEAST.items():
         lo, mid, hi = (F.col(f"q_{c}")[i] for i in range(3))
-        room = F.greatest(WIDE * (hi - lo), F.lit(least) * (mid if c.startswith("chars") else 1))
+        room = F.when(hi > lo, WIDE[c] * (hi - lo)).otherwise(F.lit(least) * (mid if c.startswith("chars") else 1))
         if c != "byte_share":
             inside &= F.col(c) >= lo - room
         if c != "entropy":
