@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import byte_column, hashes, lower_words, mix, parts, read, shingle_row, written
 
-SIZE = 5  # words of a shingle; lines with fewer words are too short to be told apart and stay
+SIZE = 5  # words of a shingle; a line with fewer words has its whole sequence as its one shingle
 SKETCH = 1 << 20  # counters of shingle frequencies: fixed, so what is broadcast does not grow
 BLOCKS = 16
+SEEN = 200_000  # sets that a task remembers, so as not to send them again
 FEW = 8  # lines of a shingle that are all held against each other, and pivots of commoner shingles
 TOP, OF = 3, 4  # similarity 3/4
 
@@ -23,14 +24,14 @@ def lines(text: bytes) -> list[list[bytes]]:
     return [w for w in map(lower_words, text.split(b"\n"))]
 
 
-def line_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of all lines with SIZE words or more, by line: (shingle, line), and (text, number) of each such line."""
+def line_shingles(texts: list[bytes], least: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of all lines with `least` words or more, by line: (shingle, line), and (text, number) of each such line."""
     words: list[bytes] = []
     where, size = [], []
     for t, text in enumerate(texts):
         for n, line in enumerate(text.split(b"\n")):
             w = line.lower().split()
-            if len(w) >= SIZE:
+            if len(w) >= least:
                 words += w
                 size.append(len(w))
                 where.append((t, n))
@@ -39,9 +40,17 @@ def line_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), at[:, 0], at[:, 1]
     line = np.repeat(np.arange(len(length)), length)
-    s = shingle_row(hashes(words), SIZE)
-    inside = line[: len(s)] == line[SIZE - 1 :]
-    s, line = s[inside], line[: len(s)][inside]
+    h = hashes(words)
+    s, own = shingle_row(h, SIZE), line[: max(0, len(h) - SIZE + 1)]
+    inside = own == line[SIZE - 1 :]
+    s, own = s[: len(own)][inside], own[inside]
+    start = np.cumsum(length) - length
+    for n in range(1, SIZE):
+        short = np.flatnonzero(length == n)
+        if len(short):
+            rows = np.concatenate([h[start[short] + k] for k in range(n)]).reshape(n, -1)
+            s, own = np.concatenate([s, whole_row(rows)]), np.concatenate([own, short])
+    line = own
     order = np.lexsort((s, line))
     s, line = s[order], line[order]
     new = np.ones(len(s), bool)
@@ -49,6 +58,14 @@ def line_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return s[new], line[new], at[:, 0], at[:, 1]
 
 
+def whole_row(h: np.ndarray) -> np.ndarray:
+    """The one shingle of each column of words, as shingle_row() has it of a sequence that is so short."""
+    acc = np.full(h.shape[1], len(h), np.uint64)
+    for row in h:
+        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + row)
+    return acc
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for a in range(0, whole.num_rows, rows):
@@ -85,12 +102,12 @@ def bounds(line: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(line, np.arange(n + 1))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line, fp of each line that is long enough; fp names its shingle set."""
+def line_table(docs: DataFrame, least: int = 1) -> DataFrame:
+    """doc_id, line, fp of each line of `least` words or more; fp names its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            s, line, text, number = line_shingles(byte_column(batch, "text"))
+            s, line, text, number = line_shingles(byte_column(batch, "text"), least)
             ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(text))
             yield pa.RecordBatch.from_arrays([ids, pa.array(number), pa.array(set_names(s, bounds(line, len(text))))], names=["doc_id", "line", "fp"])
 
@@ -98,14 +115,29 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """g (shingle), fp, n (size of the set), i (place in rarity order) for the rarest shingles of each line: as many as two sets of the wanted similarity cannot both do without."""
+    """g (shingle), fp, n (size of the set), i (place in rarity order) for the rarest shingles of each line: as many as two sets of the wanted similarity cannot both do without.
+
+    Lines of fewer than SIZE words are not among them: a set of one shingle is like none but its equals, which
+    have the same fp. A task gives the rows of a set once, or again where it has met SEEN others.
+    """
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in pieces(batches):
             s, line, text, _ = line_shingles(byte_column(batch, "text"))
             start = bounds(line, len(text))
-            fp, n = set_names(s, start), np.diff(start)
+            fp = set_names(s, start)
+            fresh = np.zeros(len(fp), bool)
+            fresh[np.unique(fp, return_index=True)[1]] = True
+            fresh &= ~np.fromiter(map(seen.__contains__, fp.tolist()), bool, len(fp))
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(fp[fresh].tolist())
+            keep = np.repeat(fresh, np.diff(start))
+            s, line, fp = s[keep], (np.cumsum(fresh) - 1)[line[keep]], fp[fresh]
+            start = bounds(line, len(fp))
+            n = np.diff(start)
             order = np.lexsort((s, held.value[(s & np.uint64(SKETCH - 1)).astype(np.int64)], line))
             i = np.arange(len(s)) - np.repeat(start[:-1], n)
             most = n - -(-TOP * n // OF) + 1
@@ -218,28 +250,30 @@ def later_matches(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame])
     return found.unionByName(new).distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     """doc_id, line (from 0) of the lines that go: those with a similar line before them, by (doc_id, line), anywhere in the corpus.
 
-    Similar: the sets of 5-word shingles have Jaccard 3/4 or more; equal sets are. The line before need not
-    stay itself. Lines of fewer than five words stay, so do lines of null texts; documents with a null id or
-    an id that is repeated are read as one document's lines. An empty table gives no rows.
+    Similar: the sets of 5-word shingles have Jaccard 3/4 or more; equal sets are. A line of fewer words has its
+    whole sequence as its one shingle. The line before need not stay itself. Lines without words and lines of
+    null texts stay, so do those of fewer than `least` words; documents with a null id stay, those of an id
+    that is repeated are read as one document's lines. An empty table gives no rows.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = written(line_table(docs), "lines")
+    every = written(line_table(docs, least), "lines")
     first = written(every.groupBy("fp").agg(F.min(F.struct("doc_id", "line")).alias("o")), "first")
     rows = prefixes(docs, frequencies(docs)).repartition(parts(docs.sparkSession), "g").sortWithinPartitions("g", "fp")
     members = shared_only(rows).select("g", "fp", F.shiftright("ni", 32).alias("n"), F.col("ni").bitwiseAND(2**32 - 1).alias("i"))
     shared = members.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
     members = written(members.join(shared, "g").join(first, "fp"), "members")
     found = later_matches(members, lambda ids: line_sets(docs, first.join(ids, "fp", "left_semi").select(F.col("o.doc_id").alias("doc_id"), F.col("o.line").alias("line"), "fp")))
-    out = every.join(first, "fp").join(found.withColumn("hit", F.lit(True)), "fp", "left")
-    return out.where(F.col("hit") | (F.struct("doc_id", "line") > F.col("o"))).select("doc_id", "line").distinct()
+    # what stays is the first line of each set that has no earlier similar one: no join deals all copies of a line by its fp
+    stay = first.join(found, "fp", "left_anti").select("o.doc_id", "o.line", "fp")
+    return every.join(stay, ["doc_id", "line", "fp"], "left_anti").select("doc_id", "line").distinct()
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = 1) -> DataFrame:
     """docs with the removed lines cut from `text`; all documents and columns stay."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list(F.col("line").cast("int")).alias("_gone"))
+    gone = removed_lines(docs, least).groupBy("doc_id").agg(F.collect_list(F.col("line").cast("int")).alias("_gone"))
     text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     out = docs.join(gone, "doc_id", "left")
     return out.select(*[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns])
