@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """A column name that is none of those taken, whatever their case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -63,16 +74,116 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+STEP = np.uint64(0x9E3779B97F4A7C15)
+STRIDE = 1 << 19  # bytes whose words are hashed at once
+
+
+def _letters() -> np.ndarray:
+    """A number for each byte: A-Z as a-z, white space nothing."""
+    t = mix(np.arange(1, 257, dtype=np.uint64) * STEP)
+    t[65:91] = t[97:123]
+    t[SPACE] = 0
+    return t
+
+
+LETTERS = _letters()
+
+
+@functools.lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of STEP and of its inverse, modulo 2**64."""
+    up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
+    up[1:], down[1:] = STEP, pow(int(STEP), -1, 1 << 64)
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of some bytes, A-Z lower-cased, and where it begins: a polynomial's prefix sums, taken for all words at once."""
+    hashed, begins = [], []
+    a = 0
+    while a < len(raw):
+        b = min(len(raw), a + STRIDE)
+        while b < len(raw):  # to the end of a word, however long it is
+            gap = np.flatnonzero(SPACE[raw[b : b + STRIDE]])
+            if len(gap):
+                b += int(gap[0])
+                break
+            b = min(len(raw), b + STRIDE)
+        part = raw[a:b]
+        up, down = _powers(max(2 * STRIDE, len(part) + 1))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(LETTERS[part] * up[: len(part)], out=total[1:])
+        edge = np.flatnonzero(np.diff(SPACE[part], prepend=True, append=True))
+        x, y = edge[::2], edge[1::2]
+        hashed.append(mix((total[y] - total[x]) * down[x] + (y - x).astype(np.uint64)))
+        begins.append(x + a)
+        a = b
+    if not hashed:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashed), np.concatenate(begins)
+
+
+def group_shingles(h: np.ndarray, length: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of the groups of words that lie end to end, `length` words each, and the group of each: runs of `size` words, or the whole of a shorter group."""
+    group = np.repeat(np.arange(len(length)), length)
+    s, own = shingle_row(h, size), group[: max(0, len(h) - size + 1)]
+    s = s[: len(own)]
+    inside = own == group[size - 1 :]
+    s, own = s[inside], own[inside]
+    start = np.cumsum(length) - length
+    for n in range(1, size):
+        short = np.flatnonzero(length == n)
+        if len(short):
+            acc = np.full(len(short), n, np.uint64)
+            for k in range(n):
+                acc = mix(acc * STEP + h[start[short] + k])
+            s, own = np.concatenate([s, acc]), np.concatenate([own, short])
+    return s, own
+
+
+def text_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts end to end, and how many each has."""
+    raw = np.frombuffer(b"\n".join(texts), np.uint8)
+    h, at = word_hashes(raw)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return h, np.diff(np.searchsorted(at, ends), prepend=0)
+
+
+def shingle_sets(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of some texts end to end, each sorted and distinct, and their sizes; none without words."""
+    h, length = text_words(texts)
+    s, own = group_shingles(h, length, size)
+    if (own[1:] < own[:-1]).any():
+        order = np.argsort(own, kind="stable")
+        s, own = s[order], own[order]
+    edge = np.searchsorted(own, np.arange(len(texts) + 1)).tolist()
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        s[a:b].sort()
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (own[1:] != own[:-1])
+    return s[new], np.bincount(own[new], minlength=len(texts))
+
+
 def shingles(text: bytes, size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `size` words; of the whole sequence where it is shorter; none without words."""
-    return shingle_set(hashes(lower_words(text)), size)
+    return shingle_sets([text], size)[0]
 
 
-def shingle_set(h: np.ndarray, size: int = 5) -> np.ndarray:
-    return np.unique(shingle_row(h, size))
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of rows with about `size` bytes of text: a row of more is alone."""
+    for whole in batches:
+        n = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < whole.num_rows:
+            b = max(a + 1, int(np.searchsorted(n, (n[a - 1] if a else 0) + size, "right")))
+            yield whole.slice(a, b - a)
+            a = b
 
 
 def shingle_row(h: np.ndarray, size: int = 5) -> np.ndarray:
+    """A hash of each run of `size` words, or of all of them if they are fewer."""
     if not len(h):
         return h
     n = max(1, len(h) - size + 1)

@@ -17,6 +17,7 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\r\x0b\f"
 CACHE = 150_000  # words a worker remembers
+FAMILIES = 10_000  # languages and scripts whose bands are broadcast, some 200 bytes each; more are joined in a shuffle
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 #: A text is out of its group's band beyond this many quartile ranges from the quartiles; only where they are equal, beyond LEAST (a share of the median, or plainly).
 WIDE = {"chars_per_token": 4.0, "chars_per_byte_token": 4.0, "byte_share": 4.0, "entropy": 1.5}
@@ -148,7 +149,9 @@ def verdicts(docs: DataFrame, folder: str) -> DataFrame:
             inside &= F.col(c) >= lo - room
         if c != "entropy":
             inside &= F.col(c) <= hi + room
-    out = rows.join(bands, "family", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+    bands = written(bands, "bands")
+    few = bands.count() <= FAMILIES
+    out = rows.join(F.broadcast(bands) if few else bands, "family", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
     return out.select(*rows.columns, "kept")
 
 

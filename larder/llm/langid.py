@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, held_out, read, training
+from .common import byte_column, free, held_out, read, training, written
 
 WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
-TRAIN_ROWS = 600  # documents of each language that are learned from, about
-TRAIN_WINDOWS = 6  # of each of them, evenly spaced over the text
+TRAIN_ROWS = 400  # documents of each language that are learned from, about; their texts whole
+LANGUAGES = 10_000  # whose counts are broadcast
 LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -40,6 +40,7 @@ class ByteCnn:
         self.bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
         self.out = rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(classes))).astype(np.float32)
         self.base = np.zeros(len(classes), np.float32)
+        self.floor = 0.0  # the least score of a training document that is told right
 
     def pooled(self, x: np.ndarray, where: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
         tops, at = [], []
@@ -98,60 +99,72 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
+def told(model: ByteCnn, texts: list[bytes]) -> np.ndarray:
+    """Each text's probabilities of the languages: the mean over its windows, by their bytes."""
+    x = [windows(t) for t in texts]
+    at = np.cumsum([0, *map(len, x)])
+    p = model.predict(np.concatenate(x)).astype(np.float64)
+    weight = np.full(len(p), float(WINDOW))
+    weight[at[1:] - 1] = [len(t) - WINDOW * (len(w) - 1) for t, w in zip(texts, x, strict=True)]
+    q = np.add.reduceat(p * weight[:, None], at[:-1])
+    return q / q.sum(1, keepdims=True)
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, folds: int = 4) -> ByteCnn | None:
-    """The network, learned from about `rows` documents of each language, by hash of the id, and TRAIN_WINDOWS windows of each; None without labelled rows."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & training("doc_id", folds)).select("doc_id", "lang", "text")
-    count = known.groupBy("lang").count()
+    """The network, learned from the whole texts of about `rows` documents of each language, by hash of the id; None without labelled rows that have a letter.
+
+    Languages are counted first, without their texts; the sample is taken where the rows are read.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & training("doc_id", folds))
+    count = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     share = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
-    some = known.join(count, "lang").where(share < rows / F.col("count")).select("lang", "text")
+    few = count.count() <= LANGUAGES
+    some = known.select("doc_id", "lang", "text").join(F.broadcast(count) if few else count, "lang").where(share < rows / F.col("n"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, out = [], []
-            for y, text in zip(batch.column("lang").to_pylist(), byte_column(batch, "text"), strict=True):
-                if has_letter(text):
-                    w = windows(text)
-                    for i in np.unique(np.linspace(0, len(w) - 1, TRAIN_WINDOWS).round().astype(int)).tolist():
-                        lang.append(y)
-                        out.append(w[i].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(out, pa.binary())], names=["lang", "w"])
-
-    got = some.mapInArrow(cut, "lang string, w binary").orderBy("lang", "w").toPandas()
+            text = byte_column(batch, "text")
+            keep = pa.array([has_letter(t) for t in text], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(text, pa.binary())], names=["lang", "text"]).filter(keep)
+
+    got = some.select("lang", "text").mapInArrow(lettered, "lang string, text binary").orderBy("lang", "text").toPandas()
     if got.empty:
         return None
     classes = sorted(got["lang"].unique())
-    x = np.frombuffer(b"".join(got["w"]), np.uint8).reshape(-1, WINDOW)
-    return ByteCnn(classes).fit(x, np.searchsorted(classes, got["lang"].to_numpy()))
+    texts, y = got["text"].tolist(), np.searchsorted(classes, got["lang"].to_numpy())
+    x = [windows(t) for t in texts]
+    model = ByteCnn(classes).fit(np.concatenate(x), np.repeat(y, [len(w) for w in x]))
+    q = np.concatenate([told(model, texts[a : a + 256]) for a in range(0, len(texts), 256)])
+    right = q.argmax(1) == y
+    model.floor = float(q.max(1)[right].min()) if right.any() else 0.0
+    return model
 
 
-def predict(docs: DataFrame, model: ByteCnn | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` with lang_pred and score: the mean of the windows' probabilities by their bytes, over the whole text.
+def predict(docs: DataFrame, model: ByteCnn | None, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` (all, if not given) with two more of these names: the language, and its probability over the whole text.
 
     `und` with score 0 for a null text, a text without letters, or where nothing was learned. Narrow: each
-    row is scored where it is read. Columns of these two names are replaced.
+    row is scored where it is read; rows that repeat an id are rows of their own. A kept column may not have one
+    of the two names: common.free() gives one that no column has.
     """
-    base = docs.select(*[c for c in (keep or docs.columns) if c not in ("lang_pred", "score")], F.col("text").alias("_text"))
-    schema = base.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    own = keep or docs.columns
+    hidden = free("text", [*own, *names])
+    base = docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").alias(hidden))
+    schema = base.drop(hidden).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
-                texts = byte_column(batch, "_text")
+                texts = byte_column(batch, hidden)
                 lang, score = ["und"] * len(texts), np.zeros(len(texts))
                 rows = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
                 if rows:
-                    x = [windows(texts[i]) for i in rows]
-                    at = np.cumsum([0, *map(len, x)])
-                    p = model.predict(np.concatenate(x)).astype(np.float64)
-                    weight = np.full(len(p), float(WINDOW))
-                    weight[at[1:] - 1] = [len(texts[i]) - WINDOW * (len(w) - 1) for i, w in zip(rows, x, strict=True)]
-                    q = np.add.reduceat(p * weight[:, None], at[:-1])
-                    q /= q.sum(1, keepdims=True)
+                    q = told(model, [texts[i] for i in rows])
                     score[rows] = q.max(1)
                     for i, k in zip(rows, q.argmax(1).tolist(), strict=True):
                         lang[i] = model.classes[k]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], *names])
 
     return base.mapInArrow(run, schema)
 

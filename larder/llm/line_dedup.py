@@ -1,287 +1,301 @@
-"""Line dedup by an exact set-similarity join: rarity order, prefix, position and length filters."""
+"""Line dedup by an exact set-similarity join: rarity order, prefix, position and length filters.
+
+A line's tokens are its 5-word shingles; a line of fewer words has its whole sequence as its one token.
+A row is known by (id, th), its id and a hash of its text, and a line by (id, th, line). Sets of tokens have
+names of 128 bits (fp1, fp2).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, hashes, lower_words, mix, parts, read, shingle_row, written
+from .common import byte_column, group_shingles, mix, parts, pieces, read, word_hashes, written
 
-SIZE = 5  # words of a shingle; a line with fewer words has its whole sequence as its one shingle
+SIZE = 5  # words of a shingle
 SKETCH = 1 << 20  # counters of shingle frequencies: fixed, so what is broadcast does not grow
 BLOCKS = 16
 SEEN = 200_000  # sets that a task remembers, so as not to send them again
 FEW = 8  # lines of a shingle that are all held against each other, and pivots of commoner shingles
 TOP, OF = 3, 4  # similarity 3/4
-
-
-def lines(text: bytes) -> list[list[bytes]]:
-    return [w for w in map(lower_words, text.split(b"\n"))]
-
-
-def line_shingles(texts: list[bytes], least: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of all lines with `least` words or more, by line: (shingle, line), and (text, number) of each such line."""
-    words: list[bytes] = []
-    where, size = [], []
-    for t, text in enumerate(texts):
-        for n, line in enumerate(text.split(b"\n")):
-            w = line.lower().split()
-            if len(w) >= least:
-                words += w
-                size.append(len(w))
-                where.append((t, n))
-    at = np.array(where, np.int64).reshape(-1, 2)
-    length = np.array(size, np.int64)
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), at[:, 0], at[:, 1]
-    line = np.repeat(np.arange(len(length)), length)
-    h = hashes(words)
-    s, own = shingle_row(h, SIZE), line[: max(0, len(h) - SIZE + 1)]
-    inside = own == line[SIZE - 1 :]
-    s, own = s[: len(own)][inside], own[inside]
-    start = np.cumsum(length) - length
-    for n in range(1, SIZE):
-        short = np.flatnonzero(length == n)
-        if len(short):
-            rows = np.concatenate([h[start[short] + k] for k in range(n)]).reshape(n, -1)
-            s, own = np.concatenate([s, whole_row(rows)]), np.concatenate([own, short])
-    line = own
-    order = np.lexsort((s, line))
-    s, line = s[order], line[order]
+NAME = ["fp1", "fp2"]
+PLACE = ["id", "th", "line"]
+NULL_ID = -(1 << 63)
+
+
+def key() -> list[Column]:
+    """id and th of a row. A null id comes before all others; its texts have hashes of their own, so that it is no other's row."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*key(), "text")
+
+
+def line_shingles(texts: list[bytes], least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all lines with `least` words or more and the line of each, in line order; the text and the number of each such line."""
+    raw = np.frombuffer(b"\n".join(texts), np.uint8)
+    h, at = word_hashes(raw)
+    ends = np.flatnonzero(raw == 10)
+    line = np.searchsorted(ends, at)  # all lines of all texts, counted on
+    own, length = np.unique_counts(line) if len(line) else (line, line)
+    if least > 1:
+        keep = length >= least
+        h, own, length = h[np.repeat(keep, length)], own[keep], length[keep]
+    s, group = group_shingles(h, length, SIZE)
+    edge = np.cumsum([len(t) + 1 for t in texts])
+    begin = np.concatenate([[0], ends + 1])[own]
+    text = np.searchsorted(edge, begin, "right")
+    first = np.searchsorted(ends, np.concatenate([[0], edge[:-1]]))  # the first line of each text
+    return s, group, text, own - first[text]
+
+
+def ordered(s: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each line, distinct, by rank and then by value."""
+    key = np.argsort(s)
+    for by in (rank, line):
+        key = key[np.argsort(by[key], kind="stable")]
+    s, line = s[key], line[key]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (line[1:] != line[:-1])
-    return s[new], line[new], at[:, 0], at[:, 1]
+    return s[new], line[new]
 
 
-def whole_row(h: np.ndarray) -> np.ndarray:
-    """The one shingle of each column of words, as shingle_row() has it of a sequence that is so short."""
-    acc = np.full(h.shape[1], len(h), np.uint64)
-    for row in h:
-        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + row)
-    return acc
+def set_names(s: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a name for each line's set, whatever the order of its tokens."""
+    out = []
+    for salt in (0x94D049BB133111EB, 0xA24BAED4963EE407):
+        acc = np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(salt)))])
+        out.append(mix(acc[start[1:]] - acc[start[:-1]]).view(np.int64))
+    return out[0], out[1]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for a in range(0, whole.num_rows, rows):
-            yield whole.slice(a, rows)
+def bounds(line: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(line, np.arange(n + 1))
+
 
+def line_sets_of(texts: list[bytes], least: int = 1, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """line_shingles() with the tokens of a line distinct, rare ones first if counts are given."""
+    s, line, text, number = line_shingles(texts, least)
+    small = np.uint16 if len(text) < 1 << 16 else np.int64  # radix-sorted
+    rank = np.zeros(len(s), np.uint16) if counts is None else counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+    s, own = ordered(s, line.astype(small), rank)
+    return s, own.astype(np.int64), text, number
 
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """Counts of all shingles of the corpus in SKETCH counters, 4 MB at any size."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+def line_table(docs: DataFrame, least: int = 1) -> DataFrame:
+    """One pass over keyed texts: id, th, line, fp1, fp2 of each line, and, in rows with a block, counts of their tokens in SKETCH counters."""
+    schema = "id long, th long, line int, fp1 long, fp2 long, block int, counts binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in pieces(batches):
-            s = line_shingles(byte_column(batch, "text"))[0]
+            s, line, text, number = line_sets_of(byte_column(batch, "text"), least)
             total += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        step = SKETCH // BLOCKS
-        for b in range(BLOCKS):
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([np.minimum(total[b * step : (b + 1) * step], 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["block", "counts"])
+            at, n = pa.array(text), len(text)
+            fp = set_names(s, bounds(line, n))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), pa.array(number, pa.int32()), *map(pa.array, fp), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        own = [pa.nulls(BLOCKS, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(range(BLOCKS), pa.int32()), pa.array(packed(total), pa.binary())], names=names)
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
+    return docs.mapInArrow(run, schema)
 
-    got = docs.select("text").mapInArrow(count, "block long, counts binary").groupBy("block").applyInPandas(add, "block long, counts binary").toPandas().sort_values("block")
-    return np.concatenate([np.frombuffer(x, "<i4") for x in got["counts"]]) if len(got) else np.zeros(SKETCH, np.int32)
 
+def packed(total: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in np.minimum(total, 2**31 - 1).astype("<i4").reshape(BLOCKS, -1)]
 
-def set_names(s: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each line's set."""
-    acc = np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ np.uint64(0x94D049BB133111EB)))])
-    return mix(acc[start[1:]] - acc[start[:-1]]).view(np.int64)
 
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """The counters of all tasks added up, as ranks of 16 bits by logarithm: 2 MB at any size. rows: block, counts."""
 
-def bounds(line: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(line, np.arange(n + 1))
-
-
-def line_table(docs: DataFrame, least: int = 1) -> DataFrame:
-    """doc_id, line, fp of each line of `least` words or more; fp names its shingle set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            s, line, text, number = line_shingles(byte_column(batch, "text"), least)
-            ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number), pa.array(set_names(s, bounds(line, len(text))))], names=["doc_id", "line", "fp"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BLOCKS, SKETCH // BLOCKS), np.int64)
+        for batch in batches:
+            for b, x in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+                total[b] += np.frombuffer(x.as_buffer(), "<i4")
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(packed(total.ravel()), pa.binary())], names=["block", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line long, fp long")
+    while rows.rdd.getNumPartitions() > 64:  # a tree of sums, so that no task adds more than a few dozen
+        rows = written(rows.coalesce(max(1, rows.rdd.getNumPartitions() // 32)).mapInArrow(add, "block int, counts binary"), "counts")
+    got = rows.coalesce(1).mapInArrow(add, "block int, counts binary").toPandas().sort_values("block")
+    total = np.concatenate([np.frombuffer(x, "<i4") for x in got["counts"]]) if len(got) else np.zeros(SKETCH, np.int32)
+    return np.round(np.log2(total + 1.0) * 2000).astype(np.uint16)
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """g (shingle), fp, n (size of the set), i (place in rarity order) for the rarest shingles of each line: as many as two sets of the wanted similarity cannot both do without.
+    """g (token), fp1, fp2, ni (size of the set and place in rarity order) for the rarest tokens of each line: as many as two sets of the wanted similarity cannot both do without.
 
-    Lines of fewer than SIZE words are not among them: a set of one shingle is like none but its equals, which
-    have the same fp. A task gives the rows of a set once, or again where it has met SEEN others.
+    Lines of fewer than SIZE words are not among them: a set of one token is like none but its equals, which
+    have the same name. A task gives the rows of a set once, or again where it has met SEEN others.
     """
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in pieces(batches):
-            s, line, text, _ = line_shingles(byte_column(batch, "text"))
+            s, line, text, _ = line_sets_of(byte_column(batch, "text"), SIZE, held.value)
             start = bounds(line, len(text))
-            fp = set_names(s, start)
-            fresh = np.zeros(len(fp), bool)
-            fresh[np.unique(fp, return_index=True)[1]] = True
-            fresh &= ~np.fromiter(map(seen.__contains__, fp.tolist()), bool, len(fp))
+            fp1, fp2 = set_names(s, start)
+            fresh = np.zeros(len(fp1), bool)
+            fresh[np.unique(fp1, return_index=True)[1]] = True
+            both = (fp1 ^ mix(fp2.view(np.uint64)).view(np.int64)).tolist()
+            fresh &= ~np.fromiter(map(seen.__contains__, both), bool, len(both))
             if len(seen) > SEEN:
                 seen.clear()
-            seen.update(fp[fresh].tolist())
-            keep = np.repeat(fresh, np.diff(start))
-            s, line, fp = s[keep], (np.cumsum(fresh) - 1)[line[keep]], fp[fresh]
-            start = bounds(line, len(fp))
+            seen.update(x for x, new in zip(both, fresh.tolist(), strict=True) if new)
             n = np.diff(start)
-            order = np.lexsort((s, held.value[(s & np.uint64(SKETCH - 1)).astype(np.int64)], line))
             i = np.arange(len(s)) - np.repeat(start[:-1], n)
-            most = n - -(-TOP * n // OF) + 1
+            most = np.where(fresh, n - -(-TOP * n // OF) + 1, 0)
             keep = i < np.repeat(most, n)
-            g, own, i = s[order][keep], line[keep], i[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(fp[own]), pa.array(n[own] << 32 | i)], names=["g", "fp", "ni"])
+            own, i = line[keep], i[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), pa.array(fp1[own]), pa.array(fp2[own]), pa.array(n[own] << 32 | i)], names=["g", "fp1", "fp2", "ni"])
 
-    return docs.select("text").mapInArrow(run, "g long, fp long, ni long")
+    return docs.select("text").mapInArrow(run, "g long, fp1 long, fp2 long, ni long")
 
 
 def shared_only(sorted_rows: DataFrame) -> DataFrame:
-    """Of rows that lie sorted by (g, fp): one of each, and only those whose g has a second fp. A stream; no group is held."""
+    """Of rows that lie sorted by g those whose g has a second row. A stream; no group is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None  # the last row so far, and whether it has been given out
-        given = False
+        last: pa.RecordBatch | None = None  # not yet given out, as the next may have its g
+        twice = False  # whether one before it has
         for batch in batches:
             if not batch.num_rows:
                 continue
             if last is not None:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            g, fp = (batch.column(c).to_numpy() for c in ("g", "fp"))
+            g = batch.column("g").to_numpy()
             same = g[1:] == g[:-1]
-            new = np.concatenate([[True], ~same | (fp[1:] != fp[:-1])])
-            near = np.zeros(len(g), bool)
-            other = same & new[1:]
-            near[1:] |= other
-            near[:-1] |= other
-            # a row is wanted if its g has another fp: carry that along runs of equal fp
-            group = np.cumsum(new) - 1
-            keep = new & (np.bincount(group, near) > 0)[group]
-            if last is not None and given:
-                keep[0] = False
-                near[0] = True
-            yield batch.filter(pa.array(keep))
-            given = bool((np.bincount(group, near) > 0)[group[-1]]) if group[-1] or last is None or not given else True
-            last = batch.slice(batch.num_rows - 1, 1)
+            keep = np.concatenate([[twice], same])
+            twice = bool(keep[-1])
+            keep[:-1] |= same
+            yield batch.slice(0, len(g) - 1).filter(pa.array(keep[:-1]))
+            last = batch.slice(len(g) - 1, 1)
+        if last is not None and twice:
+            yield last
 
     return sorted_rows.mapInArrow(run, sorted_rows.schema)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (x, y) of fp those whose full sets are similar enough. texts: fp, s (the set's shingles)."""
-    one = pairs.join(texts.select(F.col("fp").alias("x"), F.col("s").alias("sx")), "x")
-    both = one.join(texts.select(F.col("fp").alias("y"), F.col("s").alias("sy")), "y").select("x", "y", "sx", "sy")
+def name_of(x: str) -> list[Column]:
+    return [F.col(c).alias(x + c) for c in NAME]
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (xfp1, xfp2, yfp1, yfp2) those whose full sets are similar enough. sets: fp1, fp2, s (the set's tokens)."""
+    both = pairs
+    for x in "xy":
+        both = both.join(sets.select(*name_of(x), F.col("s").alias("s" + x)), [x + c for c in NAME])
+    names = ["xfp1", "xfp2", "yfp1", "yfp2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2_000):
+        for whole in batches:
             ok = []
-            for p, q in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True):
-                a, b = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                n = len(np.intersect1d(a, b, assume_unique=True))
+            for p, q in zip(whole.column("sx"), whole.column("sy"), strict=True):
+                a, b = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
+                x = np.concatenate([a, b])
+                x.sort()
+                n = int((x[1:] == x[:-1]).sum())
                 ok.append(OF * n >= TOP * (len(a) + len(b) - n))
-            yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+            yield whole.select(names).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "x long, y long")
+    return both.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp and s (packed shingles) of the wanted lines, given as doc_id, line, fp: each document brings only those."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "fp")).alias("asked"))
+    """fp1, fp2 and s (packed tokens) of the wanted lines, given as id, th, line, fp1, fp2: each row brings only those."""
+    asked = wanted.groupBy("id", "th").agg(F.collect_list("line").alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            fps, sets = [], []
-            for text, rows in zip(byte_column(batch, "text"), batch.column("asked").to_pylist(), strict=True):
+            some = []
+            for text, numbers in zip(byte_column(batch, "text"), batch.column("asked").to_pylist(), strict=True):
                 own = text.split(b"\n")
-                for r in rows:
-                    if r["line"] < len(own):
-                        s, line, t, _ = line_shingles([own[r["line"]]])
-                        if len(t) and int(set_names(s, bounds(line, 1))[0]) == r["fp"]:
-                            fps.append(r["fp"])
-                            sets.append(s.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], names=["fp", "s"])
+                some += [own[k] for k in numbers]
+            s, line, text, _ = line_sets_of(some)
+            start = bounds(line, len(text))
+            sets = [s[a:b].astype("<u8").tobytes() for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, set_names(s, start)), pa.array(sets, pa.binary())], names=[*NAME, "s"])
 
-    return docs.select("doc_id", "text").join(asked, "doc_id").select("text", "asked").mapInArrow(run, "fp long, s binary").dropDuplicates(["fp"])
+    return docs.join(asked, ["id", "th"]).select("text", "asked").mapInArrow(run, "fp1 long, fp2 long, s binary").dropDuplicates(NAME)
 
 
 def later_matches(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """fp of the sets that have an earlier similar one, from members (g, k, fp, n, i, o): k sets share the shingle g, o is the set's first line, as a struct that sorts by place.
+    """Names of the sets that have an earlier similar one, from members (g, k, fp1, fp2, n, i, o): k sets share the token g, o is the set's first line, as a struct that sorts by place.
 
-    As with documents, no shingle gives all pairs of its lines. First its pivots are held against later
-    members that pass the length and position filters: all of a shingle of up to FEW sets, else the earliest
+    As with documents, no token gives all pairs of its lines. First its pivots are held against later
+    members that pass the length and position filters: all of a token of up to FEW sets, else the earliest
     of each of FEW hash slices. Copies of one line have found their match then. What has none yet, in a
-    larger shingle, is held against all earlier members, once: nothing is left out.
+    commoner token, is held against all earlier members, once: nothing is left out.
     """
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = written(pairs, "pairs")
-        sets = written(sets_of(pairs.select(F.explode(F.array("x", "y")).alias("fp")).distinct()), "sets")
-        return pairs, written(confirmed(pairs, sets).select(F.col("x").alias("fp")).distinct(), "hits")
+        names = pairs.select(F.explode(F.array(F.struct(F.col("xfp1").alias("fp1"), F.col("xfp2").alias("fp2")), F.struct(F.col("yfp1").alias("fp1"), F.col("yfp2").alias("fp2")))).alias("n")).select("n.*").distinct()
+        sets = written(sets_of(names), "sets")
+        return pairs, written(confirmed(pairs, sets).select(F.col("xfp1").alias("fp1"), F.col("xfp2").alias("fp2")).distinct(), "hits")
 
     def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        p = earlier.select("g", F.col("fp").alias("y"), F.col("o").alias("py"), F.col("n").alias("pn"), F.col("i").alias("pi"))
+        p = earlier.select("g", *name_of("y"), F.col("o").alias("py"), F.col("n").alias("pn"), F.col("i").alias("pi"))
         overlap = F.ceil(F.lit(TOP) * (F.col("n") + F.col("pn")) / F.lit(TOP + OF))
         fits = (OF * F.least("n", "pn") >= TOP * F.greatest("n", "pn")) & (F.least(F.col("n") - F.col("i"), F.col("pn") - F.col("pi")) >= overlap)
-        return later.join(p, "g").where((F.col("py") < F.col("o")) & fits).select(F.col("fp").alias("x"), "y").distinct()
+        return later.join(p, "g").where((F.col("py") < F.col("o")) & fits).select(*name_of("x"), "yfp1", "yfp2").distinct()
 
-    slice_ = F.when(F.col("k") <= FEW, F.col("fp")).otherwise(F.pmod(F.xxhash64("fp"), F.lit(FEW)))
-    pivots = members.groupBy("g", slice_.alias("slice")).agg(F.min(F.struct("o", "fp", "n", "i")).alias("p")).select("g", "p.*")
+    slice_ = F.when(F.col("k") <= FEW, F.col("fp1")).otherwise(F.pmod(F.xxhash64(*NAME), F.lit(FEW)))
+    pivots = members.groupBy("g", slice_.alias("slice")).agg(F.min(F.struct("o", "fp1", "fp2", "n", "i")).alias("p")).select("g", "p.*")
     pairs, found = verified(candidates(members, pivots))
     large = members.where(F.col("k") > FEW)
-    rest = large.join(found, "fp", "left_anti")
-    # the earliest of a shingle has nothing before it
+    rest = large.join(found, NAME, "left_anti")
+    # the earliest of a token has nothing before it
     first = large.groupBy("g").agg(F.min("o").alias("least"))
     rest = written(rest.join(first, "g").where("o > least").drop("least"), "open")
     if not rest.take(1):
         return found
-    new = verified(candidates(rest, large).join(pairs, ["x", "y"], "left_anti"))[1]
+    new = verified(candidates(rest, large).join(pairs, pairs.columns, "left_anti"))[1]
     return found.unionByName(new).distinct()
 
 
 def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
-    """doc_id, line (from 0) of the lines that go: those with a similar line before them, by (doc_id, line), anywhere in the corpus.
+    """id, th, line (from 0) of the lines that go: those with a similar line before them, by (id, th, line), anywhere in the table.
 
-    Similar: the sets of 5-word shingles have Jaccard 3/4 or more; equal sets are. A line of fewer words has its
-    whole sequence as its one shingle. The line before need not stay itself. Lines without words and lines of
-    null texts stay, so do those of fewer than `least` words; documents with a null id stay, those of an id
-    that is repeated are read as one document's lines. An empty table gives no rows.
+    Similar: the sets of tokens have Jaccard 3/4 or more; equal sets are. The line before need not stay
+    itself. Lines without words and lines of null texts stay, so do those of fewer than `least` words. Rows
+    with null ids come first; rows that repeat an id are rows of their own, in the order of their texts'
+    hashes; rows that repeat both id and text lose the same lines. An empty table gives no rows; columns other
+    than doc_id and text are not looked at. Texts of any length are read whole.
     """
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = written(line_table(docs, least), "lines")
-    first = written(every.groupBy("fp").agg(F.min(F.struct("doc_id", "line")).alias("o")), "first")
-    rows = prefixes(docs, frequencies(docs)).repartition(parts(docs.sparkSession), "g").sortWithinPartitions("g", "fp")
-    members = shared_only(rows).select("g", "fp", F.shiftright("ni", 32).alias("n"), F.col("ni").bitwiseAND(2**32 - 1).alias("i"))
-    shared = members.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
-    members = written(members.join(shared, "g").join(first, "fp"), "members")
-    found = later_matches(members, lambda ids: line_sets(docs, first.join(ids, "fp", "left_semi").select(F.col("o.doc_id").alias("doc_id"), F.col("o.line").alias("line"), "fp")))
-    # what stays is the first line of each set that has no earlier similar one: no join deals all copies of a line by its fp
-    stay = first.join(found, "fp", "left_anti").select("o.doc_id", "o.line", "fp")
-    return every.join(stay, ["doc_id", "line", "fp"], "left_anti").select("doc_id", "line").distinct()
+    docs = keyed(docs)
+    both = written(line_table(docs, least), "lines")
+    every = both.where("block IS NULL").select(*PLACE, *NAME)
+    first = written(every.groupBy(*NAME).agg(F.min(F.struct(*PLACE)).alias("o")), "first")
+    counts = frequencies(both.where("block IS NOT NULL").select("block", "counts"))
+    rows = prefixes(docs, counts).repartition(parts(docs.sparkSession), "g").sortWithinPartitions("g")
+    members = written(shared_only(rows).dropDuplicates(["g", *NAME]).select("g", *NAME, F.shiftright("ni", 32).alias("n"), F.col("ni").bitwiseAND(2**32 - 1).alias("i")), "shared")
+    shared = members.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = written(members.join(shared, "g").join(first, NAME), "members")
+    found = later_matches(members, lambda names: line_sets(docs, first.join(names, NAME, "left_semi").select("o.*", *NAME)))
+    # what stays is the first line of each set that has no earlier similar one: no join deals all copies of a line by its name
+    stay = first.join(found, NAME, "left_anti").select("o.*")
+    return every.select(*PLACE).join(stay, PLACE, "left_anti").distinct()
 
 
 def without_repeats(docs: DataFrame, least: int = 1) -> DataFrame:
-    """docs with the removed lines cut from `text`; all documents and columns stay."""
-    gone = removed_lines(docs, least).groupBy("doc_id").agg(F.collect_list(F.col("line").cast("int")).alias("_gone"))
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(gone, "doc_id", "left")
-    return out.select(*[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    """docs with the removed lines cut from `text`; all rows and columns stay, whatever their names."""
+    gone = removed_lines(docs, least).groupBy("id", "th").agg(F.collect_list("line").alias("numbers"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), *key())
+    text = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("numbers", i)), "\n")
+    out = row.join(gone, ["id", "th"], "left")
+    return out.select(*[F.when(F.col("numbers").isNull(), F.col("row.text")).otherwise(text).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines, n_removed and the numbers of the removed lines."""
+    """Per row: doc_id, n_lines, n_removed and the numbers of the removed lines."""
     docs = read(spark, sf_dir, "documents")
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_removed"), F.array_sort(F.collect_list("line")).alias("removed"))
-    n = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    return n.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
+    gone = removed_lines(docs).groupBy("id", "th").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    n = docs.select("doc_id", *key(), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    return n.join(gone, ["id", "th"], "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.col("removed").cast("array<long>"), F.array().cast("array<long>")).alias("removed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, read, written
@@ -11,9 +11,9 @@ DIGITS = 3  # hex digits of a bucket: 4,096 buckets a level
 WEIGHTS = (5, 2, 1)
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
     """Per document: id, source, size in words, and the hash that decides; a null text has size 0."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"), *more)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -68,8 +68,8 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return goals.alias("g").join(state.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))).select("g.*", "s.bound")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words, repeats counted) and copies.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, keep: bool = False) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken (words, repeats counted) and copies; with `keep` also `row`, a struct of all its columns.
 
     Null text or id: size 0, or the hash of the empty string. Null sources are one source, the last. Rows
     that repeat an id share a hash, so they are taken alike. Reruns agree: only ids decide. An empty table
@@ -79,8 +79,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     goals = written(targets(sized, weights, share, most), "targets")
     bound = thresholds(sized, goals)
     copies = F.col("passes") + F.when(F.col("budget") <= 0, 0).when(F.col("bound").isNull(), 1).otherwise((F.col("d.h") < F.col("bound")).cast("long"))
+    if keep:
+        sized = sizes(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = sized.alias("d").join(bound.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
-    return joined.select("d.doc_id", "d.source", "d.size", "g.source_size", "g.target", (F.col("d.size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+    return joined.select("d.doc_id", "d.source", "d.size", "g.source_size", "g.target", (F.col("d.size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), *(["d.row"] if keep else []))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,14 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, hashes, held_out, read, shingle_set, training
+from .common import byte_column, group_shingles, hashes, held_out, read, training, written
 
 BITS = 18
 STRIP = b""".,;:!?"'()[]{}|#$%&*<>"""
 PREFIXES = (3, 4, 5, 6)  # bytes
-TRAIN_ROWS = 4_000  # labelled documents of each class that are learned from, about
-TRAIN_TOKENS = 400  # in a row, of each of them: the first and the last half of it
+WIDTH = 1 + len(PREFIXES)  # features of a word at most
+TRAIN_ROWS = 1_500  # labelled documents of each class that are learned from, about; their texts whole
+LEAST = 4  # toxic documents that a feature must be in to label a token
+TIMES = 40  # how much commoner, by share of documents, it must be in toxic ones
+SURE = 8.5  # nats of evidence that this is no chance, by the numbers of documents with it
 CACHE = 400_000
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def features(word: bytes) -> list[int]:
@@ -29,8 +33,8 @@ def features(word: bytes) -> list[int]:
     return [zlib.crc32(p) >> (32 - BITS) for p in parts]
 
 
-def marginals(e: np.ndarray, length: np.ndarray, trans: np.ndarray, block: int = 64) -> np.ndarray:
-    """P(label 1) of each token by forward-backward, for sequences laid end to end.
+def marginals(e: np.ndarray, length: np.ndarray, trans: np.ndarray, block: int = 64, pairs: np.ndarray | None = None) -> np.ndarray:
+    """P(label 1) of each token by forward-backward, for sequences laid end to end; `pairs`, if given, gets the expected number of each (label before, label).
 
     e: log-odds of label 1 by the token itself; trans[i, j]: log weight of j after i; before a text stands 0.
     Each block of tokens is one product of 2x2 matrices, all blocks are taken at once; only the vectors
@@ -63,25 +67,65 @@ def marginals(e: np.ndarray, length: np.ndarray, trans: np.ndarray, block: int =
         end[at] = w[d]
         x = np.einsum("nij,nj->ni", p[at], w[d])
         w[d] = x / x.sum(1, keepdims=True)
-    alpha = np.empty((block, total, 2))
-    v = start
+    alpha = np.empty((block + 1, total, 2))
+    alpha[0] = v = start
     for k in range(block):
         x = v @ t
         x[:, 1] *= a[k]
         x /= x.sum(1, keepdims=True)
-        alpha[k] = v = np.where(live[k][:, None], x, v)
+        alpha[k + 1] = v = np.where(live[k][:, None], x, v)
     out, w = np.empty((block, total)), end
     for k in range(block - 1, -1, -1):
-        x = alpha[k] * w
+        x = alpha[k + 1] * w
         out[k] = x[:, 1] / x.sum(1)
         y = w.copy()
         y[:, 1] *= a[k]
+        if pairs is not None:
+            both = alpha[k][:, :, None] * t * y[:, None, :]
+            both /= both.sum((1, 2), keepdims=True)
+            pairs += both[live[k]].sum(0)
         y = y @ t.T
         y /= y.sum(1, keepdims=True)
         w = np.where(live[k][:, None], y, w)
     return out[col, row]
 
 
+@dataclass
+class Texts:
+    """Training texts as numbers: `token` is the word of each token, texts end to end; `grid` the WIDTH features of each word, filled up with 1 << BITS."""
+
+    token: np.ndarray
+    length: np.ndarray
+    grid: np.ndarray
+    name: np.ndarray  # a 64-bit hash of each word
+
+    @classmethod
+    def of(cls, texts: list[list[bytes]]) -> Texts:
+        words = list(dict.fromkeys(w for t in texts for w in t))
+        number = {w: i for i, w in enumerate(words)}
+        return cls(np.array([number[w] for t in texts for w in t], np.int64), np.array([len(t) for t in texts], np.int64), word_grid(words), hashes(words))
+
+    def some(self, keep: np.ndarray) -> Texts:
+        return Texts(self.token[np.repeat(keep, self.length)], self.length[keep], self.grid, self.name)
+
+    def runs(self, size: int) -> Iterator[slice]:
+        """Runs of texts of about `size` tokens."""
+        edge = np.cumsum(self.length)
+        a = 0
+        while a < len(edge):
+            b = max(a + 1, int(np.searchsorted(edge, (edge[a - 1] if a else 0) + size, "right")))
+            yield slice(a, b)
+            a = b
+
+
+def word_grid(words: list[bytes]) -> np.ndarray:
+    grid = np.full((len(words), WIDTH), 1 << BITS, np.int32)
+    for i, w in enumerate(words):
+        f = features(w)
+        grid[i, : len(f)] = f
+    return grid
+
+
 @dataclass
 class Crf:
     weight: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, np.float32))
@@ -118,38 +162,34 @@ class Crf:
         z = self.link @ np.array([1.0, *self.summary(p)])
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
-    def fit(self, texts: list[list[bytes]], toxic: np.ndarray, rounds: int = 60, least: int = 5) -> Crf:
+    def fit(self, texts: Texts, toxic: np.ndarray, rounds: int = 40, least: int = LEAST, times: float = TIMES) -> Crf:
         """Labels tokens, then fits the field to them, then the score to the documents' labels.
 
-        A token counts as toxic in a toxic document if one of its features is in `least` toxic documents (or one in
-        a hundred of them, if that is more) and at least 100 times as often in those as in others by share.
+        A token counts as toxic in a toxic document if one of its features is in `least` toxic documents, `times` as
+        often in those as in others by share, and by SURE more often. Copies within a class count once.
         """
-        keep = originals(texts)  # copies of one text would make all its words look telling
-        texts, toxic = [texts[i] for i in keep], toxic[keep]
+        keep = originals(texts, toxic)  # copies of one text would make all its words look telling
+        texts, toxic = texts.some(keep), toxic[keep]
         n = np.maximum(np.bincount(toxic, minlength=2), 1)
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        feats: dict[bytes, list[int]] = {}
-        for t, y in zip(texts, toxic.tolist(), strict=True):
-            for w in set(t).difference(feats):
-                feats[w] = features(w)
-            seen[y].update({f for w in set(t) for f in feats[w]})
-        least = max(least, 0.01 * n[1])
-        bad = {f for f, c in seen[1].items() if c >= least and c / n[1] >= 100 * (seen[0][f] + 0.05) / n[0]}
-        # windows with what is labelled, or with harmless words that share a feature with it, and as much of the rest as TRAIN_TOKENS gives
-        like = {f for t, y in zip(texts, toxic.tolist(), strict=True) if y for w in set(t) if not bad.isdisjoint(feats[w]) for f in feats[w]}
-        close = {w for w, f in feats.items() if not like.isdisjoint(f)}
-        seqs: list[list[bytes]] = []
-        goal: list[np.ndarray] = []
-        for t, y in zip(texts, toxic.tolist(), strict=True):
-            z = np.array([bool(y) and not bad.isdisjoint(feats[w]) for w in t], bool)
-            for a in range(0, len(t), TRAIN_TOKENS // 2):
-                part = z[a : a + TRAIN_TOKENS // 2]
-                if part.any() or not close.isdisjoint(t[a : a + TRAIN_TOKENS // 2]) or a < TRAIN_TOKENS // 2 or a + TRAIN_TOKENS // 2 >= len(t):
-                    seqs.append(t[a : a + TRAIN_TOKENS // 2])
-                    goal.append(part)
-        if bad and seqs:
-            self._fit_field(seqs, np.concatenate(goal), feats, rounds)
-        x = np.array([[1.0, *self.summary(p)] for a in range(0, len(texts), 200) for p in self.tag(texts[a : a + 200])]).reshape(-1, 3)
+        own = np.repeat(np.arange(len(toxic)), texts.length)
+        pair = distinct((own[:, None] << (BITS + 1) | texts.grid[texts.token]).ravel())
+        y, f = toxic[pair >> (BITS + 1)], pair & ((1 << (BITS + 1)) - 1)
+        clean, bad = (np.bincount(f[y == k], minlength=(1 << BITS) + 1) for k in (0, 1))
+        sure = np.zeros(len(bad))
+        for c, k in ((bad, n[1]), (clean, n[0])):
+            sure += c * np.log(np.maximum(c, 1e-9) / k / np.maximum(bad + clean, 1e-9) * n.sum())
+        telling = (bad >= least) & (bad / n[1] >= times * (clean + 0.05) / n[0]) & (sure >= SURE)
+        telling[-1] = False
+        goal = telling[texts.grid].any(1)[texts.token] & (toxic[own] > 0)
+        if goal.any():
+            self._fit_field(texts, goal, rounds)
+        marks = []
+        edge = np.concatenate([[0], np.cumsum(texts.length)])
+        e = self.bias + np.append(self.weight, 0.0)[texts.grid].sum(1)[texts.token]
+        for part in texts.runs(1 << 18):
+            p = marginals(e[edge[part.start] : edge[part.stop]], texts.length[part], self.trans)
+            marks += [[1.0, *self.summary(q)] for q in np.split(p, np.cumsum(texts.length[part])[:-1])]
+        x = np.array(marks).reshape(-1, 3)
         for _ in range(30):  # Newton's steps with a little ridge
             q = 1 / (1 + np.exp(-np.clip(x @ self.link, -50, 50)))
             ridge = np.array([1e-3, 1e-2, 1e-2]) * max(1, len(x)) * 0.01
@@ -158,91 +198,124 @@ class Crf:
             self.link = self.link - np.clip(np.linalg.solve(h, g), -2, 2)
         return self
 
-    def _fit_field(self, seqs: list[list[bytes]], goal: np.ndarray, feats: dict[bytes, list[int]], rounds: int) -> None:
-        index = {w: i for i, w in enumerate(dict.fromkeys(w for s in seqs for w in s))}
-        token = np.fromiter((index[w] for s in seqs for w in s), np.int64)
-        length = np.array([len(s) for s in seqs], np.int64)
-        width = 1 + len(PREFIXES)
-        grid = np.full((len(index), width), 1 << BITS, np.int64)  # the last weight stays 0
-        for w, i in index.items():
-            grid[i, : len(feats[w])] = feats[w]
-        begin = np.zeros(len(token), bool)
-        begin[np.cumsum(length)[:-1]] = True
-        begin[0] = True
+    def _fit_field(self, texts: Texts, goal: np.ndarray, rounds: int) -> None:
+        """Ascends the likelihood of the labels: of the features' weights, the bias and the four transitions, each by what was seen less what the field expects."""
+        token, length, grid = texts.token, texts.length, texts.grid
+        n = len(token)
+        begin = np.zeros(n, bool)
+        begin[(np.cumsum(length) - length)[length > 0]] = True
         before = np.where(begin, 0, np.concatenate([[0], goal[:-1]])).astype(int)
-        gold = np.zeros((2, 2))
-        np.add.at(gold, (before, goal.astype(int)), 1)
-        weight, n = np.zeros((1 << BITS) + 1), len(token)
-        # transitions are fixed at their smoothed maximum-likelihood odds to the unigram; tokens fit the rest
-        rows = (gold + 1) / (gold + 1).sum(1, keepdims=True)
-        self.trans = np.log(rows) - np.log(rows[0])[None, :] * np.array([1.0, 1.0])
-        bias, m, v = self.bias, np.zeros_like(weight), np.zeros_like(weight)
-        hot = goal.astype(float)
+        seen = np.bincount(before * 2 + goal, minlength=4).reshape(2, 2).astype(float)
+        weight, bias = np.zeros((1 << BITS) + 1), self.bias
+        trans = np.log((seen + 1) / (seen + 1).sum(1, keepdims=True))
+        trans -= trans[:, :1]  # of two labels one is free
+        m, v = np.zeros_like(weight), np.zeros_like(weight)
+        hot, edge = goal.astype(float), np.concatenate([[0], np.cumsum(length)])
+        m4, v4 = np.zeros(5), np.zeros(5)
         for r in range(1, rounds + 1):
             e = bias + weight[grid].sum(1)[token]
-            d = marginals(e, length, self.trans) - hot
-            by_word = np.bincount(token, d, len(index))
-            g = np.bincount(grid.ravel(), np.repeat(by_word, width), len(weight)) + 0.02 * weight
+            expected, d = np.zeros((2, 2)), np.empty(n)
+            for part in texts.runs(1 << 18):
+                a, b = edge[part.start], edge[part.stop]
+                d[a:b] = marginals(e[a:b], length[part], trans, pairs=expected) - hot[a:b]
+            by_word = np.bincount(token, d, len(grid))
+            g = np.bincount(grid.ravel(), np.repeat(by_word, WIDTH), len(weight)) + 0.02 * weight
             g[-1] = 0
+            few = np.append((expected - seen).ravel() + 0.02 * trans.ravel(), d.sum())
+            few[[0, 2]] = 0  # fixed, as above
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            weight -= 0.3 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-3)
-            weight[-1] = 0
-            bias -= 0.5 * np.sign(d.sum()) * min(1.0, abs(d.sum()) / n * 1000) / np.sqrt(r)
-        self.weight, self.bias = weight[:-1].astype(np.float32), float(bias)
-
-
-def originals(texts: list[list[bytes]], size: int = 16, same: int = 4) -> list[int]:
-    """The rows without those that share `same` of their `size` least shingles with rows before them."""
-    seen: set[int] = set()
-    keep = []
-    for i, t in enumerate(texts):
-        least = set(shingle_set(hashes(t))[:size].tolist())
-        if len(least & seen) < min(same, max(1, len(least))):
-            keep.append(i)
-        seen |= least
+            m4 += 0.1 * (few - m4)
+            v4 += 0.01 * (few * few - v4)
+            rate = np.sqrt(1 - 0.99**r) / (1 - 0.9**r)
+            weight -= 0.3 * rate * m / (np.sqrt(v) + 1e-3)
+            few = 0.1 * rate * m4 / (np.sqrt(v4) + 1e-3)
+            trans -= few[:4].reshape(2, 2)
+            bias -= few[4]
+        self.weight, self.bias, self.trans = weight[:-1].astype(np.float32), float(bias), trans
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def originals(texts: Texts, toxic: np.ndarray, size: int = 16, same: int = 4) -> np.ndarray:
+    """Whether a text shares fewer than `same` of its `size` least shingles with those of its class before it."""
+    s, own = group_shingles(texts.name[texts.token], texts.length)
+    order = np.lexsort((s, own))
+    s, own = s[order], own[order]
+    edge = np.searchsorted(own, np.arange(len(texts.length) + 1)).tolist()
+    seen: tuple[set[int], set[int]] = (set(), set())
+    keep = np.ones(len(texts.length), bool)
+    for i, (a, b, y) in enumerate(zip(edge[:-1], edge[1:], toxic.tolist(), strict=True)):
+        least = set(s[a : min(b, a + size)].tolist())
+        keep[i] = len(least & seen[y]) < min(same, max(1, len(least)))
+        seen[y].update(least)
     return keep
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int = 4) -> Crf:
-    """The field, learned from about `rows` labelled documents of each class, chosen by hash of the id. Rows without label or text teach nothing; several labels of one id count as toxic if one is."""
+    """The field, learned from the whole texts of about `rows` labelled documents of each class, chosen by hash of the id.
+
+    Rows without label or text teach nothing; several labels of one id count as toxic if one is. Words become
+    numbers in the executors: the driver gets a hash a token, and the features of each distinct word once.
+    """
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & training("doc_id", folds)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     count = own.groupBy("toxic").count()
     share = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
     some = own.join(F.broadcast(count), "toxic").where(share < rows / F.col("count")).select("doc_id", "toxic")
-    # at most a few thousand ids, by the bound above
-    got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id").mapInArrow(_trim, "doc_id long, toxic int, text binary").orderBy("doc_id", "text").toPandas()
-    texts = [bytes(t).split() for t in got["text"]]
-    return Crf().fit(texts, got["toxic"].to_numpy(np.int64)) if len(texts) else Crf()
 
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, y, text in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), byte_column(batch, "text"), strict=True):
+                words = text.lower().split()
+                own = list(set(words))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key], pa.int64()), pa.array([y], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (hashes(words), hashes(own), word_grid(own)))],
+                    names=["doc_id", "toxic", "tokens", "words", "grid"],
+                )
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, g in zip(batch.column("words").to_pylist(), batch.column("grid").to_pylist(), strict=True):
+                grid = np.frombuffer(g, np.int32).reshape(-1, WIDTH)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(w, np.int64)), pa.array([x.tobytes() for x in grid], pa.binary())], names=["word", "grid"])
 
-def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lower-cased words; of very long texts 2,000 from both ends, so that what the driver gets is bounded."""
-    for batch in batches:
-        words = [t.lower().split() for t in byte_column(batch, "text")]
-        words = [w if len(w) <= 4_000 else w[:2_000] + w[-2_000:] for w in words]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array([b" ".join(w) for w in words], pa.binary())], names=["doc_id", "toxic", "text"])
-
-
-def scored(docs: DataFrame, model: Crf, spans: bool = False, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score and, if asked for, spans (first and last token of each run of tokens above the threshold).
+    # at most a few thousand ids, by the bound above
+    picked = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(some), "doc_id")
+    picked = written(picked.mapInArrow(numbers, "doc_id long, toxic int, tokens binary, words binary, grid binary"), "labelled")
+    got = picked.select("doc_id", "toxic", "tokens").orderBy("doc_id", "tokens").toPandas()
+    if got.empty:
+        return Crf()
+    words = picked.select("words", "grid").mapInArrow(split, "word long, grid binary").groupBy("word").agg(F.first("grid").alias("grid")).toPandas()
+    name = words["word"].to_numpy(np.int64)
+    order = np.argsort(name)
+    name, grid = name[order], np.frombuffer(b"".join(words["grid"].iloc[order]), np.int32).reshape(-1, WIDTH)
+    length = np.array([len(t) // 8 for t in got["tokens"]], np.int64)
+    token = np.searchsorted(name, np.frombuffer(b"".join(got["tokens"]), np.int64))
+    toxic = got["toxic"].to_numpy(np.int64)
+    del words, got
+    return Crf().fit(Texts(token, length, grid, name.view(np.uint64)), toxic)
+
+
+def scored(docs: DataFrame, model: Crf, threshold: float = 0.5) -> DataFrame:
+    """doc_id, score and spans: from where to where in the text, in characters, each run of tokens above the threshold goes.
 
     Whole texts of any length; null and empty ones get the score of a text without tokens. Narrow: rows are
-    scored where they are read; repeated and null ids are rows like any other.
+    scored where they are read; repeated and null ids are rows like any other, other columns are not looked at.
     """
-    schema = "doc_id long, score double" + ", spans array<struct<first:int,last:int>>" * spans
+    offsets = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _sliced(whole):
-                texts = [t.lower().split() for t in byte_column(batch, "text")]
-                tags = model.tag(texts)
-                out = [batch.column("doc_id").cast(pa.int64()), pa.array([model.score(p) for p in tags], pa.float64())]
-                if spans:
-                    out.append(pa.array([_runs(p > threshold) for p in tags], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "score", "spans"][: len(out)])
+                own = byte_column(batch, "text")
+                tags = model.tag([t.lower().split() for t in own])
+                spans = [_spans(t, p > threshold) for t, p in zip(own, tags, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([model.score(p) for p in tags], pa.float64()), pa.array(spans, offsets)], names=["doc_id", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
 
 
 def _sliced(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
@@ -250,12 +323,16 @@ def _sliced(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, rows)
 
 
-def _runs(on: np.ndarray) -> list[dict[str, int]]:
+def _spans(text: bytes, on: np.ndarray) -> list[dict[str, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
-    return [{"first": int(a), "last": int(b) - 1} for a, b in edge.reshape(-1, 2)]
+    if not len(edge):
+        return []
+    at = [m.span() for m in WORDS.finditer(text)]
+    place = lambda k: len(text[:k].decode("utf-8", "replace"))
+    return [{"start": place(at[a][0]), "end": place(at[b - 1][1])} for a, b in edge.reshape(-1, 2)]
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = scored(docs, train(docs, read(spark, sf_dir, "labels")))
-    return out.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")

@@ -14,10 +14,27 @@ def test_short_lines_go_too(spark):
     want = {(i, k) for n, (i, k, s) in enumerate(lines) if s and any(4 * len(s & e) >= 3 * len(s | e) for _, _, e in lines[:n])}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {(0, 1), (1, 0), (2, 1), (4, 0)} <= want and len(want) > 300
-    assert {tuple(r) for r in line_dedup.removed_lines(docs).collect()} == want
+    assert {(r["id"], r["line"]) for r in line_dedup.removed_lines(docs).collect()} == want
 
 
 def test_a_hot_line_is_sent_once_a_task(spark):
     docs = spark.createDataFrame([(i, "this line is in every document of all") for i in range(3000)], "doc_id long, text string").coalesce(1)
-    rows = line_dedup.prefixes(docs, line_dedup.frequencies(docs))
+    counted = line_dedup.line_table(line_dedup.keyed(docs)).where("block IS NOT NULL").select("block", "counts")
+    rows = line_dedup.prefixes(docs, line_dedup.frequencies(counted))
     assert rows.count() == rows.distinct().count() > 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    x, y, z = "one two three four five six", "seven eight nine ten eleven twelve", "a line of its own in one row"
+    rows = [(1, x), (4, f"{y}\n{x}"), (4, f"first\n{z}"), (None, f"{x}\nshort"), (None, "short"), (7, y), (7, y), (8, None), (9, ""), (10, " \n\t")]
+    docs = spark.createDataFrame([(i, t, "s", 1, "o") for i, t in rows], "doc_id long, text string, th string, row long, numbers string").repartition(3)
+    out = line_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert {r["th"] for r in out.collect()} == {"s"}
+    # rows without an id come first: their x stays, one of their two "short" goes
+    kept = [t for i, t in got if i is None]
+    assert sorted(kept) in (sorted([f"{x}\nshort", ""]), sorted([x, "short"]))
+    assert [t for i, t in got if i == 1] == [""]
+    assert sorted(t for i, t in got if i == 4) == sorted([y, f"first\n{z}"])
+    assert [t for i, t in got if i in (7, 8, 9, 10)] == [" \n\t", "", "", None, ""] or sorted(str(t) for i, t in got if i in (7, 8, 9, 10)) == sorted(["", "", "None", "", " \n\t"])
