@@ -9,32 +9,46 @@ from larder.llm import bpe, common, langid, line_dedup, mixing, near_dup
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (null, or without a letter) go. Doubt between languages is no fault of a text: no score is too low."""
-    found = langid.predict(docs.withColumn("_lang", F.col("lang")), langid.train(docs), keep=docs.columns)
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    """Texts in no language that was learned go: null ones, those without a letter, and those whose language is more doubtful than that of any training document that is told right. Where nothing can be learned, only null texts and those without a letter go. Rows that repeat an id are told each for itself."""
+    model = langid.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    lang, score = (common.free(c, docs.columns) for c in ("lang_pred", "lang_score"))
+    found = langid.predict(docs, model, names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= model.floor)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are like an earlier one go, but for those of fewer than five words (test_lines wants these to stay; op2 removes them); every document stays. n_chars is that of what is left."""
-    out = line_dedup.without_repeats(docs, least=line_dedup.SIZE)
+    """Lines that are like an earlier one go, short ones too; every document stays. n_chars is that of what is left. Nulls, repeats and ties: see line_dedup.removed_lines."""
+    out = line_dedup.without_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of the smallest id; rows without an id stay, as they link with nothing."""
-    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates stays: the one of the smallest id and, of several texts with that id, of the smallest hash. Rows without an id or a word stay, as they link with nothing. Of rows that are alike in id and text one stays."""
+    found = common.written(near_dup.near_duplicates(docs), "near")
+    linked = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    first = linked.where("kept").groupBy("component_id").agg(F.min("th").alias("least"))
+    linked = linked.groupBy("doc_id", "th").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).join(first, "component_id")
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("least"))
+    gone = linked.where(~stays).select(F.col("doc_id").alias("id"), "th")
+    again = linked.where(stays & (F.col("rows") > 1)).select(F.col("doc_id").alias("id"), "th")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
+    rows = rows.join(gone, ["id", "th"], "left_anti")
+    if again.take(1):
+        rows = rows.join(again, ["id", "th"], "left_anti").unionByName(rows.join(again, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes: none, one or two."""
-    taken = mixing.mix(docs).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    out = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).where("t.copies > 0")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("t.copies").cast("int")))).select("d.*")
+    """As many copies of each row as the mix takes: none, one or two. Null sources are a source, texts without words go with their hash, as all do; rows that repeat an id are rows of their own."""
+    taken = mixing.mix(docs, keep=True)
+    out = taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token ids, with their number."""
+    """The documents as token ids, with their number; the text goes, and columns that have the names of the new ones. A null text has no ids, as an empty one."""
     return bpe.encode_documents(docs, common.vocabulary("word_bpe_49k.json")).withColumn("n_tokens", F.size("ids").cast("long")).drop("decoded", "text")
 
 
