@@ -99,9 +99,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of some bytes, A-Z lower-cased, and where it begins: a polynomial's prefix sums, taken for all words at once."""
-    hashed, begins = [], []
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word of some bytes, A-Z lower-cased, where it begins and its bytes: a polynomial's prefix sums, taken for all words at once."""
+    hashed, begins, widths = [], [], []
     a = 0
     while a < len(raw):
         b = min(len(raw), a + STRIDE)
@@ -119,10 +119,11 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = edge[::2], edge[1::2]
         hashed.append(mix((total[y] - total[x]) * down[x] + (y - x).astype(np.uint64)))
         begins.append(x + a)
+        widths.append(y - x)
         a = b
     if not hashed:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashed), np.concatenate(begins)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashed), np.concatenate(begins), np.concatenate(widths)
 
 
 def group_shingles(h: np.ndarray, length: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -143,17 +144,17 @@ def group_shingles(h: np.ndarray, length: np.ndarray, size: int = 5) -> tuple[np
     return s, own
 
 
-def text_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some texts end to end, and how many each has."""
+def text_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts end to end, how many each text has, and the bytes of each word."""
     raw = np.frombuffer(b"\n".join(texts), np.uint8)
-    h, at = word_hashes(raw)
+    h, at, width = word_hashes(raw)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return h, np.diff(np.searchsorted(at, ends), prepend=0)
+    return h, np.diff(np.searchsorted(at, ends), prepend=0), width
 
 
 def shingle_sets(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The sets of some texts end to end, each sorted and distinct, and their sizes; none without words."""
-    h, length = text_words(texts)
+    h, length, _ = text_words(texts)
     s, own = group_shingles(h, length, size)
     if (own[1:] < own[:-1]).any():
         order = np.argsort(own, kind="stable")

@@ -20,7 +20,8 @@ SIZE = 5  # words of a shingle
 SKETCH = 1 << 20  # counters of shingle frequencies: fixed, so what is broadcast does not grow
 BLOCKS = 16
 SEEN = 200_000  # sets that a task remembers, so as not to send them again
-FEW = 8  # lines of a shingle that are all held against each other, and pivots of commoner shingles
+FEW = 8  # sets with a token that are all held against each other, and pivots of commoner tokens
+HELD = 4_096  # rows of one token that the stream holds; of more it gives each on
 TOP, OF = 3, 4  # similarity 3/4
 NAME = ["fp1", "fp2"]
 PLACE = ["id", "th", "line"]
@@ -39,7 +40,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def line_shingles(texts: list[bytes], least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all lines with `least` words or more and the line of each, in line order; the text and the number of each such line."""
     raw = np.frombuffer(b"\n".join(texts), np.uint8)
-    h, at = word_hashes(raw)
+    h, at, _ = word_hashes(raw)
     ends = np.flatnonzero(raw == 10)
     line = np.searchsorted(ends, at)  # all lines of all texts, counted on
     own, length = np.unique_counts(line) if len(line) else (line, line)
@@ -47,6 +48,9 @@ def line_shingles(texts: list[bytes], least: int = 1) -> tuple[np.ndarray, np.nd
         keep = length >= least
         h, own, length = h[np.repeat(keep, length)], own[keep], length[keep]
     s, group = group_shingles(h, length, SIZE)
+    if (group[1:] < group[:-1]).any():  # shorter lines' tokens come behind
+        order = np.argsort(group.astype(np.uint16) if len(length) < 1 << 16 else group, kind="stable")
+        s, group = s[order], group[order]
     edge = np.cumsum([len(t) + 1 for t in texts])
     begin = np.concatenate([[0], ends + 1])[own]
     text = np.searchsorted(edge, begin, "right")
@@ -56,13 +60,30 @@ def line_shingles(texts: list[bytes], least: int = 1) -> tuple[np.ndarray, np.nd
 
 def ordered(s: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each line, distinct, by rank and then by value."""
-    key = np.argsort(s)
-    for by in (rank, line):
-        key = key[np.argsort(by[key], kind="stable")]
-    s, line = s[key], line[key]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (line[1:] != line[:-1])
-    return s[new], line[new]
+    key = (line.astype(np.uint64) << np.uint64(48)) | (rank.astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
+    order = np.argsort(key)
+    key, t = key[order], s[order]
+    if (line >> 16).any() or ((key[1:] == key[:-1]) & (t[1:] < t[:-1])).any():  # what the key leaves out decides
+        order = np.lexsort((s, rank, line))
+        t = s[order]
+    line = line[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (line[1:] != line[:-1])
+    return t[new], line[new]
+
+
+def repeated(s: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Whether a token has been in its line before."""
+    key = mix(s + line.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+    twice = np.sort(key)
+    twice = np.unique(twice[1:][twice[1:] == twice[:-1]])
+    out = np.zeros(len(s), bool)
+    if len(twice):
+        at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key)
+        order = np.lexsort((at, s[at], line[at]))
+        x, y = s[at][order], line[at][order]
+        out[at[order[1:]]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    return out
 
 
 def set_names(s: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +102,10 @@ def bounds(line: np.ndarray, n: int) -> np.ndarray:
 def line_sets_of(texts: list[bytes], least: int = 1, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """line_shingles() with the tokens of a line distinct, rare ones first if counts are given."""
     s, line, text, number = line_shingles(texts, least)
-    small = np.uint16 if len(text) < 1 << 16 else np.int64  # radix-sorted
-    rank = np.zeros(len(s), np.uint16) if counts is None else counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-    s, own = ordered(s, line.astype(small), rank)
-    return s, own.astype(np.int64), text, number
+    if counts is None:
+        own = ~repeated(s, line)
+        return s[own], line[own], text, number
+    return *ordered(s, line, counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]), text, number
 
 
 def line_table(docs: DataFrame, least: int = 1) -> DataFrame:
@@ -158,28 +179,69 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "g long, fp1 long, fp2 long, ni long")
 
 
-def shared_only(sorted_rows: DataFrame) -> DataFrame:
-    """Of rows that lie sorted by g those whose g has a second row. A stream; no group is held."""
+def fits(n: np.ndarray | Column, i: np.ndarray | Column, m: np.ndarray | Column, j: np.ndarray | Column, least: Callable, most: Callable) -> np.ndarray | Column:
+    """Whether sets of n and m tokens that meet at places i and j of their orders can be similar enough, by length and by what is left behind the places."""
+    return (OF * least(n, m) >= TOP * most(n, m)) & ((TOP + OF) * least(n - i, m - j) >= TOP * (n + m))
+
+
+def paired(sorted_rows: DataFrame) -> DataFrame:
+    """Of rows that lie sorted by g: the pairs (fp1, fp2, yfp1, yfp2; g null) of sets that share a token, where it is in up to FEW sets; the members (g, fp1, fp2, n, i) of commoner tokens. A stream that holds HELD rows of a token at most."""
+    names = ["g", "fp1", "fp2", "yfp1", "yfp2", "n", "i"]
+
+    def rows_of(**columns: np.ndarray) -> pa.RecordBatch:
+        n = len(columns["fp1"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(n, pa.int64()) for c in names], names=names)
+
+    def members(x: np.ndarray) -> pa.RecordBatch:
+        return rows_of(g=x[0], fp1=x[1], fp2=x[2], n=x[3] >> 32, i=x[3] & (2**32 - 1))
+
+    def closed(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """x: g, fp1, fp2, ni of whole tokens."""
+        same = x[0, 1:] == x[0, :-1]
+        more = np.zeros(x.shape[1], bool)
+        more[1:] |= same
+        more[:-1] |= same
+        x = x[:, more]
+        x = x[:, np.lexsort(x[2::-1])]
+        x = x[:, np.concatenate([[True], (x[:3, 1:] != x[:3, :-1]).any(0)])] if x.shape[1] else x
+        if not x.shape[1]:
+            return
+        begin = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]]))
+        k = np.diff(np.append(begin, x.shape[1]))
+        run, large = np.repeat(np.arange(len(k)), k), np.repeat(k > FEW, k)
+        if large.any():
+            yield members(x[:, large])
+        x, run = x[:, ~large], run[~large]
+        n, i = x[3] >> 32, x[3] & (2**32 - 1)
+        for d in range(1, FEW):
+            a = np.flatnonzero(run[d:] == run[:-d])
+            b = a + d
+            ok = fits(n[a], i[a], n[b], i[b], np.minimum, np.maximum)
+            a, b = a[ok], b[ok]
+            if len(a):
+                yield rows_of(fp1=x[1, a], fp2=x[2, a], yfp1=x[1, b], yfp2=x[2, b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None  # not yet given out, as the next may have its g
-        twice = False  # whether one before it has
+        held, hot = np.zeros((4, 0), np.int64), None
         for batch in batches:
-            if not batch.num_rows:
+            x = np.stack([batch.column(c).to_numpy() for c in ("g", "fp1", "fp2", "ni")])
+            if hot is not None:
+                n = int(np.searchsorted(x[0] != hot, True))
+                yield members(x[:, :n])
+                x = x[:, n:]
+                hot = hot if not x.shape[1] else None
+            x = np.concatenate([held, x], 1)
+            if not x.shape[1]:
                 continue
-            if last is not None:
-                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            g = batch.column("g").to_numpy()
-            same = g[1:] == g[:-1]
-            keep = np.concatenate([[twice], same])
-            twice = bool(keep[-1])
-            keep[:-1] |= same
-            yield batch.slice(0, len(g) - 1).filter(pa.array(keep[:-1]))
-            last = batch.slice(len(g) - 1, 1)
-        if last is not None and twice:
-            yield last
+            last = int(np.searchsorted(x[0] == x[0, -1], True))
+            yield from closed(x[:, :last])
+            held = x[:, last:]
+            if held.shape[1] > HELD:
+                yield members(held)
+                held, hot = held[:, :0], int(held[0, 0])
+        yield from closed(held)
 
-    return sorted_rows.mapInArrow(run, sorted_rows.schema)
+    return sorted_rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def name_of(x: str) -> list[Column]:
@@ -187,76 +249,90 @@ def name_of(x: str) -> list[Column]:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (xfp1, xfp2, yfp1, yfp2) those whose full sets are similar enough. sets: fp1, fp2, s (the set's tokens)."""
+    """The later set (fp1, fp2) of each pair (xfp1, xfp2, yfp1, yfp2) whose full sets are similar enough. sets: fp1, fp2, s (the set's tokens), and the id, th, line where it is first."""
     both = pairs
     for x in "xy":
-        both = both.join(sets.select(*name_of(x), F.col("s").alias("s" + x)), [x + c for c in NAME])
-    names = ["xfp1", "xfp2", "yfp1", "yfp2"]
+        both = both.join(sets.select(*name_of(x), *[F.col(c).alias(x + c) for c in ("s", *PLACE)]), [x + c for c in NAME])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             ok = []
-            for p, q in zip(whole.column("sx"), whole.column("sy"), strict=True):
+            for p, q in zip(whole.column("xs"), whole.column("ys"), strict=True):
                 a, b = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
                 x = np.concatenate([a, b])
                 x.sort()
                 n = int((x[1:] == x[:-1]).sum())
                 ok.append(OF * n >= TOP * (len(a) + len(b) - n))
-            yield whole.select(names).filter(pa.array(ok, pa.bool_()))
+            own = whole.filter(pa.array(ok, pa.bool_()))
+            later = np.zeros(own.num_rows, bool)
+            for c in reversed(PLACE):
+                x, y = own.column("x" + c).to_numpy(), own.column("y" + c).to_numpy()
+                later = (x > y) | ((x == y) & later)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(later, own.column("x" + c).to_numpy(), own.column("y" + c).to_numpy())) for c in NAME], names=NAME)
 
-    return both.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return both.mapInArrow(run, "fp1 long, fp2 long")
 
 
 def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp1, fp2 and s (packed tokens) of the wanted lines, given as id, th, line, fp1, fp2: each row brings only those."""
+    """fp1, fp2, s (packed tokens) and place of the wanted lines, given as id, th, line: each row brings only those."""
     asked = wanted.groupBy("id", "th").agg(F.collect_list("line").alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            some = []
-            for text, numbers in zip(byte_column(batch, "text"), batch.column("asked").to_pylist(), strict=True):
+            some, at, numbers = [], [], []
+            for n, (text, asked) in enumerate(zip(byte_column(batch, "text"), batch.column("asked").to_pylist(), strict=True)):
                 own = text.split(b"\n")
-                some += [own[k] for k in numbers]
+                some += [own[k] for k in asked]
+                at += [n] * len(asked)
+                numbers += asked
             s, line, text, _ = line_sets_of(some)
             start = bounds(line, len(text))
             sets = [s[a:b].astype("<u8").tobytes() for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, set_names(s, start)), pa.array(sets, pa.binary())], names=[*NAME, "s"])
+            row = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, set_names(s, start)), pa.array(sets, pa.binary()), batch.column("id").take(row), batch.column("th").take(row), pa.array(numbers, pa.int32())], names=[*NAME, "s", *PLACE])
 
-    return docs.join(asked, ["id", "th"]).select("text", "asked").mapInArrow(run, "fp1 long, fp2 long, s binary").dropDuplicates(NAME)
+    return docs.join(asked, ["id", "th"]).mapInArrow(run, "fp1 long, fp2 long, s binary, id long, th long, line int").dropDuplicates(NAME)
 
 
-def later_matches(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Names of the sets that have an earlier similar one, from members (g, k, fp1, fp2, n, i, o): k sets share the token g, o is the set's first line, as a struct that sorts by place.
+def later_matches(shared: DataFrame, first: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Names of the sets that have an earlier similar one, from what paired() gives and the first line of each set (fp1, fp2, o: a struct that sorts by place).
 
-    As with documents, no token gives all pairs of its lines. First its pivots are held against later
-    members that pass the length and position filters: all of a token of up to FEW sets, else the earliest
-    of each of FEW hash slices. Copies of one line have found their match then. What has none yet, in a
-    commoner token, is held against all earlier members, once: nothing is left out.
+    As with documents, no token gives all pairs of its lines. The sets of a token of up to FEW are all paired.
+    Of a commoner token first the pivots, the earliest of each of FEW hash slices, are held against the other
+    members. Copies of one line have found their match then. What has none yet is held against all
+    earlier members of the token, once: nothing is left out.
     """
 
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = written(pairs, "pairs")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The later sets of the pairs that are similar."""
         names = pairs.select(F.explode(F.array(F.struct(F.col("xfp1").alias("fp1"), F.col("xfp2").alias("fp2")), F.struct(F.col("yfp1").alias("fp1"), F.col("yfp2").alias("fp2")))).alias("n")).select("n.*").distinct()
-        sets = written(sets_of(names), "sets")
-        return pairs, written(confirmed(pairs, sets).select(F.col("xfp1").alias("fp1"), F.col("xfp2").alias("fp2")).distinct(), "hits")
+        return written(confirmed(pairs, written(sets_of(names), "sets")).distinct(), "found")
 
     def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        p = earlier.select("g", *name_of("y"), F.col("o").alias("py"), F.col("n").alias("pn"), F.col("i").alias("pi"))
-        overlap = F.ceil(F.lit(TOP) * (F.col("n") + F.col("pn")) / F.lit(TOP + OF))
-        fits = (OF * F.least("n", "pn") >= TOP * F.greatest("n", "pn")) & (F.least(F.col("n") - F.col("i"), F.col("pn") - F.col("pi")) >= overlap)
-        return later.join(p, "g").where((F.col("py") < F.col("o")) & fits).select(*name_of("x"), "yfp1", "yfp2").distinct()
-
-    slice_ = F.when(F.col("k") <= FEW, F.col("fp1")).otherwise(F.pmod(F.xxhash64(*NAME), F.lit(FEW)))
-    pivots = members.groupBy("g", slice_.alias("slice")).agg(F.min(F.struct("o", "fp1", "fp2", "n", "i")).alias("p")).select("g", "p.*")
-    pairs, found = verified(candidates(members, pivots))
-    large = members.where(F.col("k") > FEW)
+        p = earlier.select("g", *name_of("y"), F.col("o").alias("py"), F.col("n").alias("m"), F.col("i").alias("j"))
+        met = later.join(p, "g").where((F.col("py") < F.col("o")) & fits(*map(F.col, ("n", "i", "m", "j")), F.least, F.greatest))
+        x, y = F.struct("fp1", "fp2"), F.struct(F.col("yfp1").alias("fp1"), F.col("yfp2").alias("fp2"))
+        met = met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+        return met.select(*[F.col(f"{x}.{c}").alias(x + c) for x in "xy" for c in NAME])
+
+    pairs = shared.where("g IS NULL").select(*name_of("x"), "yfp1", "yfp2")
+    large = shared.where("g IS NOT NULL").select("g", *NAME, "n", "i").dropDuplicates(["g", *NAME])
+    large = written(large.join(first, NAME), "large")
+    hot = bool(large.take(1))
+    if hot:
+        pivots = large.groupBy("g", F.pmod(F.xxhash64(*NAME), F.lit(FEW)).alias("slice")).agg(F.min(F.struct("o", "fp1", "fp2", "n", "i")).alias("p")).select("g", "p.*")
+        pairs = pairs.unionByName(candidates(large, pivots))
+    pairs = written(pairs.distinct(), "pairs")
+    found = verified(pairs)
+    if not hot:
+        return found
     rest = large.join(found, NAME, "left_anti")
     # the earliest of a token has nothing before it
-    first = large.groupBy("g").agg(F.min("o").alias("least"))
-    rest = written(rest.join(first, "g").where("o > least").drop("least"), "open")
+    least = large.groupBy("g").agg(F.min("o").alias("least"))
+    rest = written(rest.join(least, "g").where("o > least").drop("least"), "open")
     if not rest.take(1):
         return found
-    new = verified(candidates(rest, large).join(pairs, pairs.columns, "left_anti"))[1]
+    new = verified(written(candidates(rest, large).distinct().join(pairs, pairs.columns, "left_anti"), "pairs"))
     return found.unionByName(new).distinct()
 
 
@@ -275,10 +351,8 @@ def removed_lines(docs: DataFrame, least: int = 1) -> DataFrame:
     first = written(every.groupBy(*NAME).agg(F.min(F.struct(*PLACE)).alias("o")), "first")
     counts = frequencies(both.where("block IS NOT NULL").select("block", "counts"))
     rows = prefixes(docs, counts).repartition(parts(docs.sparkSession), "g").sortWithinPartitions("g")
-    members = written(shared_only(rows).dropDuplicates(["g", *NAME]).select("g", *NAME, F.shiftright("ni", 32).alias("n"), F.col("ni").bitwiseAND(2**32 - 1).alias("i")), "shared")
-    shared = members.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = written(members.join(shared, "g").join(first, NAME), "members")
-    found = later_matches(members, lambda names: line_sets(docs, first.join(names, NAME, "left_semi").select("o.*", *NAME)))
+    shared = written(paired(rows), "shared")
+    found = later_matches(shared, first, lambda names: line_sets(docs, first.join(names, NAME, "left_semi").select("o.*")))
     # what stays is the first line of each set that has no earlier similar one: no join deals all copies of a line by its name
     stay = first.join(found, NAME, "left_anti").select("o.*")
     return every.select(*PLACE).join(stay, PLACE, "left_anti").distinct()

@@ -1,5 +1,7 @@
 """Line dedup with short lines, against all-pairs comparison."""
 
+import numpy as np
+
 from larder.llm import common, line_dedup
 
 
@@ -38,3 +40,20 @@ def test_rows_that_share_an_id_or_have_none(spark):
     assert [t for i, t in got if i == 1] == [""]
     assert sorted(t for i, t in got if i == 4) == sorted([y, f"first\n{z}"])
     assert [t for i, t in got if i in (7, 8, 9, 10)] == [" \n\t", "", "", None, ""] or sorted(str(t) for i, t in got if i in (7, 8, 9, 10)) == sorted(["", "", "None", "", " \n\t"])
+
+
+def test_common_tokens(spark, monkeypatch):
+    """A token in many sets that are alike, or not, with a stream that holds few rows."""
+    monkeypatch.setattr(line_dedup, "HELD", 5)
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(120):
+        words = [f"t{k}" for k in range(24)]
+        for at in rng.choice(24, rng.integers(0, 4), replace=False):
+            words[at] = f"x{i}" if rng.random() < 0.5 else f"y{at}"
+        texts.append(" ".join(words) + (f"\nown line of text {i} here" if i % 3 else ""))
+    lines = [(i, k, shingle(line.split())) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n"))]
+    want = {(i, k) for n, (i, k, s) in enumerate(lines) if any(4 * len(s & e) >= 3 * len(s | e) for _, _, e in lines[:n])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert 20 < len(want) < len(lines) - 20
+    assert {(r["id"], r["line"]) for r in line_dedup.removed_lines(docs).collect()} == want
