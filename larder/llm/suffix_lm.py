@@ -9,16 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, hashes, held_out, mix, read, written
+from .common import byte_column, held_out, mix, read, text_words, written
 
 DEPTH = 6  # bytes of the longest context
 HEAD = 2  # contexts of so many bytes or fewer are few at any size (of the alphabet, not of the corpus): each task has them all
 LEAST = 2  # training symbols after a context that is a state
 GAIN = 3.0  # nats of training text that a context must save over the next shorter one, for each of its symbols
-CHUNK_MB = 16  # of text that one task holds together, about
+CHUNK_MB = 12  # of text that one task holds together, about
 MB = 1 << 20
 GAP, END = b" ", b"\n"  # after each word, and after the last one of a text; neither is in a word
 BYTE = np.uint64(8)
+END_HASH = np.uint64(0xD1B54A32D192ED03)
 
 
 def chunked(docs: DataFrame, chunks: int) -> DataFrame:
@@ -31,22 +32,14 @@ def chunked(docs: DataFrame, chunks: int) -> DataFrame:
     )
 
 
-def chunk_words(texts: list[bytes], teach: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens, the token numbers of all texts end to end, their lengths, training counts."""
-    number: dict[bytes, int] = {END: 0}
-    flat: list[int] = []
-    length = np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = t.lower().split()
-        for x in w:
-            if x not in number:
-                number[x] = len(number)
-        flat += map(number.__getitem__, w)
-        flat.append(0)
-        length[i] = len(w) + 1
-    ids = np.array(flat, np.int64)
-    count = np.bincount(ids, np.repeat(teach, length), len(number)).astype(np.int64)
-    return list(number), ids, length, count
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts end to end, words and one end each; the tokens of each text; the symbols of each token, with the GAP after a word."""
+    h, length, width = text_words(texts)
+    end = np.zeros(len(h) + len(texts), bool)
+    end[np.cumsum(length + 1) - 1] = True
+    out, wide = np.full(len(end), END_HASH), np.ones(len(end), np.int64)
+    out[~end], wide[~end] = h, width + 1
+    return out, length + 1, wide
 
 
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +91,23 @@ def starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def distinct(x: np.ndarray) -> np.ndarray:
-    """Sorted distinct values; x itself is sorted."""
-    x.sort()
-    return x[starts(x)]
+def numbered(x: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the place of each value among them."""
+    order = np.argsort(x, kind=kind)
+    y = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = y[1:] != y[:-1]
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return y[new], at
+
+
+def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, dict[int, slice]]:
+    """The order that lays what is of one bucket together, and where each bucket that has anything lies."""
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
+    own = bucket[order]
+    edge = [*starts(own).tolist(), len(own)]
+    return order, {int(own[a]): slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)}
 
 
 def taught(texts: list[bytes], teach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,20 +228,25 @@ def head(own: DataFrame) -> SuffixTree:
 
 
 def gather(own: DataFrame, buckets: int) -> DataFrame:
-    """Of each chunk, one row a bucket: its distinct tokens (hashes) and grams with their training counts, sorted and packed."""
+    """Of each chunk, one row for each bucket of which it has anything, so no more rows than distinct tokens and grams of the chunks: these with their training counts, sorted and packed."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         texts, teach = byte_column(table, "text"), ~table.column("held_out").to_numpy()
-        words, _, _, count = chunk_words(texts, teach)
-        h, count = summed(hashes(words), count)
-        del words
+        h, length, _ = tokens(texts)
+        h, at = numbered(h)
+        count = np.bincount(at, np.repeat(teach, length), len(h)).astype(np.int64)
         g, n = taught(texts, teach)
-        to, other = (h % np.uint64(buckets)).astype(np.int64), bucket_of(g, buckets)
-        rows = []
-        for b in range(buckets):
-            i, j = to == b, other == b
-            rows.append({"bucket": b, "chunk": key[0].as_py(), "h": packed(steps(h[i]), "<u8"), "c": packed(count[i], "<i8"), "g": packed(steps(g[j]), "<u8"), "n": packed(n[j], "<i8")})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *[(x, pa.binary()) for x in "hcgn"]]))
+        nothing = {"h": b"", "c": b"", "g": b"", "n": b""}
+        rows: dict[int, dict] = {}
+        order, place = by_bucket((h % np.uint64(buckets)).astype(np.int64))
+        h, count = h[order], count[order]
+        for b, i in place.items():
+            rows[b] = nothing | {"h": packed(steps(h[i]), "<u8"), "c": packed(count[i], "<i8")}
+        order, place = by_bucket(bucket_of(g, buckets))
+        g, n = g[order], n[order]
+        for b, i in place.items():
+            rows[b] = rows.get(b, nothing) | {"g": packed(steps(g[i]), "<u8"), "n": packed(n[i], "<i8")}
+        return pa.Table.from_pylist([{"bucket": b, "chunk": key[0].as_py()} | r for b, r in rows.items()], schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *[(x, pa.binary()) for x in "hcgn"]]))
 
     return own.groupBy("chunk").applyInArrow(run, "bucket int, chunk int, h binary, c binary, g binary, n binary")
 
@@ -247,7 +258,7 @@ def answered(rows: DataFrame, tree: SuffixTree) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         def together(name: str, number: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             each = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in table.column(name).to_pylist()]
-            own, at = np.unique(np.concatenate(each), return_inverse=True)
+            own, at = numbered(np.concatenate(each), "stable")  # runs that are sorted
             n = np.concatenate([unpacked(x, "<i8") for x in table.column(number).to_pylist()])
             return own, np.bincount(at, n, len(own)).astype(np.int64), at, np.cumsum([0, *map(len, each)])
 
@@ -281,33 +292,32 @@ def scores(docs: DataFrame, chunk_mb: float = CHUNK_MB) -> DataFrame:
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         texts = byte_column(left, "text")
-        words, ids, length, _ = chunk_words(texts, ~left.column("held_out").to_numpy())
         got = {r["bucket"]: r for r in right.select(["bucket", "c", "p"]).to_pylist()}
-        hashed = hashes(words)
-        h, at = np.unique(hashed, return_inverse=True)
-        count, to = np.zeros(len(h), np.int64), (h % np.uint64(chunks)).astype(np.int64)
-        for b, r in got.items():
-            count[to == b] = unpacked(r["c"], "<i8")
-        c = count[at][ids]
+
+        def filled(bucket: np.ndarray, name: str, kind: str) -> np.ndarray:
+            order, place = by_bucket(bucket)
+            out = np.empty(len(bucket), kind)
+            for b, i in place.items():
+                out[order[i]] = unpacked(got[b][name], kind)
+            return out
+
+        hashed, length, wide = tokens(texts)
+        h, at = numbered(hashed)
+        c = filled((h % np.uint64(chunks)).astype(np.int64), "c", "<i8")[at]
         base = np.log10(c + 1.0)
-        g = np.concatenate([np.zeros(0, np.uint64), *[distinct(grams(texts[part])[0]) for part in blocks(texts)]])
-        g = distinct(g)
-        p, to = np.zeros(len(g), np.float32), bucket_of(g, chunks)
-        for b, r in got.items():
-            p[to == b] = unpacked(r["p"], "<f4")
-        token = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        token[0] = 1  # the end has no space after it
-        each = np.zeros(len(ids))
+        parts_, own = list(blocks(texts)), []
+        for part in parts_:
+            own.append(numbered(grams(texts[part])[0]))
+        g = np.concatenate([np.zeros(0, np.uint64), *[x for x, _ in own]])
+        g.sort(kind="stable")
+        g = g[starts(g)]
+        p = filled(bucket_of(g, chunks), "p", "<f4")
+        each = np.zeros(len(hashed))
         start = np.cumsum(length) - length
-        for part in blocks(texts):
-            own = grams(texts[part])[0]
+        for part, (x, place) in zip(parts_, own, strict=True):
             i, j = start[part.start], start[part.start] + length[part].sum()
-            order = np.argsort(own)
-            x = np.empty(len(own), np.float32)
-            x[order] = p[np.searchsorted(g, own[order])]
-            x = x.astype(np.float64)
-            wide = token[ids[i:j]]
-            each[i:j] = np.add.reduceat(x, np.cumsum(wide) - wide)
+            x = p[np.searchsorted(g, x)][place].astype(np.float64)
+            each[i:j] = np.add.reduceat(x, np.cumsum(wide[i:j]) - wide[i:j])
         add = (lambda x: np.add.reduceat(x, start)) if len(texts) else (lambda x: x)
         v = np.zeros(len(texts), np.int64)
         v[:1] = sum(right.column("v").to_pylist())

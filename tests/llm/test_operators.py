@@ -65,6 +65,11 @@ def test_token_shards(spark, docs, tmp_path):
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"]) if r["doc_id"] is not None] == sorted(r["doc_id"] for r in got if r["doc_id"] is not None)
     assert sorted(x.tolist() for x in token_store.lookup(spark, folder, 4)) == sorted(of[4])
     assert token_store.lookup(spark, folder, 10**9) == []
+    assert sorted(x.tolist() for x in token_store.lookup(spark, folder, None)) == sorted(of[None])
+    odd = spark.createDataFrame([(None, "a b")] * 30 + [(-(2**63), t) for t in ("c", "d e", "f")] + [(k % 3, f"g {k}") for k in range(40)], "doc_id long, text string").repartition(4)
+    again = [token_store.read_back(token_store.write(odd, common.vocabulary("word_bpe_49k.json"), f"{folder}-{k}")).orderBy("start").collect() for k in range(2)]
+    assert again[0] == again[1] and [r["doc_id"] for r in again[0]] == [None] * 30 + [-(2**63)] * 3 + sorted(k % 3 for k in range(40))
+    assert len(token_store.lookup(spark, f"{folder}-0", -(2**63))) == 3
     assert token_store.read_back(token_store.write(empty(docs), common.vocabulary("word_bpe_49k.json"), folder + "e")).count() == 0
 
 
