@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larder.operators import matching, prices, relational, stock
-from larder.plans import shopping
+from larder.operators import filters, household, matching, prices, relational, stock
+from larder.plans import packs, shopping
 
-QUERIES = matching.QUERIES | prices.QUERIES | stock.QUERIES | shopping.QUERIES | relational.QUERIES
-SQL = matching.SQL | prices.SQL | stock.SQL | shopping.SQL | relational.SQL
+QUERIES = matching.QUERIES | prices.QUERIES | stock.QUERIES | shopping.QUERIES | packs.QUERIES | relational.QUERIES | filters.QUERIES | household.QUERIES
+SQL = matching.SQL | prices.SQL | stock.SQL | shopping.SQL | packs.SQL | relational.SQL | filters.SQL | household.SQL
