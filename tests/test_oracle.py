@@ -32,7 +32,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query_agrees_with_sql(spark, duck, name):
     import pandas as pd
 
