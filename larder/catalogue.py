@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larder.operators import filters, household, labels, matching, prices, reconcile, relational, stock, writes
-from larder.plans import packs, shopping
+from larder.operators import filters, household, labels, matching, prices, receipts, reconcile, relational, stock, writes
+from larder.plans import menu, packs, shopping
 
-QUERIES = matching.QUERIES | prices.QUERIES | stock.QUERIES | shopping.QUERIES | packs.QUERIES | relational.QUERIES | filters.QUERIES | household.QUERIES | labels.QUERIES | reconcile.QUERIES | writes.QUERIES
-SQL = matching.SQL | prices.SQL | stock.SQL | shopping.SQL | packs.SQL | relational.SQL | filters.SQL | household.SQL | labels.SQL | reconcile.SQL | writes.SQL
+QUERIES = matching.QUERIES | prices.QUERIES | stock.QUERIES | shopping.QUERIES | packs.QUERIES | relational.QUERIES | filters.QUERIES | household.QUERIES | labels.QUERIES | reconcile.QUERIES | writes.QUERIES | menu.QUERIES | receipts.QUERIES
+SQL = matching.SQL | prices.SQL | stock.SQL | shopping.SQL | packs.SQL | relational.SQL | filters.SQL | household.SQL | labels.SQL | reconcile.SQL | writes.SQL | menu.SQL | receipts.SQL

@@ -176,8 +176,8 @@ def repaired_text(spark: SparkSession, d: str) -> DataFrame:
 def guessed_stores(spark: SparkSession, d: str) -> DataFrame:
     """The store that a document names: learned names first, then key words; the first source wins."""
     source = F.lower("source")
-    learned = F.when(source.startswith("w"), "learned")
-    return table(spark, d, "documents").select("doc_id", F.coalesce(learned, F.when(F.contains(source, F.lit("o")), "by word")).alias("store")).where("store IS NOT NULL")
+    learned = F.when(source.isin("src3", "src12"), "learned")
+    return table(spark, d, "documents").select("doc_id", F.coalesce(learned, F.when(F.contains(source, F.lit("1")), "by word")).alias("store")).where("store IS NOT NULL")
 
 
 def answers_read(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +235,7 @@ SQL = {
       SELECT receipt, c // 100 || ',' || lpad((c % 100)::VARCHAR, 2, '0') || ' €' AS euros, CASE WHEN m < 60 THEN m || ' min' ELSE m // 60 || ' h' || CASE WHEN m % 60 > 0 THEN ' ' || lpad((m % 60)::VARCHAR, 2, '0') ELSE '' END END AS duration,
         CASE WHEN month(a) = month(b) THEN day(a) || ' au ' || day(b) || ' ' || mo[month(b)] ELSE day(a) || ' ' || mo[month(a)] || ' au ' || day(b) || ' ' || mo[month(b)] END AS period FROM o""",
     "repaired_text": "SELECT * FROM (VALUES (0::BIGINT, '10,50 €', 'other', 'none'), (1, 'filet de boeuf 1,20', 'main', 'beef'), (2, 'voir b', 'other', 'none'), (3, 'Tarte aux pommes', 'dessert', 'none'), (4, 'soupe de poisson', 'soup', 'fish'), (5, 'Poulet rôti' || chr(10) || 'riz', 'main', 'poultry'), (6, 'gâteau', 'dessert', 'none')) t(id, clean, kind, protein)",
-    "guessed_stores": "SELECT doc_id, CASE WHEN lower(source) LIKE 'w%' THEN 'learned' ELSE 'by word' END AS store FROM documents WHERE lower(source) LIKE 'w%' OR contains(lower(source), 'o')",
+    "guessed_stores": "SELECT doc_id, CASE WHEN source IN ('src3', 'src12') THEN 'learned' ELSE 'by word' END AS store FROM documents WHERE source IN ('src3', 'src12') OR contains(source, '1')",
     "answers_read": """SELECT event_id AS id, CAST(props->>'k' AS BIGINT) AS k, '{"k":' || (props->>'k') || ',"kind":"' || event_type || '"}' AS answer FROM events""",
     "pasted_texts": "SELECT doc_id, length(text) AS n, len(string_split(text, chr(10))) AS lines FROM documents WHERE length(text) BETWEEN 300 AND 30000",
 }

@@ -21,11 +21,12 @@ def best(now: DataFrame) -> DataFrame:
 
 
 def changes(p: DataFrame) -> DataFrame:
-    """Rises and falls of a pack's regular price of at least 10 cents and 10 percent of the one before."""
-    order = W.partitionBy("pack").orderBy("day", "store", "receipt", "line", "cents")
-    own = p.where("NOT promo").withColumn("before", F.lag("cents").over(order))
+    """Changes of a regular price of a pack in a store, by 10 cents and 10 percent of the one before at least: rises, and either way where the one before was an estimate (of a line 7)."""
+    order = W.partitionBy("pack", "store").orderBy("day", "receipt", "line", "cents")
+    own = p.where("NOT promo").withColumn("before", F.lag("cents").over(order)).withColumn("guess", F.lag("line").over(order) == 7)
     diff = F.col("cents") - F.col("before")
-    return own.where((F.abs(diff) >= 10) & (F.abs(diff) * 10 >= F.col("before"))).select("pack", "store", "day", "before", "cents", diff.alias("diff"), F.round(diff * 100 / F.col("before")).cast("long").alias("percent"))
+    large = (F.abs(diff) >= 10) & (F.abs(diff) * 10 >= F.col("before"))
+    return own.where(large & ((diff > 0) | F.col("guess"))).select("pack", "store", "day", "before", "cents", diff.alias("diff"), F.round(diff * 100 / F.col("before")).cast("long").alias("percent"), F.when(F.col("guess"), "recalibration").otherwise("rise").alias("kind"))
 
 
 def current_price(spark: SparkSession, d: str) -> DataFrame:
@@ -62,9 +63,9 @@ QUERIES = {f.__name__: f for f in (current_price, best_offer, price_changes, ref
 SQL = {
     "current_price": f"WITH {NOW} SELECT * FROM now",
     "best_offer": f"WITH {BEST} SELECT * FROM best",
-    "price_changes": f"""WITH {PRICES}, l AS (SELECT *, lag(cents) OVER (PARTITION BY pack ORDER BY day, store, receipt, line, cents) AS before FROM p WHERE NOT promo)
-      SELECT pack, store, day, before, cents, cents - before AS diff, CAST(round((cents - before) * 100 / before::DOUBLE) AS BIGINT) AS percent
-      FROM l WHERE abs(cents - before) >= 10 AND abs(cents - before) * 10 >= before""",
+    "price_changes": f"""WITH {PRICES}, l AS (SELECT *, lag(cents) OVER w AS before, lag(line) OVER w = 7 AS guess FROM p WHERE NOT promo WINDOW w AS (PARTITION BY pack, store ORDER BY day, receipt, line, cents))
+      SELECT pack, store, day, before, cents, cents - before AS diff, CAST(round((cents - before) * 100 / before::DOUBLE) AS BIGINT) AS percent, CASE WHEN guess THEN 'recalibration' ELSE 'rise' END AS kind
+      FROM l WHERE abs(cents - before) >= 10 AND abs(cents - before) * 10 >= before AND (cents > before OR guess)""",
     "reference_price": f"""WITH {BEST} SELECT pack, store, cents, CASE WHEN p_size > 0 THEN CAST(round(cents * CASE WHEN pack % 3 = 2 THEN 1 ELSE 1000 END / p_size::DOUBLE) AS BIGINT) END AS per_reference
       FROM best JOIN part ON p_partkey = pack""",
     "price_history_top": f"""WITH {PRICES}, r AS (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY day DESC, receipt DESC, line DESC, store DESC, cents DESC) AS rank FROM p)

@@ -37,16 +37,19 @@ def recipes_with_ingredient(spark: SparkSession, d: str) -> DataFrame:
 
 
 def empty_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Households without order, planned meal or positive balance: anti joins."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("household"), "c_acctbal")
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("household"))
+    """Lists (orders) without item, receipt and stock: three anti joins, on large lines, on returned ones and on planned meals of the household."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("list"), F.col("o_custkey").alias("household"))
+    li = lines(spark, d).withColumnRenamed("receipt", "list")
     e = table(spark, d, "events").select(F.col("user_id").alias("household"))
-    return c.where("c_acctbal <= 5000").join(o, "household", "left_anti").join(e, "household", "left_anti").select("household")
+    return o.join(li.where("qty > 25"), "list", "left_anti").join(li.where("flag = 'R'"), "list", "left_anti").join(e, "household", "left_anti").select("list")
 
 
 def equipment_covered(spark: SparkSession, d: str) -> DataFrame:
-    """Recipes whose stores are all among those owned (even numbers), with what is missing counted."""
-    return lines(spark, d).groupBy("receipt").agg(F.count_if(F.col("store") % 2 == 1).alias("missing")).where("missing = 0").select("receipt")
+    """Recipes all of whose stores are owned (those of even number with a positive balance): what is missing is found first, then the recipes without any."""
+    owned = table(spark, d, "supplier").where("s_suppkey % 2 = 0 AND s_acctbal > 0").select(F.col("s_suppkey").alias("store"))
+    needed = lines(spark, d).select("receipt", "store").distinct()
+    missing = needed.join(owned, "store", "left_anti").select("receipt").distinct()
+    return needed.select("receipt").distinct().join(missing, "receipt", "left_anti")
 
 
 def meal_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +119,7 @@ def week_start(spark: SparkSession, d: str) -> DataFrame:
 
 def search_folded(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose folded text holds a folded word."""
-    return table(spark, d, "documents").where(F.contains(text.fold(F.col("text")), F.lit("eleve"))).select("doc_id", "source")
+    return table(spark, d, "documents").where(F.contains(text.fold(F.col("text")), F.lit("etion"))).select("doc_id", "source")
 
 
 def label_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -144,8 +147,8 @@ SQL = {
     "store_aisle_totals": f"WITH {LINES} SELECT store, p_type AS aisle, CAST(sum(paid) AS BIGINT) AS paid, CAST(grouping(p_type) AS INTEGER) AS subtotal FROM li JOIN part ON p_partkey = pack GROUP BY GROUPING SETS ((store, p_type), (store))",
     "menu_use_counts": "SELECT user_id AS household, count(DISTINCT (CAST(ts AS DATE), event_type)) AS meals FROM events GROUP BY 1",
     "recipes_with_ingredient": "SELECT o_orderkey AS receipt, o_orderstatus AS status FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1)",
-    "empty_lists": "SELECT c_custkey AS household FROM customer WHERE c_acctbal <= 5000 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)",
-    "equipment_covered": f"WITH {LINES} SELECT receipt FROM li GROUP BY receipt HAVING count(*) FILTER (store % 2 = 1) = 0",
+    "empty_lists": f"WITH {LINES} SELECT o_orderkey AS list FROM orders WHERE NOT EXISTS (SELECT 1 FROM li WHERE receipt = o_orderkey AND qty > 25) AND NOT EXISTS (SELECT 1 FROM li WHERE receipt = o_orderkey AND flag = 'R') AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = o_custkey)",
+    "equipment_covered": f"WITH {LINES} SELECT receipt FROM li LEFT JOIN supplier ON s_suppkey = store AND s_suppkey % 2 = 0 AND s_acctbal > 0 GROUP BY receipt HAVING count(*) FILTER (s_suppkey IS NULL) = 0",
     "meal_grid": """SELECT n_nationkey::BIGINT AS household, CAST(day AS INTEGER) AS day, slot, CAST(n_nationkey % 4 + 1 - CASE WHEN day > 5 THEN 1 ELSE 0 END AS BIGINT) AS eaters
       FROM nation, range(1, 8) t(day), (VALUES ('breakfast'), ('lunch'), ('snack'), ('dinner')) s(slot)""",
     "list_link": """WITH o AS (SELECT o_orderkey AS id, o_custkey AS household, CAST(o_orderdate AS DATE) AS day, o_orderstatus AS status FROM orders),
@@ -169,7 +172,7 @@ SQL = {
       a AS (SELECT *, CAST(date_part('year', age(DATE '{TODAY}', birth)) AS INTEGER) AS years FROM c)
       SELECT *, CAST(CASE WHEN years < 1 THEN 0 WHEN years < 3 THEN 3 WHEN years < 5 THEN 5 WHEN years < 12 THEN 7 WHEN years < 15 THEN 8 ELSE 10 END AS BIGINT) AS tenths FROM a""",
     "week_start": "SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS monday, count(*) AS n, count(DISTINCT isodow(o_orderdate)) AS weekdays FROM orders GROUP BY 1",
-    "search_folded": f"SELECT doc_id, source FROM documents WHERE contains({text.fold_sql('text')}, 'eleve')",
+    "search_folded": f"SELECT doc_id, source FROM documents WHERE contains({text.fold_sql('text')}, 'etion')",
     "label_tokens": f"""WITH t AS (SELECT p_partkey, unnest(string_split(regexp_replace({text.fold_sql('p_name')}, '[^a-z0-9]+', ' ', 'g'), ' ')) AS w FROM part),
       c AS (SELECT DISTINCT p_partkey, CASE WHEN length(w) > 3 AND regexp_matches(w, '[sx]$') THEN left(w, length(w) - 1) ELSE w END AS token FROM t WHERE w <> '' AND w NOT IN ('de','du','des','la','le','les','the','of','a'))
       SELECT token, count(*) AS n FROM c GROUP BY token""",
