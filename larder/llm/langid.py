@@ -40,7 +40,7 @@ class ByteCnn:
         self.bias = np.zeros(len(WIDTHS) * FILTERS, np.float32)
         self.out = rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(classes))).astype(np.float32)
         self.base = np.zeros(len(classes), np.float32)
-        self.floor = 0.0  # the least score of a training document that is told right
+        self.floor = 0.0  # scores below it say that a text is in no language of these
 
     def pooled(self, x: np.ndarray, where: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
         tops, at = [], []
@@ -136,7 +136,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, folds: int = 4) -> ByteCnn |
     model = ByteCnn(classes).fit(np.concatenate(x), np.repeat(y, [len(w) for w in x]))
     q = np.concatenate([told(model, texts[a : a + 256]) for a in range(0, len(texts), 256)])
     right = q.argmax(1) == y
-    model.floor = float(q.max(1)[right].min()) if right.any() else 0.0
+    # half of the least score of a training document that is told right, but above what chance gives every language
+    least = float(q.max(1)[right].min()) if right.any() else 0.0
+    model.floor = min(least, max(1.1 / len(classes), least / 2))
     return model
 
 
