@@ -9,7 +9,7 @@ from larder.llm import bpe, common, langid, line_dedup, mixing, near_dup
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in no language that was learned go: null ones, those without a letter, and those whose language is more doubtful than that of any training document that is told right. Where nothing can be learned, only null texts and those without a letter go. Rows that repeat an id are told each for itself."""
+    """Texts in no language that was learned go: null ones, those without a letter, and those whose best language has a score under the model's floor, far below that of any training document that is told right. Where nothing can be learned, only null texts and those without a letter go. Rows that repeat an id are told each for itself."""
     model = langid.train(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
