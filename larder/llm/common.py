@@ -19,10 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
+    """The folder all executors share; where none is set, one in the warehouse, or a temporary one if Spark runs on this machine alone."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="larder-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        where = "file://" + tempfile.mkdtemp(prefix="larder-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/larder-checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
