@@ -100,14 +100,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash of each word of some bytes, A-Z lower-cased, where it begins and its bytes: a polynomial's prefix sums, taken for all words at once."""
+def word_hashes(raw: np.ndarray, letters: np.ndarray = LETTERS, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word of some bytes, A-Z lower-cased, where it begins and its bytes: a polynomial's prefix sums, taken for all words at once. Words lie between the bytes of `gaps`, whose `letters` are 0."""
     hashed, begins, widths = [], [], []
     a = 0
     while a < len(raw):
         b = min(len(raw), a + STRIDE)
         while b < len(raw):  # to the end of a word, however long it is
-            gap = np.flatnonzero(SPACE[raw[b : b + STRIDE]])
+            gap = np.flatnonzero(gaps[raw[b : b + STRIDE]])
             if len(gap):
                 b += int(gap[0])
                 break
@@ -115,8 +115,8 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = raw[a:b]
         up, down = _powers(max(2 * STRIDE, len(part) + 1))
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(LETTERS[part] * up[: len(part)], out=total[1:])
-        edge = np.flatnonzero(np.diff(SPACE[part], prepend=True, append=True))
+        np.cumsum(letters[part] * up[: len(part)], out=total[1:])
+        edge = np.flatnonzero(np.diff(gaps[part], prepend=True, append=True))
         x, y = edge[::2], edge[1::2]
         hashed.append(mix((total[y] - total[x]) * down[x] + (y - x).astype(np.uint64)))
         begins.append(x + a)
