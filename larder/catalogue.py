@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from larder.operators import filters, household, labels, matching, prices, receipts, reconcile, relational, sheets, stock, writes
+from larder.operators import filters, household, ingredient_lines, labels, matching, prices, receipts, reconcile, relational, sheets, stock, writes
 from larder.plans import menu, packs, shopping
 
-QUERIES = matching.QUERIES | prices.QUERIES | stock.QUERIES | shopping.QUERIES | packs.QUERIES | relational.QUERIES | filters.QUERIES | household.QUERIES | labels.QUERIES | reconcile.QUERIES | writes.QUERIES | menu.QUERIES | receipts.QUERIES | sheets.QUERIES
-SQL = matching.SQL | prices.SQL | stock.SQL | shopping.SQL | packs.SQL | relational.SQL | filters.SQL | household.SQL | labels.SQL | reconcile.SQL | writes.SQL | menu.SQL | receipts.SQL | sheets.SQL
+MODULES = (matching, prices, stock, shopping, packs, relational, filters, household, labels, reconcile, writes, menu, receipts, sheets, ingredient_lines)
+
+
+def _all(part: str) -> dict:
+    out: dict = {}
+    for m in MODULES:
+        own = getattr(m, part)
+        if twice := out.keys() & own.keys():
+            raise ValueError(f"queries of one name: {sorted(twice)}")
+        out |= own
+    return out
+
+
+QUERIES = _all("QUERIES")
+SQL = _all("SQL")

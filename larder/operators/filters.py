@@ -246,10 +246,10 @@ def all_moves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queue_head(spark: SparkSession, d: str) -> DataFrame:
-    """One at a time of each household: its first open import, else its first open receipt."""
+    """One at a time in all: the first open import of any household, else the first open receipt."""
     i = meals(spark, d).where("slot = 'signup' AND value < 20").select("household", F.lit(0).alias("kind"), F.col("meal").alias("id"))
     r = recipes(spark, d).where("status = 'O'").select(F.col("author").alias("household"), F.lit(1).alias("kind"), F.col("recipe").alias("id"))
-    return i.unionByName(r).groupBy("household").agg(F.min(F.struct("kind", "id")).alias("x")).select("household", "x.kind", "x.id")
+    return i.unionByName(r).agg(F.min(F.struct("kind", "id", "household")).alias("x")).where("x IS NOT NULL").select("x.household", "x.kind", "x.id")
 
 
 FOLDED = text.fold_sql("title")
@@ -296,5 +296,5 @@ SQL = {
     "set_algebra": """SELECT c_custkey AS list, array_to_string([c_custkey, c_custkey + 1, c_custkey + 3], ',') AS excluded, CASE WHEN c_custkey % 2 = 0 THEN 'purchase,click' ELSE 'click,purchase' END AS slots, 4::BIGINT AS ids FROM customer""",
     "all_moves": f"WITH {MEALS}, {RECIPES}, u AS (SELECT household, day, 'meal' AS kind FROM me UNION ALL SELECT author, day, 'receipt' FROM re) SELECT household, kind, count(*) AS n, max(day) AS last FROM u GROUP BY 1, 2",
     "queue_head": f"""WITH {MEALS}, {RECIPES}, u AS (SELECT household, 0 AS kind, meal AS id FROM me WHERE slot = 'signup' AND value < 20 UNION ALL SELECT author, 1, recipe FROM re WHERE status = 'O'),
-      k AS (SELECT *, row_number() OVER (PARTITION BY household ORDER BY kind, id) AS k FROM u) SELECT household, kind, id FROM k WHERE k = 1""",
+      k AS (SELECT *, row_number() OVER (ORDER BY kind, id, household) AS k FROM u) SELECT household, kind, id FROM k WHERE k = 1""",
 }

@@ -187,9 +187,9 @@ def answers_read(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pasted_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of 300 to 30,000 characters are taken, with their lines counted."""
+    """Texts of 10 to 30,000 characters are taken, with their lines counted."""
     n = F.length("text")
-    return table(spark, d, "documents").where(n.between(300, 30_000)).select("doc_id", n.cast("long").alias("n"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"))
+    return table(spark, d, "documents").where(n.between(10, 30_000)).select("doc_id", n.cast("long").alias("n"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"))
 
 
 MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
@@ -237,5 +237,5 @@ SQL = {
     "repaired_text": "SELECT * FROM (VALUES (0::BIGINT, '10,50 €', 'other', 'none'), (1, 'filet de boeuf 1,20', 'main', 'beef'), (2, 'voir b', 'other', 'none'), (3, 'Tarte aux pommes', 'dessert', 'none'), (4, 'soupe de poisson', 'soup', 'fish'), (5, 'Poulet rôti' || chr(10) || 'riz', 'main', 'poultry'), (6, 'gâteau', 'dessert', 'none')) t(id, clean, kind, protein)",
     "guessed_stores": "SELECT doc_id, CASE WHEN source IN ('src3', 'src12') THEN 'learned' ELSE 'by word' END AS store FROM documents WHERE source IN ('src3', 'src12') OR contains(source, '1')",
     "answers_read": """SELECT event_id AS id, CAST(props->>'k' AS BIGINT) AS k, '{"k":' || (props->>'k') || ',"kind":"' || event_type || '"}' AS answer FROM events""",
-    "pasted_texts": "SELECT doc_id, length(text) AS n, len(string_split(text, chr(10))) AS lines FROM documents WHERE length(text) BETWEEN 300 AND 30000",
+    "pasted_texts": "SELECT doc_id, length(text) AS n, len(string_split(text, chr(10))) AS lines FROM documents WHERE length(text) BETWEEN 10 AND 30000",
 }

@@ -93,11 +93,11 @@ def receipt_prices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def price_form(spark: SparkSession, d: str) -> DataFrame:
-    """Prices typed for a store that are new: other cents, another promotion, or the price so far was an estimate; none above MOST."""
-    now = current_price(spark, d).where("store = 5")
+    """Prices typed for each pack and store that are new: other cents, another promotion, or the price so far was an estimate; none above MOST."""
+    now = current_price(spark, d)
     typed = now.select("pack", "store", (F.col("cents") + F.when(F.col("pack") % 3 == 0, 0).otherwise(F.col("pack") % 50 - 10)).alias("new"), (F.col("pack") % 20 == 7).alias("new_promo"))
     both = typed.join(now, ["pack", "store"])
-    return both.where((F.col("new") <= 3 * MOST) & ((F.col("new") != F.col("cents")) | (F.col("new_promo") != F.col("promo")) | (F.col("pack") % 8 == 0))).select("pack", "store", F.col("cents").alias("before"), F.col("new").alias("cents"), F.col("new_promo").alias("promo"))
+    return both.where((F.col("new") <= MOST) & ((F.col("new") != F.col("cents")) | (F.col("new_promo") != F.col("promo")) | (F.col("pack") % 8 == 0))).select("pack", "store", F.col("cents").alias("before"), F.col("new").alias("cents"), F.col("new_promo").alias("promo"))
 
 
 def list_to_stock(spark: SparkSession, d: str) -> DataFrame:
@@ -127,8 +127,8 @@ SQL = {
     "receipt_prices": f"""WITH {KNOWN}, h AS (SELECT *, (pack % 4 + 1) * 250::DOUBLE AS held, CASE WHEN pack % 5 = 0 THEN (line % 4 + 1) * 250::DOUBLE END AS lab, paid / qty::DOUBLE AS each FROM kn WHERE status IN ('known', 'applied') AND qty > 0 AND paid > 0),
       c AS (SELECT *, CAST(CASE WHEN pack % 3 = 0 THEN round(paid / (qty * 1000)::DOUBLE * held) WHEN abs(lab - held) > held * 0.02::DOUBLE THEN round(each / lab * held) ELSE round(each) END AS BIGINT) AS cents FROM h),
       k AS (SELECT *, row_number() OVER (PARTITION BY pack, store, day ORDER BY receipt DESC, line DESC, cents DESC) AS k FROM c WHERE cents BETWEEN {LEAST} AND {MOST}) SELECT pack, store, day, cents FROM k WHERE k = 1""",
-    "price_form": f"""WITH {NOW}, t AS (SELECT pack, store, cents AS before, promo AS was, cents + CASE WHEN pack % 3 = 0 THEN 0 ELSE pack % 50 - 10 END AS cents, pack % 20 = 7 AS promo FROM now WHERE store = 5)
-      SELECT pack, store, before, cents, promo FROM t WHERE cents <= {3 * MOST} AND (cents <> before OR promo <> was OR pack % 8 = 0)""",
+    "price_form": f"""WITH {NOW}, t AS (SELECT pack, store, cents AS before, promo AS was, cents + CASE WHEN pack % 3 = 0 THEN 0 ELSE pack % 50 - 10 END AS cents, pack % 20 = 7 AS promo FROM now)
+      SELECT pack, store, before, cents, promo FROM t WHERE cents <= {MOST} AND (cents <> before OR promo <> was OR pack % 8 = 0)""",
     "list_to_stock": f"""WITH {OFFERS}, j AS (SELECT plan.*, unit, need, row_number() OVER (PARTITION BY ingredient ORDER BY plan.cents, store) AS k FROM plan JOIN o3 USING (ingredient, store) WHERE need IS NOT NULL)
       SELECT ingredient, unit, surplus AS qty, store FROM j WHERE k = 1 AND CASE WHEN unit = 'piece' THEN surplus >= 0.5 ELSE surplus >= greatest(15, need * 0.02::DOUBLE) END""",
     "previous_price": f"""WITH {KNOWN}, l AS (SELECT *, lag(paid) OVER w AS before, lag(day) OVER w AS since FROM kn WHERE status = 'applied' WINDOW w AS (PARTITION BY pack, store ORDER BY day, receipt, line, paid))

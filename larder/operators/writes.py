@@ -29,7 +29,7 @@ def without(rows: DataFrame, scope: DataFrame, *keys: str) -> DataFrame:
     return rows.join(scope, list(keys), "left_anti")
 
 
-def learned_aliases(spark: SparkSession, d: str) -> DataFrame:
+def learned_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels that receipts taught: known ones count one more hit for each new sight, new ones begin with theirs."""
     part = table(spark, d, "part").select(F.lower("p_name").alias("label"), "p_partkey", "p_size")
     old = part.where("p_size < 20").groupBy("label").agg(F.count(F.lit(1)).alias("hits"), F.min("p_partkey").alias("pack"))
@@ -142,12 +142,12 @@ def discarded_imports(spark: SparkSession, d: str) -> DataFrame:
     return o.join(gone, "import", "left").groupBy(F.coalesce("gone", F.lit(False)).alias("gone"), (F.col("status") == "O").alias("review")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (learned_aliases, seeded, seeded_recipes, synced, sync_summary, replaced_lines, reset_counts, wiped_recipes, rebuilt_list, toggled_favourites, copied_recipes, week_after, tags_after, discarded_imports)}
+QUERIES = {f.__name__: f for f in (learned_labels, seeded, seeded_recipes, synced, sync_summary, replaced_lines, reset_counts, wiped_recipes, rebuilt_list, toggled_favourites, copied_recipes, week_after, tags_after, discarded_imports)}
 SLUG = "regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g')"
 SYNC = """sy AS (SELECT a.o_orderkey AS doc, CASE WHEN b.o_orderkey IS NULL THEN 'new' ELSE 'changed' END AS why FROM orders a LEFT JOIN orders b ON a.o_orderkey = b.o_orderkey AND b.o_orderkey % 2 = 0
   WHERE a.o_custkey % 3 > 0 AND (b.o_orderkey IS NULL OR (b.o_orderstatus = 'O' AND b.o_orderkey % 3 > 0)))"""
 SQL = {
-    "learned_aliases": """WITH o AS (SELECT lower(p_name) AS label, count(*) AS hits, min(p_partkey) AS pack FROM part WHERE p_size < 20 GROUP BY 1), n AS (SELECT lower(p_name) AS label, count(*) AS hits, max(p_partkey) AS pack FROM part WHERE p_size >= 40 GROUP BY 1)
+    "learned_labels": """WITH o AS (SELECT lower(p_name) AS label, count(*) AS hits, min(p_partkey) AS pack FROM part WHERE p_size < 20 GROUP BY 1), n AS (SELECT lower(p_name) AS label, count(*) AS hits, max(p_partkey) AS pack FROM part WHERE p_size >= 40 GROUP BY 1)
       SELECT label, coalesce(o.hits, 0) + coalesce(n.hits, 0) AS hits, coalesce(n.pack, o.pack) AS pack FROM o FULL JOIN n USING (label)""",
     "seeded": f"""SELECT * FROM (VALUES ('red-bolt', 1::BIGINT, 1::BIGINT, 120::BIGINT), ('red-bolt', 2, 6, 650), ('creme-de-riz', 1, 250, 89), ('creme-de-riz', 2, 500, 160), ('huile-dolive', 1, 750, 799), ('the-vert', 1, 20, 210), ('the-vert', 2, 100, 890)) t(slug, position, qty, cents)
       WHERE slug NOT IN (SELECT {SLUG} FROM part)""",
