@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.sources.tables import table
@@ -38,3 +38,62 @@ sheet_lines AS (
     WHEN 4 THEN '* 1 1/2 c. à soupe bombée de ' || name WHEN 5 THEN upper(name) || ' ET POIVRE' WHEN 6 THEN q || ' à 60 grosses tranches de ' || name || ' (facultatif) (bien mûres)' WHEN 7 THEN q || '7100 g de ' || name ELSE 'e petite ' || name || ' selon votre goût' END AS text FROM sheet_rows
   UNION ALL SELECT recipe, a, b, c, e, 1, CASE flag WHEN 'R' THEN 'coupé en dés' ELSE 'Pour la ' || kind || ' :' END FROM sheet_rows WHERE flag IN ('R', 'A')),
 sheets AS (SELECT recipe, string_agg(text, chr(10) ORDER BY a, b, c, e, part) AS text FROM sheet_lines GROUP BY recipe)"""
+
+
+def _cents(c: Column) -> Column:
+    return F.concat((c / 100).cast("long").cast("string"), F.lit(","), F.lpad((c % 100).cast("string"), 2, "0"))
+
+
+ANSWER = "struct<magasin:string,date_imprimee:string,total:string,lignes:array<struct<libelle:string,quantite:string,unite:string,prix_unitaire:string,prix:string,detail:string,doute:string>>>"
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """receipt, answer: each order as the JSON that a reader of receipts gives. Tax decides how a line is read, a high discount adds a rebate, flag and status lose a price; with an even number of lines something follows the total, with a third of them all lines come twice."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    form, q = F.round(F.col("l_tax") * 100).cast("int"), F.col("l_quantity").cast("long")
+    each = F.greatest(F.round(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long") % 5000, F.lit(100))
+    name, null = F.upper("p_name"), F.lit(None).cast("string")
+    li = li.withColumn("each", each)
+    each = F.col("each")
+    value = F.when(form.isin(1, 8), each * q).when(form == 2, F.round(q * each / 10)).when(form == 3, F.round(q * each / 4)).when(form == 4, F.round(each * 1.5)).when(form == 5, each * q + 50).when(form == 6, F.round(q * each / 100)).otherwise(each).cast("long")
+    li = li.withColumn("value", value)
+    lost = (form == 0) & (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O")
+    tenth = F.concat((q / 10).cast("long").cast("string"), F.lit(","), (q % 10).cast("string"))
+    line = lambda label, n=null, u=null, per=null, price=null, detail=null, doubt=null: F.struct(label.alias("libelle"), n.alias("quantite"), u.alias("unite"), per.alias("prix_unitaire"), price.alias("prix"), detail.alias("detail"), doubt.alias("doute"))
+    price = _cents(F.col("value"))
+    main = (
+        F.when(form == 0, line(F.concat(F.lit("A  "), name), F.lit("1"), price=F.when(lost, "?").otherwise(price))).when(form == 1, line(name, q.cast("string"), per=_cents(each), price=F.concat(price, F.lit(" €"))))
+        .when(form == 2, line(F.concat(F.lit("B "), name), price=price, detail=F.concat(tenth, F.lit(" kg x "), _cents(each)))).when(form == 3, line(name, F.lit("1")))
+        .when(form == 4, line(F.concat(name, F.lit(" VRAC")), F.lit("1"), per=F.concat(_cents(each), F.lit(" EUR/kg")), price=price)).when(form == 5, line(name, q.cast("string"), per=_cents(each), price=price))
+        .when(form == 6, line(name, F.concat(q.cast("string"), F.lit("0")), F.lit("g"), _cents(each), price)).when(form == 7, line(F.concat(F.lit("C "), name), F.lit("1"), price=price, doubt=F.lit("oui")))
+        .otherwise(line(name, F.lit("1"), price=price, detail=F.concat(q.cast("string"), F.lit(" x "), _cents(each))))
+    )
+    weighed = F.when(form == 3, line(F.concat(q.cast("string"), F.lit(",25 kg x "), _cents(each)), price=price))
+    off = F.when(F.col("l_discount") >= 0.08, line(F.lit("REMISE"), price=F.when(form == 1, F.lit("0,71-")).otherwise(F.lit("-0,71"))))
+    own = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    li = li.select(F.col("l_orderkey").alias("receipt"), own.alias("at"), F.array(main, weighed, off).alias("rows"), (F.col("value") - F.when(F.col("l_discount") >= 0.08, 71).otherwise(0)).alias("value"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_suppkey").alias("store"))
+    one = li.groupBy("receipt").agg(F.sort_array(F.collect_list(F.struct("at", "rows"))).alias("rows"), F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"), F.max("day").alias("day"), F.min("store").alias("store"))
+    rows = F.filter(F.flatten("rows.rows"), lambda x: x.isNotNull())
+    head, tail = F.array(line(F.lit("*** RAYON ***"))), F.when(F.col("n") % 2 == 0, F.array(line(F.lit("SOUS TOTAL"), price=_cents(F.col("total"))), line(F.lit("BON FIDELITE"), price=F.lit("5,00")))).otherwise(F.array(line(F.lit("NB ARTICLES 3"))))
+    every = F.concat(head, rows, F.when(F.col("n") % 3 == 0, rows).otherwise(F.slice(rows, 1, 0)), tail)
+    shape = F.struct(F.concat(F.lit(" Magasin "), F.col("store").cast("string")).alias("magasin"), F.date_format("day", "dd.MM.yy").alias("date_imprimee"), _cents(F.col("total")).alias("total"), every.alias("lignes"))
+    return one.select("receipt", F.to_json(shape).alias("answer"))
+
+
+ANSWERS = """answer_base AS (SELECT l_orderkey AS receipt, l_linenumber AS a, l_partkey AS b, l_suppkey AS c, l_extendedprice AS e, CAST(round(l_tax * 100) AS INTEGER) AS form, CAST(l_quantity AS BIGINT) AS q, upper(p_name) AS name,
+  greatest(CAST(round(l_extendedprice * 100 / l_quantity) AS BIGINT) % 5000, 100) AS each, l_discount >= 0.08 AS off, l_returnflag = 'A' AND l_linestatus = 'O' AS lost, CAST(l_shipdate AS DATE) AS day FROM lineitem JOIN part ON l_partkey = p_partkey),
+answer_value AS (SELECT *, CAST(CASE WHEN form IN (1, 8) THEN each * q WHEN form = 2 THEN round(q * each / 10) WHEN form = 3 THEN round(q * each / 4) WHEN form = 4 THEN round(each * 1.5::DOUBLE) WHEN form = 5 THEN each * q + 50 WHEN form = 6 THEN round(q * each / 100) ELSE each END AS BIGINT) AS value FROM answer_base),
+answer_text AS (SELECT *, each // 100 || ',' || lpad((each % 100)::VARCHAR, 2, '0') AS per, value // 100 || ',' || lpad((value % 100)::VARCHAR, 2, '0') AS price FROM answer_value),
+answer_heads AS (SELECT receipt, count(*) AS n, CAST(sum(value - CASE WHEN off THEN 71 ELSE 0 END) AS BIGINT) AS total, max(day) AS day, min(c) AS store FROM answer_text GROUP BY receipt),
+answer_main AS (
+  SELECT receipt, a, b, c, e, 0 AS part, CASE form WHEN 0 THEN 'A  ' || name WHEN 2 THEN 'B ' || name WHEN 4 THEN name || ' VRAC' WHEN 7 THEN 'C ' || name ELSE name END AS label, CASE WHEN form IN (1, 5) THEN q::VARCHAR WHEN form = 6 THEN q || '0' WHEN form <> 2 THEN '1' END AS quantite, CASE WHEN form = 6 THEN 'g' END AS unite,
+    CASE WHEN form IN (1, 5, 6) THEN per WHEN form = 4 THEN per || ' EUR/kg' END AS prix_unitaire, CASE WHEN form = 3 THEN NULL WHEN form = 0 AND lost THEN '?' WHEN form = 1 THEN price || ' €' ELSE price END AS prix,
+    CASE form WHEN 2 THEN q // 10 || ',' || q % 10 || ' kg x ' || per WHEN 8 THEN q || ' x ' || per END AS detail, CASE WHEN form = 7 THEN 'oui' END AS doute FROM answer_text
+  UNION ALL SELECT receipt, a, b, c, e, 1, q || ',25 kg x ' || per, NULL, NULL, NULL, price, NULL, NULL FROM answer_text WHERE form = 3
+  UNION ALL SELECT receipt, a, b, c, e, 2, 'REMISE', NULL, NULL, NULL, CASE WHEN form = 1 THEN '0,71-' ELSE '-0,71' END, NULL, NULL FROM answer_text WHERE off),
+answer_lines AS (
+  SELECT receipt, 1 AS turn, a, b, c, e, part, label, quantite, unite, prix_unitaire, prix, detail, doute FROM answer_main
+  UNION ALL SELECT receipt, 2, a, b, c, e, part, label, quantite, unite, prix_unitaire, prix, detail, doute FROM answer_main JOIN answer_heads USING (receipt) WHERE n % 3 = 0
+  UNION ALL SELECT receipt, 0, 0, 0, 0, 0, 0, '*** RAYON ***', NULL, NULL, NULL, NULL, NULL, NULL FROM answer_heads
+  UNION ALL SELECT receipt, 3, 0, 0, 0, 0, 0, CASE WHEN n % 2 = 0 THEN 'SOUS TOTAL' ELSE 'NB ARTICLES 3' END, NULL, NULL, NULL, CASE WHEN n % 2 = 0 THEN total // 100 || ',' || lpad((total % 100)::VARCHAR, 2, '0') END, NULL, NULL FROM answer_heads
+  UNION ALL SELECT receipt, 4, 0, 0, 0, 0, 0, 'BON FIDELITE', NULL, NULL, NULL, '5,00', NULL, NULL FROM answer_heads WHERE n % 2 = 0)"""
