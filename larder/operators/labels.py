@@ -6,19 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import text
+from larder.sources import rendered
 from larder.sources.tables import table
 
 # fixed values: abbreviations of receipts, words that say nothing of a product, misleading beginnings
 SHORT = {"ECR": "ecreme", "PDT": "pomme terre", "BEUR": "beurre", "FROM": "fromage", "CHOC": "chocolat", "YAOU": "yaourt", "OEUFS": "oeuf", "POUL": "poulet", "JAMB": "jambon", "CR": "creme", "STK": "steak", "HACH": "hache"}
 NOISE = ("bio", "uht", "marque", "lot", "pack", "sachet", "boite", "brique", "bouteille", "kg", "cl", "ml", "france", "origine", "piece", "extra", "format", "filet", "les", "des", "aux", "avec", "sans", "pour")
-LABELS = (
-    "PATES SPAGHETTI 500G", "LAIT 1/2 ECR. UHT 6X1L", "Œufs plein air x12", "PDT CHARLOTTE FILET 2,5KG", "Crème fraîche 20 CL", "FROM. BLANC 1KG", "STK HACH 15% X 2", "JAMB BLANC 4P", "POIREAU BOTTE", "Pâté de campagne", "YAOU NATURE 8X125G", "CHOC NOIR 200 G", "BEUR DOUX 250G", "", "  12 ", "huile d'olive 75cl",
-)
-AMOUNTS = ("1,05 €", "12.30", "-3,50", "3,50-", "1 234,5", "abc", "", "€", "0", "7,999", "2,5 €", "-0,01 €")
-NUMBERS = ("½", "1 ½", "1/2", "1 1/2", "2,5", "10", "3/4", "2 3/4", "", "x")
-DATES = ("07.10.2026", "7/10/2026", "2026-10-07", "31/02/2025", "01/01/2019", "2031-01-01", "29.02.2024", "12/2024", "")
-TIMES = ("1 h 30", "45 min", "2h", "1 h", "90 minutes", "cuire", "5 min puis 10 min", "0 min")
-NAMES = ("Pâtes (spaghetti, penne…)", "Riz, basmati", "Lait", "Fromage (râpé)", "Tomates, cerises (rondes)")
 TODAY = "2026-10-07"
 
 
@@ -93,35 +86,36 @@ def minutes_label(m: Column) -> Column:
     return F.when(m < 60, F.concat(m.cast("string"), F.lit(" min"))).otherwise(F.concat(F.floor(m / 60).cast("string"), F.lit(" h"), rest))
 
 
-def _rows(spark: SparkSession, values: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, x string")
+def _rows(spark: SparkSession, d: str, what: str) -> DataFrame:
+    """What order lines say as labels, numbers, dates and so on, each text once."""
+    return rendered.phrases(spark, d).select(F.col(what).alias("x")).distinct()
 
 
 def label_forms(spark: SparkSession, d: str) -> DataFrame:
     """Labels normalised, as tokens, as keys of aliases and as slugs."""
-    own = _rows(spark, LABELS).withColumn("label", normalised(F.col("x")))
-    return own.select("id", "label", F.array_join(label_words(F.col("label")), " ").alias("words"), text.slug(F.col("x")).alias("slug"))
+    own = _rows(spark, d, "label").withColumn("label", normalised(F.col("x")))
+    return own.select("x", "label", F.array_join(label_words(F.col("label")), " ").alias("words"), text.slug(F.col("x")).alias("slug"))
 
 
 def label_quantities(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, LABELS).withColumn("q", label_quantity(normalised(F.col("x")))).where("q IS NOT NULL").select("id", "q.value", "q.unit")
+    return _rows(spark, d, "label").withColumn("q", label_quantity(normalised(F.col("x")))).where("q IS NOT NULL").select("x", "q.value", "q.unit")
 
 
 def numbers_read(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, NUMBERS).select("id", read_number(F.col("x")).alias("value"))
+    return _rows(spark, d, "number").select("x", read_number(F.col("x")).alias("value"))
 
 
 def dates_read(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, DATES).select("id", read_date(F.col("x")).alias("day"))
+    return _rows(spark, d, "date").select("x", read_date(F.col("x")).alias("day"))
 
 
 def times_read(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, TIMES).select("id", read_minutes(F.col("x")).alias("minutes"))
+    return _rows(spark, d, "time").select("x", read_minutes(F.col("x")).alias("minutes"))
 
 
 def amounts_read(spark: SparkSession, d: str) -> DataFrame:
     """Amounts as typed (never below nothing) and as printed (with a sign before or behind)."""
-    return _rows(spark, AMOUNTS).select("id", text.euros_to_cents(F.col("x")).alias("typed"), signed_cents(F.col("x")).alias("printed"))
+    return _rows(spark, d, "amount").select("x", text.euros_to_cents(F.col("x")).alias("typed"), signed_cents(F.col("x")).alias("printed"))
 
 
 def name_variants(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +124,7 @@ def name_variants(spark: SparkSession, d: str) -> DataFrame:
     bare = F.trim(F.regexp_replace(x, r"\(.*?\)", " "))
     inside = F.replace(F.regexp_extract(x, r"\((.*?)\)", 1), F.lit("…"), F.lit(""))
     every = F.transform(F.concat(F.array(bare), F.split(bare, ","), F.split(inside, ",")), lambda v: F.trim(v))
-    return _rows(spark, NAMES).select("id", F.explode(F.array_distinct(F.filter(every, lambda v: v != ""))).alias("variant"))
+    return _rows(spark, d, "name").select("x", F.explode(F.array_distinct(F.filter(every, lambda v: v != ""))).alias("variant"))
 
 
 def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +155,6 @@ def money_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def repaired_text(spark: SparkSession, d: str) -> DataFrame:
     """Misread signs repaired, ligatures spelled out, addresses and blank lines cut, and what a text is about by its first key word."""
-    raw = ("1O,5O €", "ﬁlet de bœuf l,20", "voir http://x.fr/a b", "Page 1/2\nTarte aux pommes", "soupe de poisson", "Poulet rôti\n\n riz", "gâteau")
     x = F.replace(F.replace(F.col("x"), F.lit("ﬁ"), F.lit("fi")), F.lit("œ"), F.lit("oe"))
     x = F.regexp_replace(x, "https?://[^ ]+ ?", "")
     x = F.regexp_replace(x, "(^|\n)Page [0-9]+/[0-9]+\n", "$1")
@@ -170,7 +163,7 @@ def repaired_text(spark: SparkSession, d: str) -> DataFrame:
     f = text.fold(x)
     kind = F.when(f.rlike("soupe|veloute"), "soup").when(f.rlike("tarte|gateau"), "dessert").when(f.rlike("poulet|boeuf"), "main").otherwise("other")
     protein = F.when(f.rlike("poisson|saumon"), "fish").when(f.rlike("poulet"), "poultry").when(f.rlike("boeuf"), "beef").otherwise("none")
-    return _rows(spark, raw).select("id", x.alias("clean"), kind.alias("kind"), protein.alias("protein"))
+    return _rows(spark, d, "note").select("x", x.alias("clean"), kind.alias("kind"), protein.alias("protein"))
 
 
 def guessed_stores(spark: SparkSession, d: str) -> DataFrame:
@@ -195,9 +188,8 @@ def pasted_texts(spark: SparkSession, d: str) -> DataFrame:
 MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
 
 
-def _values(values: tuple[str, ...], name: str = "v") -> str:
-    rows = ", ".join("(" + str(i) + ", '" + v.replace("'", "''") + "')" for i, v in enumerate(values))
-    return f"{name}(id, x) AS (VALUES {rows})"
+def _phrases(what: str) -> str:
+    return rendered.PHRASES + f", v AS (SELECT DISTINCT {what} AS id, {what} AS x FROM phrases)"
 
 
 def _norm(x: str) -> str:
@@ -210,31 +202,34 @@ r AS (SELECT id, p, CASE WHEN s.u <> '' THEN s.a::DOUBLE * replace(s.b, ',', '.'
 QUERIES = {f.__name__: f for f in (label_forms, label_quantities, numbers_read, dates_read, times_read, amounts_read, name_variants, fuzzy_names, seeded_jitter, money_labels, repaired_text, guessed_stores, answers_read, pasted_texts)}
 SHORT_SQL = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SHORT.items()) + " ELSE lower(w) END"
 SQL = {
-    "label_forms": f"""WITH {_values(LABELS)}, n AS (SELECT id, x, {_norm('x')} AS n FROM v),
+    "label_forms": f"""WITH {_phrases('label')}, n AS (SELECT id, x, {_norm('x')} AS n FROM v),
       w0 AS (SELECT id, generate_subscripts(string_split(n, ' '), 1) AS i, regexp_replace(unnest(string_split(n, ' ')), '^[.,/]+|[.,/]+$', '', 'g') AS w FROM n),
       w1 AS (SELECT id, i, generate_subscripts(string_split({SHORT_SQL}, ' '), 1) AS j, unnest(string_split({SHORT_SQL}, ' ')) AS w FROM w0),
       w2 AS (SELECT id, i, j, CASE WHEN length(w) > 4 AND regexp_matches(w, '[sx]$') THEN left(w, length(w) - 1) ELSE w END AS w FROM w1 WHERE length(w) >= 3 AND NOT regexp_matches(w, '[0-9]') AND w NOT IN {NOISE}),
       w3 AS (SELECT id, w, min(i * 10 + j) AS k FROM w2 GROUP BY 1, 2), g AS (SELECT id, string_agg(w, ' ' ORDER BY k) AS words FROM w3 GROUP BY 1)
-      SELECT n.id::BIGINT AS id, n AS label, coalesce(words, '') AS words, regexp_replace(regexp_replace(replace({text.fold_sql('x')}, '''', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM n LEFT JOIN g USING (id)""",
-    "label_quantities": f"WITH {_values(LABELS)}, n AS (SELECT id, {_norm('x')} AS n FROM v), {QTY} SELECT id::BIGINT AS id, v * CASE WHEN u IN ('KG', 'L') THEN 1000 WHEN u = 'CL' THEN 10 ELSE 1 END AS value, CASE WHEN u IS NULL THEN 'piece' WHEN u IN ('KG', 'G') THEN 'g' ELSE 'ml' END AS unit FROM r WHERE v > 0",
-    "numbers_read": f"""WITH {_values(NUMBERS)} SELECT id::BIGINT AS id, CASE WHEN contains(x, '½') THEN coalesce(TRY_CAST(nullif(trim(replace(x, '½', '')), '') AS DOUBLE), 0) + 0.5
+      SELECT n.id AS x, n AS label, coalesce(words, '') AS words, regexp_replace(regexp_replace(regexp_replace({text.fold_sql('x')}, '[''’]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM n LEFT JOIN g USING (id)""",
+    "label_quantities": f"WITH {_phrases('label')}, n AS (SELECT id, {_norm('x')} AS n FROM v), {QTY} SELECT id AS x, v * CASE WHEN u IN ('KG', 'L') THEN 1000 WHEN u = 'CL' THEN 10 ELSE 1 END AS value, CASE WHEN u IS NULL THEN 'piece' WHEN u IN ('KG', 'G') THEN 'g' ELSE 'ml' END AS unit FROM r WHERE v > 0",
+    "numbers_read": f"""WITH {_phrases('number')} SELECT id AS x, CASE WHEN contains(x, '½') THEN coalesce(TRY_CAST(nullif(trim(replace(x, '½', '')), '') AS DOUBLE), 0) + 0.5
       WHEN regexp_matches(x, '^[0-9]+ +[0-9]/[0-9]$') THEN split_part(x, ' ', 1)::DOUBLE + split_part(split_part(x, ' ', 2), '/', 1)::DOUBLE / split_part(x, '/', 2)::DOUBLE
       WHEN regexp_matches(x, '^[0-9]+/[0-9]+$') THEN split_part(x, '/', 1)::DOUBLE / split_part(x, '/', 2)::DOUBLE ELSE TRY_CAST(replace(x, ',', '.') AS DOUBLE) END AS value FROM v""",
-    "dates_read": rf"""WITH {_values(DATES)}, p AS (SELECT id, CASE WHEN regexp_matches(x, '^[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{4}}$') THEN coalesce(try_strptime(x, '%d.%m.%Y'), try_strptime(x, '%d/%m/%Y')) WHEN regexp_matches(x, '^[0-9]{{4}}-') THEN try_strptime(x, '%Y-%m-%d') END::DATE AS day FROM v)
-      SELECT id::BIGINT AS id, CASE WHEN day BETWEEN DATE '2020-01-01' AND DATE '{TODAY}' THEN day END AS day FROM p""",
-    "times_read": r"""WITH """ + _values(TIMES) + r""", c AS (SELECT id, x, len(regexp_extract_all(x, '[0-9]+ ?h')) AS h, len(regexp_extract_all(x, '[0-9]+ ?min')) AS m FROM v)
-      SELECT id::BIGINT AS id, CASE WHEN h = 1 AND m = 0 THEN regexp_extract(x, '([0-9]+) ?h', 1)::BIGINT * 60 + coalesce(TRY_CAST(regexp_extract(x, '[0-9]+ ?h ?([0-9]{1,2})', 1) AS BIGINT), 0) WHEN h = 0 AND m = 1 THEN regexp_extract(x, '([0-9]+) ?min', 1)::BIGINT END AS minutes FROM c""",
-    "amounts_read": f"""WITH {_values(AMOUNTS)}, b AS (SELECT id, regexp_replace(x, '[ €]', '', 'g') AS b FROM v)
-      SELECT id::BIGINT AS id, CASE WHEN regexp_matches(b, '^[0-9]+([.,][0-9]+)?$') THEN CAST(round(replace(b, ',', '.')::DECIMAL(18, 4) * 100) AS BIGINT) END AS typed,
+    "dates_read": rf"""WITH {_phrases('date')}, p AS (SELECT id, CASE WHEN regexp_matches(x, '^[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{4}}$') THEN coalesce(try_strptime(x, '%d.%m.%Y'), try_strptime(x, '%d/%m/%Y')) WHEN regexp_matches(x, '^[0-9]{{4}}-') THEN try_strptime(x, '%Y-%m-%d') END::DATE AS day FROM v)
+      SELECT id AS x, CASE WHEN day BETWEEN DATE '2020-01-01' AND DATE '{TODAY}' THEN day END AS day FROM p""",
+    "times_read": r"""WITH """ + _phrases('time') + r""", c AS (SELECT id, x, len(regexp_extract_all(x, '[0-9]+ ?h')) AS h, len(regexp_extract_all(x, '[0-9]+ ?min')) AS m FROM v)
+      SELECT id AS x, CASE WHEN h = 1 AND m = 0 THEN regexp_extract(x, '([0-9]+) ?h', 1)::BIGINT * 60 + coalesce(TRY_CAST(regexp_extract(x, '[0-9]+ ?h ?([0-9]{1,2})', 1) AS BIGINT), 0) WHEN h = 0 AND m = 1 THEN regexp_extract(x, '([0-9]+) ?min', 1)::BIGINT END AS minutes FROM c""",
+    "amounts_read": f"""WITH {_phrases('amount')}, b AS (SELECT id, regexp_replace(x, '[ €]', '', 'g') AS b FROM v)
+      SELECT id AS x, CASE WHEN regexp_matches(b, '^[0-9]+([.,][0-9]+)?$') THEN CAST(round(replace(b, ',', '.')::DECIMAL(18, 4) * 100) AS BIGINT) END AS typed,
         CASE WHEN regexp_matches(b, '^-?[0-9]+([.,][0-9]{{1,2}})?$|^[0-9]+([.,][0-9]{{1,2}})?-$') THEN CAST(replace(replace(b, '-', ''), ',', '.')::DECIMAL(18, 2) * 100 * CASE WHEN contains(b, '-') THEN -1 ELSE 1 END AS BIGINT) END AS printed FROM b""",
-    "name_variants": rf"""WITH {_values(NAMES)}, p AS (SELECT id, trim(regexp_replace(x, '\(.*?\)', ' ', 'g')) AS bare, replace(regexp_extract(x, '\((.*?)\)', 1), '…', '') AS inside FROM v),
-      a AS (SELECT id, bare AS t FROM p UNION ALL SELECT id, unnest(string_split(bare, ',')) FROM p UNION ALL SELECT id, unnest(string_split(inside, ',')) FROM p) SELECT DISTINCT id::BIGINT AS id, trim(t) AS variant FROM a WHERE trim(t) <> ''""",
+    "name_variants": rf"""WITH {_phrases('name')}, p AS (SELECT id, trim(regexp_replace(x, '\(.*?\)', ' ', 'g')) AS bare, replace(regexp_extract(x, '\((.*?)\)', 1), '…', '') AS inside FROM v),
+      a AS (SELECT id, bare AS t FROM p UNION ALL SELECT id, unnest(string_split(bare, ',')) FROM p UNION ALL SELECT id, unnest(string_split(inside, ',')) FROM p) SELECT DISTINCT id AS x, trim(t) AS variant FROM a WHERE trim(t) <> ''""",
     "fuzzy_names": """WITH w(w) AS (VALUES ('red wigdet'), ('blu bolt'), ('hot gear'), ('smal anvil'), ('oldbolt')), n AS (SELECT DISTINCT p_name AS name FROM part)
       SELECT w, name, CAST(levenshtein(w, name) AS INTEGER) AS far FROM w, n WHERE levenshtein(w, name) <= CASE WHEN length(w) >= 8 THEN 2 WHEN length(w) >= 5 THEN 1 ELSE 0 END""",
     "money_labels": f"""WITH o AS (SELECT o_orderkey AS receipt, CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_orderkey % 200 AS m, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 6 AS b, {list(MONTHS)} AS mo FROM orders)
       SELECT receipt, c // 100 || ',' || lpad((c % 100)::VARCHAR, 2, '0') || ' €' AS euros, CASE WHEN m < 60 THEN m || ' min' ELSE m // 60 || ' h' || CASE WHEN m % 60 > 0 THEN ' ' || lpad((m % 60)::VARCHAR, 2, '0') ELSE '' END END AS duration,
         CASE WHEN month(a) = month(b) THEN day(a) || ' au ' || day(b) || ' ' || mo[month(b)] ELSE day(a) || ' ' || mo[month(a)] || ' au ' || day(b) || ' ' || mo[month(b)] END AS period FROM o""",
-    "repaired_text": "SELECT * FROM (VALUES (0::BIGINT, '10,50 €', 'other', 'none'), (1, 'filet de boeuf 1,20', 'main', 'beef'), (2, 'voir b', 'other', 'none'), (3, 'Tarte aux pommes', 'dessert', 'none'), (4, 'soupe de poisson', 'soup', 'fish'), (5, 'Poulet rôti' || chr(10) || 'riz', 'main', 'poultry'), (6, 'gâteau', 'dessert', 'none')) t(id, clean, kind, protein)",
+    "repaired_text": rf"""WITH {_phrases('note')}, a AS (SELECT x, regexp_replace(regexp_replace(replace(replace(x, 'ﬁ', 'fi'), 'œ', 'oe'), 'https?://[^ ]+ ?', '', 'g'), '(^|\n)Page [0-9]+/[0-9]+\n', '\1', 'g') AS y FROM v),
+      b AS (SELECT x, regexp_replace(regexp_replace(regexp_replace(y, '([0-9])O', '\1' || '0', 'g'), '\bl,([0-9])', '1,\1', 'g'), '\n+ *', chr(10), 'g') AS clean FROM a), f AS (SELECT *, {text.fold_sql('clean')} AS f FROM b)
+      SELECT x, clean, CASE WHEN regexp_matches(f, 'soupe|veloute') THEN 'soup' WHEN regexp_matches(f, 'tarte|gateau') THEN 'dessert' WHEN regexp_matches(f, 'poulet|boeuf') THEN 'main' ELSE 'other' END AS kind,
+        CASE WHEN regexp_matches(f, 'poisson|saumon') THEN 'fish' WHEN contains(f, 'poulet') THEN 'poultry' WHEN contains(f, 'boeuf') THEN 'beef' ELSE 'none' END AS protein FROM f""",
     "guessed_stores": "SELECT doc_id, CASE WHEN source IN ('src3', 'src12') THEN 'learned' ELSE 'by word' END AS store FROM documents WHERE source IN ('src3', 'src12') OR contains(source, '1')",
     "answers_read": """SELECT event_id AS id, CAST(props->>'k' AS BIGINT) AS k, '{"k":' || (props->>'k') || ',"kind":"' || event_type || '"}' AS answer FROM events""",
     "pasted_texts": "SELECT doc_id, length(text) AS n, len(string_split(text, chr(10))) AS lines FROM documents WHERE length(text) BETWEEN 10 AND 30000",

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from larder.operators.labels import label_quantity, normalised, read_date, signed_cents
+from larder.operators.labels import TODAY, label_quantity, normalised, read_date, signed_cents
+from larder.sources import rendered
 
 PRICE = r"(-?[0-9]{1,4}[,.][0-9]{2}-?)(?: ?€)?(?: +([A-Z]))?$"
 WEIGHT = r"^([0-9]+[,.][0-9]{3}) ?kg ?x ?([0-9]+[,.][0-9]{2})"
@@ -20,14 +21,6 @@ SKIP = r"^(SOUS TOTAL|TVA|CB|CARTE|VISA|ESPECES|RENDU|TICKET|CAISSE|MERCI|SIRET|
 DISCOUNT = r"^(REMISE|REDUCTION|PROMO|COUPON|RABAIS)"
 VAT = r"^TVA +([A-Z]) +([0-9]{1,2}[,.][0-9]{2}) ?%"
 
-#: Three short receipts made up for the query of this name and its test.
-SAMPLES = (
-    (1, "MARCHE DU COIN\n07/10/2026 12:10\nLAIT 1L              1,05 A\n2 x 0,89\nYAOURT NATURE        1,78 A\nPOMMES VRAC          2,34 B\n0,936 kg x 2,50\nREMISE POMMES       -0,34\nLESSIVE              6,20 C\nSOUS TOTAL          11,03\nTOTAL               11,03 €\nCB                  11,03\nTVA A 5,50 %\nTVA B 5,50 %\nTVA C 20,00 %\nMERCI"),
-    (2, "EPICERIE\nPAIN                 1,20\nFROMAGE 200G         3,45\nNOMBRE ARTICLES 3\nBEURRE ?????\nTOTAL A PAYER        6,90\n05.10.2026"),
-    (3, "TICKET 12\nRIZ 1KG              2,10\nRIZ 1KG              2,10\nRABAIS               0,50-\nTOTAL                3,70"),
-    (4, ""),
-)
-
 
 def receipt_lines(receipts: DataFrame) -> DataFrame:
     """receipt, line, kind, label, cents, qty, unit, each, vat (letter) of every line of receipts (receipt, text) that says something."""
@@ -66,7 +59,7 @@ def parsed(receipts: DataFrame) -> DataFrame:
     price = F.last(F.when(article, F.col("cents")), ignorenulls=True).over(upto)
     before = F.last(F.when(article, F.col("line")), ignorenulls=True).over(upto)
     behind = F.first(F.when(article, F.col("line")), ignorenulls=True).over(after)
-    fits = F.round(F.col("qty") * F.col("each")) == price
+    fits = F.round(F.round(F.col("qty") * 1000) * F.col("each") / 1000) == price  # thousandths are exact
     body = body.withColumn("to", F.when(article | (F.col("kind") == "discount"), before).when(F.coalesce(fits, F.lit(False)), before).otherwise(F.coalesce(behind, before)))
     detail = lambda c: F.max(F.when(F.col("kind").isin("weight", "times"), F.col(c)))
     lines = body.where("to IS NOT NULL").groupBy("receipt", "to", "total").agg(
@@ -90,24 +83,20 @@ def split_discount(cents: Column, parts: Column, place: Column) -> Column:
     return F.floor(cents / parts) + F.when(place == 0, cents % parts).otherwise(0)
 
 
-def _samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SAMPLES), "receipt long, text string")
-
-
 def receipt_articles(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(_samples(spark)).drop("total")
+    return parsed(rendered.receipts(spark, d)).drop("total")
 
 
 def receipt_heads(spark: SparkSession, d: str) -> DataFrame:
     """Each receipt's day, printed total and what its articles come to; whether they agree."""
-    day = receipt_lines(_samples(spark)).groupBy("receipt").agg(F.max(read_date(F.regexp_extract("x", "^([0-9./-]+)", 1))).alias("day"))
-    sums = parsed(_samples(spark)).groupBy("receipt").agg(F.sum("paid").alias("paid"), F.max("total").alias("total"), F.count(F.lit(1)).alias("articles"))
+    day = receipt_lines(rendered.receipts(spark, d)).groupBy("receipt").agg(F.max(read_date(F.regexp_extract("x", "^([0-9./-]+)", 1))).alias("day"))
+    sums = parsed(rendered.receipts(spark, d)).groupBy("receipt").agg(F.sum("paid").alias("paid"), F.max("total").alias("total"), F.count(F.lit(1)).alias("articles"))
     return day.join(sums, "receipt").select("receipt", "day", "total", "paid", "articles", (F.col("paid") == F.col("total")).alias("agrees"))
 
 
 def receipt_packs(spark: SparkSession, d: str) -> DataFrame:
     """For each article the pack that fits its label among 200, 500 and 1,000: the exact one within 2 %, else the nearest; for a weight the loose one."""
-    own = parsed(_samples(spark)).withColumn("q", label_quantity(F.col("label"))["value"])
+    own = parsed(rendered.receipts(spark, d)).withColumn("q", label_quantity(F.col("label"))["value"])
     packs = F.array(*map(F.lit, (200.0, 500.0, 1000.0)))
     near = F.array_min(F.transform(packs, lambda p: F.struct(F.abs(p - F.col("q")).alias("far"), p.alias("pack"))))
     return own.select("receipt", "n", F.when(F.col("unit") == "kg", "loose").when(F.col("q").isNull(), "piece").when(near["far"] <= near["pack"] * 0.02, "exact").otherwise("nearest").alias("how"), F.when((F.col("unit") != "kg") & F.col("q").isNotNull(), near["pack"]).alias("pack"))
@@ -121,14 +110,19 @@ def lot_savings(spark: SparkSession, d: str) -> DataFrame:
     return li.select("receipt", place.alias("place"), split_discount(F.col("receipt") % 100, F.count(F.lit(1)).over(by), place).cast("long").alias("share"))
 
 
+#: What the printed lines stand for: an unread line is an article if it is its receipt's only one and the gap is small.
+_STOOD = rendered.PRINTED + """,
+r0 AS (SELECT *, form = 7 AS lost, count(*) FILTER (form = 7) OVER (PARTITION BY receipt) AS n_lost, CAST(sum(paid) OVER (PARTITION BY receipt) AS BIGINT) AS total FROM printed),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY receipt ORDER BY a, b, c, e) AS n FROM r0 WHERE NOT lost OR (n_lost = 1 AND value BETWEEN 1 AND 20000)),
+r2 AS (SELECT receipt, CAST(n AS INTEGER) AS n, name || CASE WHEN lost THEN '' ELSE ' ' || p_size * 25 || 'G' END AS label, CASE form WHEN 2 THEN q / 10 WHEN 4 THEN q ELSE 1 END::DOUBLE AS qty, CASE WHEN form = 2 THEN 'kg' ELSE 'piece' END AS unit, value AS cents,
+  CASE WHEN off THEN 34 ELSE 0 END::BIGINT AS discount, CASE WHEN lost THEN NULL WHEN flag = 'A' THEN 5.5 WHEN flag = 'N' THEN 20 END::DOUBLE AS rate, CASE WHEN lost THEN 'deduced from the total' END AS note, total, CASE WHEN lost THEN NULL ELSE p_size * 25 END AS size FROM r1)"""
 QUERIES = {f.__name__: f for f in (receipt_articles, receipt_heads, receipt_packs, lot_savings)}
 SQL = {
-    "receipt_articles": """SELECT * FROM (VALUES
-      (1::BIGINT, 1::INTEGER, 'LAIT 1L', 1.0::DOUBLE, 'piece', 105::BIGINT, 0::BIGINT, 105::BIGINT, 5.5::DOUBLE, false, NULL), (1, 2, 'YAOURT NATURE', 2, 'piece', 178, 0, 178, 5.5, false, NULL), (1, 3, 'POMMES VRAC', 0.936, 'kg', 234, 34, 200, 5.5, false, NULL),
-      (1, 4, 'LESSIVE', 1, 'piece', 620, 0, 620, 20, true, NULL), (2, 1, 'PAIN', 1, 'piece', 120, 0, 120, NULL, false, NULL), (2, 2, 'FROMAGE 200G', 1, 'piece', 345, 0, 345, NULL, false, NULL), (2, 3, 'BEURRE', 1, 'piece', 225, 0, 225, NULL, false, 'deduced from the total'),
-      (3, 1, 'RIZ 1KG', 1, 'piece', 210, 0, 210, NULL, false, NULL), (3, 2, 'RIZ 1KG', 1, 'piece', 210, 50, 160, NULL, false, NULL)) t(receipt, n, label, qty, unit, cents, discount, paid, rate, non_food, note)""",
-    "receipt_heads": "SELECT * FROM (VALUES (1::BIGINT, DATE '2026-10-07', 1103::BIGINT, 1103::BIGINT, 4::BIGINT, true), (2, DATE '2026-10-05', 690, 690, 3, true), (3, NULL, 370, 370, 2, true)) t(receipt, day, total, paid, articles, agrees)",
-    "receipt_packs": "SELECT * FROM (VALUES (1::BIGINT, 1::INTEGER, 'exact', 1000::DOUBLE), (1, 2, 'piece', NULL), (1, 3, 'loose', NULL), (1, 4, 'piece', NULL), (2, 1, 'piece', NULL), (2, 2, 'exact', 200), (2, 3, 'piece', NULL), (3, 1, 'exact', 1000), (3, 2, 'exact', 1000)) t(receipt, n, how, pack)",
+    "receipt_articles": f"WITH {_STOOD} SELECT receipt, n, label, qty, unit, cents, discount, cents - discount AS paid, rate, coalesce(rate >= 19, false) AS non_food, note FROM r2",
+    "receipt_heads": f"""WITH {_STOOD}, s AS (SELECT receipt, CAST(sum(cents - discount) AS BIGINT) AS paid, max(total) AS total, count(*) AS articles FROM r2 GROUP BY 1), h AS (SELECT receipt, max(strptime(day, '%d/%m/%Y')::DATE) FILTER (day = top) AS day FROM (SELECT *, max(day) OVER (PARTITION BY receipt) AS top FROM printed) GROUP BY 1)
+      SELECT receipt, CASE WHEN day BETWEEN DATE '2020-01-01' AND DATE '{TODAY}' THEN day END AS day, total, paid, articles, paid = total AS agrees FROM h JOIN s USING (receipt)""",
+    "receipt_packs": f"""WITH {_STOOD}, p AS (SELECT receipt, n, unit, size, unnest([200.0, 500.0, 1000.0])::DOUBLE AS pack FROM r2), k AS (SELECT *, row_number() OVER (PARTITION BY receipt, n ORDER BY abs(pack - size), pack) AS k FROM p)
+      SELECT receipt, n, CASE WHEN unit = 'kg' THEN 'loose' WHEN size IS NULL THEN 'piece' WHEN abs(pack - size) <= pack * 0.02::DOUBLE THEN 'exact' ELSE 'nearest' END AS how, CASE WHEN unit <> 'kg' AND size IS NOT NULL THEN pack END AS pack FROM k WHERE k = 1""",
     "lot_savings": """WITH k AS (SELECT l_orderkey AS receipt, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS place, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
       SELECT receipt, CAST(place AS INTEGER) AS place, (receipt % 100) // n + CASE WHEN place = 0 THEN (receipt % 100) % n ELSE 0 END AS share FROM k""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from larder.functions.text import fold_sql, slug, tokens
+from larder.operators import ingredient_lines
 from larder.sources.tables import table
 
 # fixed values: words that say nothing, words that describe a product without changing it, colours, other names of ingredients
@@ -33,17 +34,6 @@ def _singular(words: tuple[str, ...]) -> list[str]:
 
 IGNORED, COLOUR = _singular(DESCRIBING), _singular(COLOURS)
 WEAK = sorted({*IGNORED, *COLOUR})
-LABELS = (
-    "Sauge", "oignons", "Oignons rouges émincés", "Parmesan râpé 24 mois", "courgeties", "Pâte à tartiner", "penne", "vin blanc", "Poivron vert", "curry rouge", "", "Huile d’olive vierge extra", "tomates", "Filet",
-    "crème fraiche épaisse", "lardon maison", "champignnons de paris",
-)
-INGREDIENTS = (
-    "Oignon jaune", "Oignon rouge", "Sauge fraîche", "Parmesan", "Courgette", "Pâtes (spaghetti, penne…)", "Vin rouge", "Poivron", "Huile d'olive", "Tomates cerises", "Tomates pelées en conserve", "Filet de poulet", "Filet de dinde",
-    "Crème fraîche épaisse", "Lardons fumés", "Champignons de Paris",
-)
-LEARNED = {"lardon maison": "Lardons fumés"}
-
-
 def variants(names: DataFrame) -> DataFrame:
     """(name, place, tokens) of each way to write a name: without what is in brackets, its comma parts, the parts in the brackets."""
     bare = F.trim(F.regexp_replace("name", r"\(.*?\)", " "))
@@ -130,10 +120,10 @@ def _frame(spark: SparkSession, rows: list[tuple], *columns: tuple[str, T.DataTy
 
 
 def sheet_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of sheets and the ingredients that they name."""
-    labels = _frame(spark, list(enumerate(LABELS)), ("id", T.LongType()), ("label", T.StringType()))
-    names = _frame(spark, [(x,) for x in INGREDIENTS], ("name", T.StringType()))
-    return match_labels(labels, names, _frame(spark, list(LEARNED.items()), ("key", T.StringType()), ("name", T.StringType())))
+    """The names that recipes' sheets are read to have, each once, and the parts that they name; what was learned of labels comes first."""
+    read = ingredient_lines.sheet_ingredients(spark, d).select("name").distinct()
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    return match_labels(read.select(F.col("name").alias("id"), F.col("name").alias("label")), names, learned_aliases(spark, d).select("key", F.col("ingredient").alias("name")))
 
 
 def part_labels(parts: DataFrame) -> DataFrame:
@@ -197,17 +187,14 @@ def _match_sql(labels: str, names: str, aliases: str) -> str:
       SELECT id, won.name AS ingredient, {list(VIA)}[stage + 1] AS via, CASE WHEN stage = 5 THEN won.name WHEN stage IS NULL THEN coalesce(c, '') ELSE '' END AS candidates FROM own LEFT JOIN won USING (id) LEFT JOIN offer USING (id)"""
 
 
-def _list_sql(values: tuple[str, ...], number: bool = False) -> str:
-    return "VALUES " + ", ".join("(" + (f"{i}::BIGINT, " if number else "") + "'" + v.replace("'", "''") + "')" for i, v in enumerate(values))
-
-
 PART_LABELS = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' bio' WHEN 2 THEN string_split(p_name, ' ')[-1] WHEN 3 THEN left(p_name, 2) || 'z' || substr(p_name, 4)
   WHEN 4 THEN 'rouge ' || p_name ELSE array_to_string(list_reverse(string_split(p_name, ' ')), ' ') END AS label FROM part"""
+_LEARNED_SQL = f"""WITH l AS ({PART_LABELS}), k AS (SELECT id, p_name, array_to_string({_tokens_sql('label')}, ' ') AS key, array_to_string({_tokens_sql('p_name')}, ' ') AS own FROM l JOIN part ON p_partkey = id)
+      SELECT key, arg_max(p_name, id) AS ingredient, count(*) AS hits FROM k WHERE key <> '' AND key <> own GROUP BY key"""
 QUERIES = {f.__name__: f for f in (sheet_matches, part_matches, learned_aliases, broth_cubes)}
 SQL = {
-    "sheet_matches": _match_sql(_list_sql(LABELS, True), _list_sql(INGREDIENTS), "VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in LEARNED.items())),
+    "sheet_matches": _match_sql(f"SELECT DISTINCT name, name FROM ({ingredient_lines.SQL['sheet_ingredients']})", "SELECT DISTINCT p_name FROM part", f"SELECT key, ingredient FROM ({_LEARNED_SQL})"),
     "part_matches": _match_sql(PART_LABELS, "SELECT DISTINCT p_name FROM part", "SELECT '', '' WHERE false"),
-    "learned_aliases": f"""WITH l AS ({PART_LABELS}), k AS (SELECT id, p_name, array_to_string({_tokens_sql('label')}, ' ') AS key, array_to_string({_tokens_sql('p_name')}, ' ') AS own FROM l JOIN part ON p_partkey = id)
-      SELECT key, arg_max(p_name, id) AS ingredient, count(*) AS hits FROM k WHERE key <> '' AND key <> own GROUP BY key""",
+    "learned_aliases": _LEARNED_SQL,
     "broth_cubes": "SELECT l_orderkey AS recipe, sum(greatest(ceil(l_quantity::DOUBLE * 25 / 500 * 4) / 4, 0.25)) AS cubes FROM lineitem GROUP BY 1",
 }

@@ -97,3 +97,57 @@ answer_lines AS (
   UNION ALL SELECT receipt, 0, 0, 0, 0, 0, 0, '*** RAYON ***', NULL, NULL, NULL, NULL, NULL, NULL FROM answer_heads
   UNION ALL SELECT receipt, 3, 0, 0, 0, 0, 0, CASE WHEN n % 2 = 0 THEN 'SOUS TOTAL' ELSE 'NB ARTICLES 3' END, NULL, NULL, NULL, CASE WHEN n % 2 = 0 THEN total // 100 || ',' || lpad((total % 100)::VARCHAR, 2, '0') END, NULL, NULL FROM answer_heads
   UNION ALL SELECT receipt, 4, 0, 0, 0, 0, 0, 'BON FIDELITE', NULL, NULL, NULL, '5,00', NULL, NULL FROM answer_heads WHERE n % 2 = 0)"""
+
+
+def phrases(spark: SparkSession, d: str) -> DataFrame:
+    """What order lines would say on labels and notes: label, number, date, time, amount, name, note; tax decides the form."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return li.select(*[F.expr(x).alias(name) for name, x in PHRASE_FORMS.items()])
+
+
+#: SQL that Spark and DuckDB read alike.
+_FORM, _Q, _E = "CAST(round(l_tax * 100) AS INT)", "CAST(CAST(l_quantity AS BIGINT) AS STRING)", "CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING)"
+_TWO = "lpad(CAST(CAST(l_quantity AS BIGINT) AS STRING), 2, '0')"
+_Y, _M, _D = "CAST(year(l_shipdate) + 24 AS STRING)", "CAST(month(l_shipdate) AS STRING)", "CAST(day(l_shipdate) AS STRING)"
+PHRASE_FORMS = {
+    "label": f"CASE {_FORM} WHEN 0 THEN concat(upper(p_name), ' ', {_Q}, '00G') WHEN 1 THEN concat(p_name, ' ', {_Q}, 'X1L') WHEN 2 THEN concat('Œufs ', p_name, ' x', {_Q}) WHEN 3 THEN concat('PDT ', upper(p_name), ' FILET ', {_Q}, ',5KG') WHEN 4 THEN concat('Crème ', p_name, ' ', {_Q}, ' CL') WHEN 5 THEN concat('FROM. ', upper(p_name), ' 1KG') WHEN 6 THEN concat('STK HACH ', {_Q}, '% X 2') WHEN 7 THEN concat('JAMB ', p_name, ' ', {_Q}, 'P') ELSE concat('  ', p_name, ' d’été ') END",
+    "number": f"CASE {_FORM} WHEN 0 THEN '½' WHEN 1 THEN concat({_Q}, ' ½') WHEN 2 THEN concat({_Q}, '/7') WHEN 3 THEN concat({_Q}, ' 1/2') WHEN 4 THEN concat({_Q}, ',5') WHEN 5 THEN {_Q} WHEN 6 THEN p_name WHEN 7 THEN '' ELSE concat({_Q}, ' 3/4') END",
+    "date": f"CASE {_FORM} WHEN 0 THEN concat(lpad({_D}, 2, '0'), '.', lpad({_M}, 2, '0'), '.', {_Y}) WHEN 1 THEN concat({_D}, '/', {_M}, '/', {_Y}) WHEN 2 THEN concat({_Y}, '-', lpad({_M}, 2, '0'), '-', lpad({_D}, 2, '0')) WHEN 3 THEN concat('31/02/', {_Y}) WHEN 4 THEN concat({_D}, '/', {_M}, '/', CAST(year(l_shipdate) AS STRING)) WHEN 5 THEN concat({_M}, '/', {_Y}) ELSE '' END",
+    "time": f"CASE {_FORM} WHEN 0 THEN concat({_Q}, ' h 30') WHEN 1 THEN concat({_Q}, ' min') WHEN 2 THEN concat({_Q}, 'h') WHEN 3 THEN concat({_Q}, ' minutes') WHEN 4 THEN p_name WHEN 5 THEN concat({_Q}, ' min puis 10 min') ELSE concat({_Q}, 'h', {_TWO}) END",
+    "amount": f"CASE {_FORM} WHEN 0 THEN concat({_E}, ',', {_TWO}, ' €') WHEN 1 THEN concat({_E}, '.', {_TWO}) WHEN 2 THEN concat('-', {_E}, ',', {_TWO}) WHEN 3 THEN concat({_E}, ',', {_TWO}, '-') WHEN 4 THEN concat('1 ', {_E}, ',5') WHEN 5 THEN p_name WHEN 6 THEN '€' WHEN 7 THEN concat({_E}, ',999') ELSE {_E} END",
+    "name": f"CASE {_FORM} WHEN 0 THEN concat(p_name, ' (', lower(p_type), ', neuf…)') WHEN 1 THEN concat(p_name, ', ', lower(p_type)) WHEN 2 THEN p_name WHEN 3 THEN concat(p_name, ' (', lower(p_type), ')') ELSE concat(p_name, ', ', lower(p_type), ' (rond)') END",
+    "note": f"CASE {_FORM} WHEN 0 THEN concat('1O,5O € ', p_name) WHEN 1 THEN concat('ﬁlet de bœuf l,20 ', p_name) WHEN 2 THEN concat('voir http://x.fr/', lower(p_type), ' ', p_name) WHEN 3 THEN concat('Page 1/', {_Q}, chr(10), 'Tarte aux pommes ', p_name) WHEN 4 THEN concat('soupe de poisson ', p_name) WHEN 5 THEN concat('Poulet rôti', chr(10), chr(10), ' ', p_name) ELSE concat('gâteau ', p_name) END",
+}
+PHRASES = "phrases AS (SELECT " + ", ".join(f"{x} AS {name}" for name, x in PHRASE_FORMS.items()) + " FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def receipts(spark: SparkSession, d: str) -> DataFrame:
+    """receipt, text: each order as a printed receipt. Tax decides whether a line has its weight or count below it or can't be read, a high discount adds a rebate, the flag its letter of VAT."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = li.select(F.col("l_orderkey").alias("receipt"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"), *[F.expr(x).alias(c) for c, x in PRINTED_FORMS.items()])
+    own = F.filter(F.array("article", "detail", "rebate"), lambda x: x.isNotNull())
+    one = li.groupBy("receipt").agg(F.sort_array(F.collect_list(F.struct("at", own.alias("rows")))).alias("rows"), F.sum("paid").alias("total"), F.max("day").alias("day"))
+    total = _cents(F.col("total"))
+    tail = F.array(F.concat(F.lit("SOUS TOTAL   "), total), F.concat(F.lit("TOTAL   "), total, F.lit(" €")), F.concat(F.lit("CB   "), total), F.lit("TVA A 5,50 %"), F.lit("TVA N 20,00 %"), F.lit("MERCI"))
+    return one.select("receipt", F.array_join(F.concat(F.array(F.lit("MARCHE"), F.concat("day", F.lit(" 12:10"))), F.flatten("rows.rows"), tail), "\n").alias("text"))
+
+
+_EACH = "greatest(CAST(round(l_extendedprice * 100 / l_quantity) AS BIGINT) % 5000, 100)"
+_QTY = "CAST(l_quantity AS BIGINT)"
+_VALUE = f"CASE {_FORM} WHEN 2 THEN CAST(round(CAST({_QTY} * {_EACH} AS DOUBLE) / 10) AS BIGINT) WHEN 4 THEN {_QTY} * {_EACH} ELSE {_EACH} END"
+
+
+def _money(x: str) -> str:
+    return f"concat(CAST(CAST(floor(CAST({x} AS DOUBLE) / 100) AS BIGINT) AS STRING), ',', lpad(CAST(({x}) % 100 AS STRING), 2, '0'))"
+
+
+#: SQL that Spark and DuckDB read alike.
+PRINTED_FORMS = {
+    "article": f"CASE {_FORM} WHEN 7 THEN concat(upper(p_name), ' ?????') ELSE concat(upper(p_name), ' ', CAST(p_size * 25 AS STRING), 'G   ', {_money(_VALUE)}, CASE WHEN l_returnflag = 'R' THEN '' ELSE concat(' ', l_returnflag) END) END",
+    "detail": f"CASE {_FORM} WHEN 2 THEN concat(CAST(CAST(floor(CAST({_QTY} AS DOUBLE) / 10) AS BIGINT) AS STRING), ',', CAST({_QTY} % 10 AS STRING), '00 kg x ', {_money(_EACH)}) WHEN 4 THEN concat(CAST({_QTY} AS STRING), ' x ', {_money(_EACH)}) END",
+    "rebate": "CASE WHEN l_discount >= 0.08 THEN 'REMISE   -0,34' END",
+    "paid": f"{_VALUE} - CASE WHEN l_discount >= 0.08 THEN 34 ELSE 0 END",
+    "value": _VALUE,
+    "day": f"concat(lpad({_D}, 2, '0'), '/', lpad({_M}, 2, '0'), '/', {_Y})",
+}
+PRINTED = "printed AS (SELECT l_orderkey AS receipt, l_linenumber AS a, l_partkey AS b, l_suppkey AS c, l_extendedprice AS e, upper(p_name) AS name, p_size, " + f"{_FORM} AS form, {_QTY} AS q, l_returnflag AS flag, l_discount >= 0.08 AS off, " + ", ".join(f"{x} AS {c}" for c, x in PRINTED_FORMS.items()) + " FROM lineitem JOIN part ON l_partkey = p_partkey)"

@@ -4,9 +4,21 @@ from pyspark.sql import types as T
 
 from larder.operators import sheets
 
+LABELS = (
+    "Sauge", "oignons", "Oignons rouges émincés", "Parmesan râpé 24 mois", "courgeties", "Pâte à tartiner", "penne", "vin blanc", "Poivron vert", "curry rouge", "", "Huile d’olive vierge extra", "tomates", "Filet",
+    "crème fraiche épaisse", "lardon maison", "champignnons de paris",
+)
+INGREDIENTS = (
+    "Oignon jaune", "Oignon rouge", "Sauge fraîche", "Parmesan", "Courgette", "Pâtes (spaghetti, penne…)", "Vin rouge", "Poivron", "Huile d'olive", "Tomates cerises", "Tomates pelées en conserve", "Filet de poulet", "Filet de dinde",
+    "Crème fraîche épaisse", "Lardons fumés", "Champignons de Paris",
+)
+LEARNED = {"lardon maison": "Lardons fumés"}
+
 
 def test_stages(spark):
-    got = {sheets.LABELS[r.id]: (r.ingredient, r.via) for r in sheets.sheet_matches(spark, "").collect()}
+    labels, names = spark.createDataFrame(list(enumerate(LABELS)), "id long, label string"), spark.createDataFrame([(x,) for x in INGREDIENTS], "name string")
+    found = sheets.match_labels(labels, names, spark.createDataFrame(list(LEARNED.items()), "key string, name string"))
+    got = {LABELS[r.id]: (r.ingredient, r.via) for r in found.collect()}
     assert got["Sauge"] == ("Sauge fraîche", "partiel")
     assert got["oignons"] == ("Oignon jaune", "synonyme")
     assert got["lardon maison"] == ("Lardons fumés", "alias")
