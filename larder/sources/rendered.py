@@ -151,3 +151,22 @@ PRINTED_FORMS = {
     "day": f"concat(lpad({_D}, 2, '0'), '/', lpad({_M}, 2, '0'), '/', {_Y})",
 }
 PRINTED = "printed AS (SELECT l_orderkey AS receipt, l_linenumber AS a, l_partkey AS b, l_suppkey AS c, l_extendedprice AS e, upper(p_name) AS name, p_size, " + f"{_FORM} AS form, {_QTY} AS q, l_returnflag AS flag, l_discount >= 0.08 AS off, " + ", ".join(f"{x} AS {c}" for c, x in PRINTED_FORMS.items()) + " FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+#: SQL that Spark and DuckDB read alike: what stands before and after a recipe's ingredients; n is the number of its lines, x its first name.
+RECIPE_FORMS = {
+    "head": "concat(CASE o_orderpriority WHEN '1-URGENT' THEN 'SOUPE DE ' WHEN '2-HIGH' THEN 'Gâteau ' WHEN '3-MEDIUM' THEN 'Riz pilaf aux ' WHEN '4-NOT SPECIFIED' THEN 'Salade vegan | ' ELSE '--' END, CASE WHEN o_orderpriority LIKE '5%' THEN '' ELSE x END, chr(10), '***', chr(10), CASE o_orderstatus WHEN 'F' THEN concat(CAST(n AS STRING), ' pers  20 mn') WHEN 'O' THEN concat('Nombre de personnes :', chr(10), chr(10), 'env. ', CAST(n AS STRING), ',5') ELSE 'Une recette pour 3 convives' END, chr(10), 'Temps de préparation', chr(10), CAST(n * 7 AS STRING), ' min', chr(10), 'Cuisson : 1 h 05', chr(10), CASE WHEN n % 3 = 0 THEN concat('Conseil de chef :', chr(10), '« Choisir ', x, chr(10), 'bien frais »', chr(10)) ELSE '' END, CASE WHEN n % 5 = 4 THEN 'À vos paniers' ELSE 'Les ingrédients :' END)",
+    "tail": "concat(CASE WHEN n % 4 = 3 THEN 'Repos : au frais' ELSE 'Préparation' END, chr(10), '?? Mélangez ', x, ' 10 min.', chr(10), 'Astuces', chr(10), 'Servez.', CASE WHEN n % 2 = 0 THEN concat(chr(10), 'La recette pas à pas', chr(10), 'Temps de repos : 2 heures') ELSE '' END)",
+}
+
+
+def recipes(spark: SparkSession, d: str) -> DataFrame:
+    """recipe, text: each order as the whole text of a recipe."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("recipe")).agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("x"))
+    both = sheets(spark, d).join(li, "recipe").join(table(spark, d, "orders"), F.col("recipe") == F.col("o_orderkey"))
+    return both.select("recipe", F.concat_ws("\n", F.expr(RECIPE_FORMS["head"]), "text", F.expr(RECIPE_FORMS["tail"])).alias("text"))
+
+
+RECIPES_TEXT = SHEETS + f""",
+first_names AS (SELECT l_orderkey AS recipe, count(*) AS n, min(p_name) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+recipes_text AS (SELECT recipe, concat({RECIPE_FORMS["head"]}, chr(10), text, chr(10), {RECIPE_FORMS["tail"]}) AS text FROM sheets JOIN first_names USING (recipe) JOIN orders ON recipe = o_orderkey)"""
