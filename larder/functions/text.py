@@ -35,3 +35,9 @@ def euros_to_cents(text: Column) -> Column:
 
 def fold_sql(x: str) -> str:
     return f"replace(replace(replace(translate(lower({x}), '{ACCENTS}', '{PLAIN}'), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss')"
+
+
+def crc32_sql(x: str) -> str:
+    """crc32 of an ASCII text: its eight steps for each character."""
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT), lambda a, b: {bits}, 4294967295), 4294967295)"

@@ -223,6 +223,7 @@ SQL = {
       a AS (SELECT id, bare AS t FROM p UNION ALL SELECT id, unnest(string_split(bare, ',')) FROM p UNION ALL SELECT id, unnest(string_split(inside, ',')) FROM p) SELECT DISTINCT id AS x, trim(t) AS variant FROM a WHERE trim(t) <> ''""",
     "fuzzy_names": """WITH w(w) AS (VALUES ('red wigdet'), ('blu bolt'), ('hot gear'), ('smal anvil'), ('oldbolt')), n AS (SELECT DISTINCT p_name AS name FROM part)
       SELECT w, name, CAST(levenshtein(w, name) AS INTEGER) AS far FROM w, n WHERE levenshtein(w, name) <= CASE WHEN length(w) >= 8 THEN 2 WHEN length(w) >= 5 THEN 1 ELSE 0 END""",
+    "seeded_jitter": "SELECT event_id AS meal, CAST(" + text.crc32_sql("('1-' || user_id || '-' || strftime(ts, '%Y-%m-%d') || '-' || event_type)") + " % 1000 AS BIGINT) AS thousandths FROM events",
     "money_labels": f"""WITH o AS (SELECT o_orderkey AS receipt, CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_orderkey % 200 AS m, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 6 AS b, {list(MONTHS)} AS mo FROM orders)
       SELECT receipt, c // 100 || ',' || lpad((c % 100)::VARCHAR, 2, '0') || ' €' AS euros, CASE WHEN m < 60 THEN m || ' min' ELSE m // 60 || ' h' || CASE WHEN m % 60 > 0 THEN ' ' || lpad((m % 60)::VARCHAR, 2, '0') ELSE '' END END AS duration,
         CASE WHEN month(a) = month(b) THEN day(a) || ' au ' || day(b) || ' ' || mo[month(b)] ELSE day(a) || ' ' || mo[month(a)] || ' au ' || day(b) || ' ' || mo[month(b)] END AS period FROM o""",

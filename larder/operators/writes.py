@@ -55,7 +55,7 @@ def checked_recipes(lines: DataFrame, ingredients: DataFrame) -> DataFrame:
 
 def seeded_recipes(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").groupBy(F.col("p_name").alias("ingredient")).agg(F.lit("g").alias("base"))
-    lines = table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("recipe"), F.col("p_name").alias("ingredient"), F.lit(2.5).alias("qty"), F.when(F.col("p_partkey") % 2 == 0, "kg").otherwise("g").alias("unit"))
+    lines = table(spark, d, "part").select(F.col("p_partkey").alias("recipe"), F.col("p_name").alias("ingredient"), F.lit(2.5).alias("qty"), F.when(F.col("p_partkey") % 2 == 0, "kg").otherwise("g").alias("unit"))
     return checked_recipes(lines, part).select("recipe", "ingredient", "qty")
 
 
@@ -110,10 +110,10 @@ def toggled_favourites(spark: SparkSession, d: str) -> DataFrame:
 
 
 def copied_recipes(spark: SparkSession, d: str) -> DataFrame:
-    """Drafts made of some recipes, their lines copied, with the parent they come from."""
-    some = table(spark, d, "orders").where("o_orderkey % 97 = 5").select(F.col("o_orderkey").alias("parent"))
+    """Drafts made of all recipes, their lines copied, with the parent they come from."""
+    all_recipes = table(spark, d, "orders").select(F.col("o_orderkey").alias("parent"))
     own = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("parent"), "l_linenumber", "l_partkey")
-    return own.join(some, "parent").groupBy((F.col("parent") + 10_000_000).alias("recipe"), "parent").agg(F.count(F.lit(1)).alias("lines"), F.lit("draft").alias("status"))
+    return own.join(all_recipes, "parent").groupBy((F.col("parent") + 10_000_000).alias("recipe"), "parent").agg(F.count(F.lit(1)).alias("lines"), F.lit("draft").alias("status"))
 
 
 def week_after(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +151,7 @@ SQL = {
       SELECT label, coalesce(o.hits, 0) + coalesce(n.hits, 0) AS hits, coalesce(n.pack, o.pack) AS pack FROM o FULL JOIN n USING (label)""",
     "seeded": f"""SELECT * FROM (VALUES ('red-bolt', 1::BIGINT, 1::BIGINT, 120::BIGINT), ('red-bolt', 2, 6, 650), ('creme-de-riz', 1, 250, 89), ('creme-de-riz', 2, 500, 160), ('huile-dolive', 1, 750, 799), ('the-vert', 1, 20, 210), ('the-vert', 2, 100, 890)) t(slug, position, qty, cents)
       WHERE slug NOT IN (SELECT {SLUG} FROM part)""",
-    "seeded_recipes": "SELECT p_partkey AS recipe, p_name AS ingredient, CASE WHEN p_partkey % 2 = 0 THEN 2500 ELSE 2.5 END::DOUBLE AS qty FROM part WHERE p_size = 7",
+    "seeded_recipes": "SELECT p_partkey AS recipe, p_name AS ingredient, CASE WHEN p_partkey % 2 = 0 THEN 2500 ELSE 2.5 END::DOUBLE AS qty FROM part",
     "synced": f"WITH {SYNC} SELECT * FROM sy",
     "sync_summary": f"WITH {SYNC} SELECT why, count(*) || ' read' AS line FROM sy GROUP BY 1",
     "replaced_lines": "WITH a AS (SELECT l_orderkey AS recipe, l_linenumber::BIGINT AS line FROM lineitem WHERE l_orderkey % 11 > 0 UNION ALL SELECT o_orderkey, 100 FROM orders WHERE o_orderkey % 11 = 0) SELECT recipe, count(*) AS lines, max(line) AS last FROM a GROUP BY 1",
@@ -163,7 +163,7 @@ SQL = {
       n AS (SELECT l_partkey AS ingredient, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty FROM lineitem WHERE l_linenumber = 2 GROUP BY 1),
       j AS (SELECT ingredient, CASE WHEN n.qty IS NOT NULL THEN n.qty WHEN ingredient % 13 = 0 THEN o.qty END AS qty, coalesce(ticked, false) AS ticked, CASE WHEN o.ingredient IS NULL THEN false ELSE ingredient % 13 = 0 END AS by_hand FROM o FULL JOIN n USING (ingredient)) SELECT * FROM j WHERE qty IS NOT NULL""",
     "toggled_favourites": f"WITH {MEALS}, u AS (SELECT DISTINCT household, day AS recipe, slot FROM me WHERE slot IN ('view', 'click')) SELECT household, recipe FROM u GROUP BY 1, 2 HAVING count(*) = 1",
-    "copied_recipes": "SELECT l_orderkey + 10000000 AS recipe, l_orderkey AS parent, count(*) AS lines, 'draft' AS status FROM lineitem WHERE l_orderkey % 97 = 5 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2",
+    "copied_recipes": "SELECT l_orderkey + 10000000 AS recipe, l_orderkey AS parent, count(*) AS lines, 'draft' AS status FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2",
     "week_after": f"""WITH {MEALS}, c AS (SELECT DISTINCT household, day FROM me WHERE slot = 'signup'), k AS (SELECT * FROM me WHERE slot NOT IN ('signup', 'error') UNION ALL SELECT me.* FROM me WHERE slot = 'error' AND NOT EXISTS (SELECT 1 FROM c WHERE c.household = me.household AND c.day = me.day))
       SELECT household, CAST(CASE WHEN day(day) = 10 THEN day + 1 ELSE day END AS DATE) AS day, CASE WHEN slot = 'click' AND value > 90 THEN 'accepted' ELSE slot END AS state, count(*) AS n FROM k GROUP BY 1, 2, 3""",
     "tags_after": "SELECT * FROM (VALUES ('Nation_3', 3::BIGINT, NULL), ('nation 4', 4, NULL), ('Neuf été', NULL, 'neuf-ete')) t(typed, id, made)",

@@ -16,6 +16,12 @@ def test_week_has_one_dish_a_slot_and_no_dish_twice(spark):
     rows = menu.week_menu(spark, DATA).toPandas()
     assert len(rows)
     assert not rows.duplicated(["household", "day", "rank"]).any()
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").toPandas()
+    events = spark.read.parquet(f"{DATA}/events.parquet").toPandas()
+    events["day"], events["rank"] = (events["ts"].dt.normalize() - pd.Timestamp(menu.WEEK)).dt.days + 1, (events["event_type"] != "click").astype(int)
+    busy = set(map(tuple, events[["user_id", "day", "rank"]].to_numpy().tolist()))
+    assert not busy & set(map(tuple, rows[["household", "day", "rank"]].to_numpy().tolist()))
+    assert set(rows["household"]) == {h for h in orders["o_custkey"] if any((h, d, r) not in busy for d in range(1, 8) for r in (0, 1))}
     assert not rows[~rows["leftover"]].duplicated(["household", "recipe"]).any()
     rest = rows[rows["leftover"]].merge(rows[~rows["leftover"]], on=["household", "recipe"])
     assert len(rest) and ((rest["day_x"] == rest["day_y"] + 1) & (rest["rank_x"] == 0) & (rest["rank_y"] == 1)).all()
