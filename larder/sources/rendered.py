@@ -170,3 +170,27 @@ def recipes(spark: SparkSession, d: str) -> DataFrame:
 RECIPES_TEXT = SHEETS + f""",
 first_names AS (SELECT l_orderkey AS recipe, count(*) AS n, min(p_name) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
 recipes_text AS (SELECT recipe, concat({RECIPE_FORMS["head"]}, chr(10), text, chr(10), {RECIPE_FORMS["tail"]}) AS text FROM sheets JOIN first_names USING (recipe) JOIN orders ON recipe = o_orderkey)"""
+
+
+#: SQL that Spark and DuckDB read alike: a step of a preparation. The order's priority decides the layout, its status the blank lines, i is the step's number, n their number, x and y its words.
+_A, _B, _C = "concat('Mélangez ', x, ' et couvrez-')", "concat('les ', {q}, ' min.')".format(q=_Q), "CASE WHEN l_tax > 0.04 THEN concat(chr(10), 'Servez ', y, '.') ELSE '' END"
+STEP_FORM = f"""concat(CASE o_orderpriority
+  WHEN '1-URGENT' THEN concat(i, chr(10), CASE o_orderstatus WHEN 'F' THEN chr(10) ELSE '' END, {_A}, chr(10), {_B}, {_C})
+  WHEN '2-HIGH' THEN concat(CASE o_orderstatus WHEN 'F' THEN concat('Étape ', i, chr(10), chr(10)) WHEN 'O' THEN concat(i, '. ') ELSE concat('étape ', i, ' : ') END, {_A}, chr(10), {_B}, {_C})
+  WHEN '3-MEDIUM' THEN concat({_A}, chr(10), i, ' ', {_B}, {_C}, CASE o_orderstatus WHEN 'F' THEN chr(10) ELSE '' END)
+  WHEN '4-NOT SPECIFIED' THEN concat('• ', {_A}, chr(10), {_B}, {_C})
+  ELSE concat({_A}, chr(10), {_B}, {_C}, CASE o_orderstatus WHEN 'F' THEN '' ELSE chr(10) END) END,
+  CASE WHEN i = '1' AND l_returnflag = 'R' THEN concat(chr(10), '« Choisir ', y) WHEN i = '2' AND l_returnflag <> 'N' THEN concat(chr(10), 'bien frais »') WHEN i = n AND l_returnflag = 'N' THEN concat(chr(10), chr(10), 'Bon appétit') ELSE '' END)"""
+
+
+def preparations(spark: SparkSession, d: str) -> DataFrame:
+    """recipe, text: each order's lines as the steps of a preparation."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    one = li.groupBy(F.col("l_orderkey").alias("recipe")).agg(F.sort_array(F.collect_list(F.struct(*cols, "p_name", "p_type", "l_quantity", "l_tax", "l_returnflag", "o_orderpriority", "o_orderstatus"))).alias("rows"), F.count(F.lit(1)).cast("string").alias("n"))
+    rows = one.select("recipe", "n", F.posexplode("rows").alias("i", "r")).select("recipe", "n", (F.col("i") + 1).cast("string").alias("i"), F.col("r.p_name").alias("x"), F.lower("r.p_type").alias("y"), "r.*")
+    return rows.groupBy("recipe").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.expr(STEP_FORM).alias("x")))), lambda s: s["x"]), "\n").alias("text"))
+
+
+PREPARATIONS = f"""step_rows AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, count(*) OVER (PARTITION BY l_orderkey) AS many, p_name AS x, lower(p_type) AS y FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+preparations AS (SELECT recipe, string_agg(t, chr(10) ORDER BY place) AS text FROM (SELECT l_orderkey AS recipe, place, {STEP_FORM} AS t FROM (SELECT *, place::VARCHAR AS i, many::VARCHAR AS n FROM step_rows)) GROUP BY recipe)"""
