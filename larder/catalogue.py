@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from larder.operators import aliases, answers, filters, household, ingredient_lines, labels, matching, prices, receipts, recipe_text, reconcile, relational, repairs, segments, sheets, steps, stock, writes
+from larder.operators import aliases, answers, columns, filters, household, ingredient_lines, labels, matching, prices, receipts, recipe_text, reconcile, relational, repairs, segments, sheets, steps, stock, writes
 from larder.plans import menu, packs, shopping
 
-MODULES = (matching, prices, stock, shopping, packs, relational, filters, household, labels, reconcile, writes, menu, receipts, sheets, ingredient_lines, answers, segments, recipe_text, repairs, aliases, steps)
+MODULES = (matching, prices, stock, shopping, packs, relational, filters, household, labels, reconcile, writes, menu, receipts, sheets, ingredient_lines, answers, segments, recipe_text, repairs, aliases, steps, columns)
 
 
 def _all(part: str) -> dict:

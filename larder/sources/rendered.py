@@ -194,3 +194,23 @@ def preparations(spark: SparkSession, d: str) -> DataFrame:
 
 PREPARATIONS = f"""step_rows AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, count(*) OVER (PARTITION BY l_orderkey) AS many, p_name AS x, lower(p_type) AS y FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
 preparations AS (SELECT recipe, string_agg(t, chr(10) ORDER BY place) AS text FROM (SELECT l_orderkey AS recipe, place, {STEP_FORM} AS t FROM (SELECT *, place::VARCHAR AS i, many::VARCHAR AS n FROM step_rows)) GROUP BY recipe)"""
+
+
+#: SQL that Spark and DuckDB read alike: an ingredient and what was read beside it, by tax; x and y are its words, i its number.
+_I = "concat(CASE l_returnflag WHEN 'A' THEN 'e ' WHEN 'N' THEN '• ' ELSE '?? ' END, CASE WHEN l_linestatus = 'F' THEN concat({q}, ' g de ') ELSE '' END, x".format(q=_Q)
+COLUMN_FORM = f"""CASE {_FORM} WHEN 0 THEN {_I}, ' Etape ', i) WHEN 1 THEN {_I}, ' Etapat Couper ', x, ' et') WHEN 2 THEN {_I}, ' les ', y, ' doucement.') WHEN 3 THEN {_I}, chr(10), ': Faire cuire ', x, ' pendant ', i, ' minutes.')
+  WHEN 4 THEN {_I}, ' Biepeaz', chr(10), 'Couper ', x, ' et') WHEN 5 THEN {_I}, chr(10), '***', chr(10), 'Servir ', x, ' puis') WHEN 6 THEN {_I}, ' la ', y) WHEN 7 THEN concat('• Couper le reste et servir ', x, chr(10), {_I})) ELSE {_I}, ' Mélanger le tout avec ', y, '.', chr(10), 'Etape7') END"""
+COLUMN_HEAD = "concat('Plat de ', x, chr(10), chr(10), CASE o_orderstatus WHEN 'F' THEN 'Les ingrédients La recette' WHEN 'O' THEN 'INGRÉDIENTS  PRÉPARATION :' ELSE 'Ingrédients' END, chr(10), chr(10))"
+
+
+def two_columns(spark: SparkSession, d: str) -> DataFrame:
+    """recipe, text: each order's lines as a sheet of two columns read across."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    one = li.groupBy(F.col("l_orderkey").alias("recipe")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "p_name", "p_type", "l_quantity", "l_tax", "l_returnflag", "l_linestatus", "o_orderstatus"))).alias("rows"))
+    rows = one.select("recipe", F.posexplode("rows").alias("i", "r")).select("recipe", F.col("i").alias("place"), (F.col("i") + 1).cast("string").alias("i"), F.col("r.p_name").alias("x"), F.lower("r.p_type").alias("y"), "r.*")
+    text = F.concat(F.when(F.col("place") == 0, F.expr(COLUMN_HEAD)).otherwise(""), F.expr(COLUMN_FORM))
+    return rows.groupBy("recipe").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", text.alias("x")))), lambda s: s["x"]), "\n").alias("text"))
+
+
+TWO_COLUMNS = f"""column_rows AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, p_name AS x, lower(p_type) AS y FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+two_columns AS (SELECT recipe, string_agg(t, chr(10) ORDER BY place) AS text FROM (SELECT l_orderkey AS recipe, place, CASE WHEN place = 1 THEN {COLUMN_HEAD} ELSE '' END || {COLUMN_FORM} AS t FROM (SELECT *, place::VARCHAR AS i FROM column_rows)) GROUP BY recipe)"""
