@@ -46,7 +46,7 @@ def plan(need: Column, unit: Column, q: Column, c: Column, bulk: Column) -> Colu
     def filled(y: Column, z: Column) -> Column:
         return made(F.greatest(none, F.ceil((target - y * q[1] - z * q[2]) / q[0] - 1e-9)).cast("long"), y, z)
 
-    every = F.flatten(F.transform(F.sequence(none, most[1]), lambda y: F.transform(F.sequence(none, most[2]), lambda z: filled(y, z))))
+    every = F.transform(F.sequence(none, most[1]), lambda y: F.array_min(F.transform(F.sequence(none, most[2]), lambda z: filled(y, z))))
     single = F.array(made(most[0], none, none), made(none, most[1], none), made(none, none, most[2]))
     small = (most[0] + 1) * (most[1] + 1) * (most[2] + 1) <= COMBINATIONS
     steps = F.ceil(need / 50 - 1e-9) * 50.0

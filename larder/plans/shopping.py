@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.prices import BEST, best_offer
 from larder.operators.stock import ALIVE, stock_available
+from larder.plans import packs
 from larder.sources.tables import LINES, LOTS, lines, table
 
 WEEK = ("1998-01-05", "1998-01-11")
@@ -40,19 +41,11 @@ def net_needs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shopping_list(spark: SparkSession, d: str) -> DataFrame:
-    """For what must be bought: the cheapest whole packs that cover it, ties to less surplus, then fewer packs.
-
-    Counts of the larger packs run up to what covers the need alone, so a need makes few combinations; the
-    single pack fills the rest. All of it stays in columns.
-    """
+    """For what must be bought: the cheapest whole packs that cover it, by `packs.plan`: in the need's own row, however large it is."""
     need = net_needs(spark, d).where("section <> 'stock'").join(best_offer(spark, d).select("pack", "store", "cents"), "pack")
-    b, c = PACKS[1:]
-    combos = need.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("net") / b)))).withColumn("z", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("net") / c))))
-    combos = combos.withColumn("x", F.greatest(F.lit(0), F.col("net") - b * F.col("y") - c * F.col("z")).cast("long"))
-    price = F.col("x") * F.col("cents") + sum(F.col(n) * F.floor(F.col("cents") * size * (100 - 3 * size) / 100).cast("long") for n, size in (("y", b), ("z", c)))
-    bought = F.col("x") + b * F.col("y") + c * F.col("z")
-    choice = F.struct(price.alias("cents"), (bought - F.col("net")).alias("surplus"), (F.col("x") + F.col("y") + F.col("z")).alias("packs"), "x", "y", "z")
-    return combos.groupBy("pack", "store", "section", "net").agg(F.min(choice).alias("p")).select("pack", "store", "section", "net", F.col("p.cents").alias("cents"), F.col("p.surplus").alias("surplus"), F.col("p.x").alias("singles"), F.col("p.y").alias("sixes"), F.col("p.z").alias("tens"))
+    cost = [F.floor(F.col("cents") * n * (100 - (3 * n if n > 1 else 0)) / 100).cast("long") for n in PACKS]
+    p = packs.plan(F.col("net").cast("double"), F.lit("piece"), F.array(*[F.lit(float(n)) for n in PACKS]), F.array(*cost), F.lit(None).cast("long"))
+    return need.withColumn("p", p).select("pack", "store", "section", "net", F.col("p.cents").alias("cents"), F.col("p.surplus").cast("long").alias("surplus"), F.col("p.x").alias("singles"), F.col("p.y").alias("sixes"), F.col("p.z").alias("tens"))
 
 
 def budget_prorata(spark: SparkSession, d: str) -> DataFrame:
@@ -76,12 +69,13 @@ SQL = {
     "net_needs": f"WITH {NET} SELECT * FROM net",
     "shopping_list": f"""WITH {BEST}, {NET},
       n AS (SELECT net.pack, best.store, section, net, best.cents FROM net JOIN best USING (pack) WHERE section <> 'stock'),
-      y AS (SELECT *, unnest(range(0, CAST(ceil(net / 6.0) AS BIGINT) + 1)) AS y FROM n),
-      z AS (SELECT *, unnest(range(0, CAST(ceil(net / 10.0) AS BIGINT) + 1)) AS z FROM y),
-      x AS (SELECT *, greatest(0, net - 6 * y - 10 * z) AS x FROM z),
+      m AS (SELECT *, greatest(1, ceil(net / 6.0)::BIGINT) AS most6, greatest(1, ceil(net / 10.0)::BIGINT) AS most10, (net + 1) * (greatest(1, ceil(net / 6.0)::BIGINT) + 1) * (greatest(1, ceil(net / 10.0)::BIGINT) + 1) <= {packs.COMBINATIONS} AS few FROM n),
+      y AS (SELECT *, unnest(range(0, most6 + 1)) AS y FROM m WHERE few),
+      x AS (SELECT * EXCLUDE (z), z, greatest(0, net - 6 * y - 10 * z) AS x FROM (SELECT *, unnest(range(0, most10 + 1)) AS z FROM y)
+        UNION ALL SELECT m.*, CASE k WHEN 6 THEN most6 ELSE 0 END, CASE k WHEN 10 THEN most10 ELSE 0 END, CASE k WHEN 1 THEN net ELSE 0 END FROM m, (VALUES (1), (6), (10)) v(k) WHERE NOT few),
       c AS (SELECT *, x * cents + y * CAST(floor(cents * 6 * 82 / 100.0) AS BIGINT) + z * CAST(floor(cents * 10 * 70 / 100.0) AS BIGINT) AS total, x + 6 * y + 10 * z - net AS surplus FROM x),
       pick AS (SELECT *, row_number() OVER (PARTITION BY pack, store, section, net ORDER BY total, surplus, x + y + z, x, y, z) AS rn FROM c)
-      SELECT pack, store, section, net, CAST(total AS BIGINT) AS cents, CAST(surplus AS BIGINT) AS surplus, CAST(x AS BIGINT) AS singles, y AS sixes, z AS tens FROM pick WHERE rn = 1""",
+      SELECT pack, store, section, net, CAST(total AS BIGINT) AS cents, CAST(surplus AS BIGINT) AS surplus, CAST(x AS BIGINT) AS singles, CAST(y AS BIGINT) AS sixes, CAST(z AS BIGINT) AS tens FROM pick WHERE rn = 1""",
     "budget_prorata": """SELECT c_custkey AS household, CAST(round(abs(c_acctbal) * 100) AS BIGINT) AS weekly, least(c_custkey % 40 + 1, 31) AS days,
       CAST(round(CAST(round(abs(c_acctbal) * 100) AS BIGINT) * least(c_custkey % 40 + 1, 31) / 7::DOUBLE) AS BIGINT) AS budget FROM customer""",
 }
