@@ -37,12 +37,14 @@ def _unfinished(x: Column) -> Column:
 
 
 def cut_lines(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
-    """by, pos, own (the line, before the heading of both columns), ingredient, right and guess (a step's number stands there, unread) of each line of texts that have that heading. Lines without letters go."""
-    rows = texts.select(by, F.posexplode(F.split(text, "\n")).alias("pos", "raw")).withColumn("x", F.regexp_replace("raw", r"^\s+|\s+$", ""))
+    """by, pos, own (the line, before the heading of both columns), ingredient, right and guess (a step's number stands there, unread) of each line of texts that have that heading, and one empty row at least of each text. Lines without letters go."""
+    rows = texts.select(by, F.posexplode_outer(F.split(text, "\n")).alias("pos", "raw")).withColumn("x", F.regexp_replace("raw", r"^\s+|\s+$", ""))
     plain = F.trim(F.regexp_replace(F.regexp_replace(fold(F.col("x")), "[^a-z ]", " "), r"\s+", " "))
-    rows = rows.withColumn("heading", F.min(F.when(plain.rlike(HEADING), F.col("pos"))).over(W.partitionBy(by))).where("heading IS NOT NULL AND pos <> heading")
-    head = F.col("pos") < F.col("heading")
-    rows = rows.where(head | ((F.col("x") != "") & ~F.col("x").rlike(NOISE))).withColumn("own", F.when(head, F.col("raw")))
+    rows = rows.withColumn("heading", F.min(F.when(plain.rlike(HEADING), F.col("pos"))).over(W.partitionBy(by)))
+    live = F.coalesce(F.col("pos") != F.col("heading"), F.lit(False))
+    rows = rows.withColumn("head", F.coalesce(F.col("pos") < F.col("heading"), F.lit(False))).withColumn("live", live & (F.col("head") | ((F.col("x") != "") & ~F.col("x").rlike(NOISE)))).where(F.col("live") | (F.coalesce("pos", F.lit(0)) == 0))
+    head = F.col("head")
+    rows = rows.withColumn("own", F.when(head, F.col("raw")))
     x, rest, words = F.col("x"), F.col("rest"), F.col("words")
     rows = rows.withColumn("bullet", ~head & x.rlike(BULLET)).withColumn("rest", F.when(F.col("bullet"), F.regexp_replace("x", BULLET, ""))).withColumn("words", F.split("rest", r"\s+"))
     counted, n = rest.rlike(COUNTED), F.size("words")
@@ -61,7 +63,7 @@ def cut_lines(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
     at = lambda open_: F.array_position(F.transform("words", lambda w, k: turns(w, k, open_)), True).cast("int") - 1
     marked = rest.rlike(MARKED)
     unread = ~marked & rest.rlike(UNREAD) & F.regexp_extract("rest", UNREAD, 1).rlike(r"\p{L}") & ~F.regexp_extract("rest", UNREAD, 1).rlike("(?iu)" + OPEN_END)
-    rows = rows.withColumn("how", F.when(head, "head").when(~F.col("bullet") | F.col("whole"), "right").when(marked, "marked").when(unread, "unread").otherwise("words"))
+    rows = rows.withColumn("how", F.when(~F.col("live"), None).when(head, "head").when(~F.col("bullet") | F.col("whole"), "right").when(marked, "marked").when(unread, "unread").otherwise("words"))
     rows = rows.withColumn("closed", F.when(F.col("how") == "words", at(False))).withColumn("opened", F.when(F.col("how") == "words", at(True)))
     straight = F.when(F.col("bullet"), rest).otherwise(F.regexp_replace("x", STRAY, ""))
     beyond = F.regexp_extract("rest", MARKED, 3)
@@ -80,19 +82,20 @@ def cut_lines(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
 def split_columns(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
     """by, text: each text with its two columns one after the other and its steps numbered in order (a number that can't be read follows the one before); null where a text is null, has no heading of two columns, or has nothing in one of them."""
     lines = cut_lines(texts, by, text)
-    parts = lines.select(by, "pos", "guess", F.posexplode("right").alias("part", "x"))
+    parts = lines.select(by, "pos", "own", "ingredient", "guess", F.posexplode_outer("right").alias("part", "x")).withColumn("part", F.coalesce("part", F.lit(0)))
     order = W.partitionBy(by).orderBy("pos", "part")
-    marks = F.col("guess") | F.col("x").rlike(f"^{MARKER}$")
+    marks = F.coalesce(F.col("guess") | F.col("x").rlike(f"^{MARKER}$"), F.lit(False))
     parts = parts.withColumn("mark", marks).withColumn("nth", F.sum(F.col("mark").cast("int")).over(order))
     read = F.when(F.col("mark"), F.regexp_extract("x", r"([0-9]{1,2})$", 1).try_cast("int"))
     parts = parts.withColumn("read", read).withColumn("base", F.coalesce(F.last(F.when(F.col("read").isNotNull(), F.col("read") - F.col("nth")), ignorenulls=True).over(order), F.lit(0)))
     shown = F.when(F.col("mark"), F.concat(F.lit("\nEtape "), (F.col("base") + F.col("nth")).cast("string"))).otherwise(F.col("x"))
     in_order = lambda *at, x: F.transform(F.sort_array(F.collect_list(F.when(x.isNotNull(), F.struct(*at, x.alias("x"))))), lambda s: s["x"])
-    right = parts.groupBy(by).agg(in_order("pos", "part", x=shown).alias("right"))
-    left = lines.groupBy(by).agg(in_order("pos", x=F.col("own")).alias("head"), in_order("pos", x=F.concat(F.lit("- "), F.col("ingredient"))).alias("left"))
-    both = left.where(F.size("left") > 0).join(right, by)
+    first = F.col("part") == 0
+    one = parts.groupBy(by).agg(
+        in_order("pos", x=F.when(first, F.col("own"))).alias("head"), in_order("pos", x=F.when(first, F.concat(F.lit("- "), F.col("ingredient")))).alias("left"), in_order("pos", "part", x=shown).alias("right"),
+    )
     whole = F.array_join(F.concat("head", F.array(F.lit(""), F.lit(LEFT)), "left", F.array(F.lit(""), F.lit(RIGHT)), "right"), "\n")
-    return texts.select(by).join(both.select(by, whole.alias("text")), by, "left")
+    return one.select(by, F.when((F.size("left") > 0) & (F.size("right") > 0), whole).alias("text"))
 
 
 def recipe_columns(spark: SparkSession, d: str) -> DataFrame:
