@@ -45,7 +45,7 @@ ITEM = "array<struct<name:string,quantity:double,unit:string,note:string,check:s
 
 
 def _strip(x: Column, more: str = "") -> Column:
-    return F.regexp_replace(x, rf"^[\s{more}]+|[\s{more}]+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r" + more.replace("\\", "")))
 
 
 def _i(pattern: str) -> str:
@@ -64,6 +64,15 @@ def _after(x: Column, head: Column) -> Column:
     return _strip(F.substring(x, F.length(head) + 1, F.length(x)))
 
 
+def _holds(x: Column, *words: str) -> Column:
+    """A quick look before a pattern."""
+    low = F.lower(x)
+    out = F.contains(low, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(low, F.lit(w))
+    return out
+
+
 def _starts_with_quantity(x: Column) -> Column:
     return x.rlike(STARTS)
 
@@ -112,14 +121,14 @@ def ingredients(lines: DataFrame, text: str = "text") -> DataFrame:
     keep = [c for c in lines.columns if c != text]
     t, rest = F.col("t"), F.col("rest")
     out = lines.withColumn("t", F.replace(F.col(text), F.lit(" "), F.lit(" ")))
-    out = out.withColumn("forced", _strip(F.regexp_extract("t", WARNED, 1))).withColumn("raw", _strip(F.regexp_replace("t", WARNED, "")))
+    out = out.withColumn("warned", F.contains("t", F.lit("⚠"))).withColumn("forced", F.when(F.col("warned"), _strip(F.regexp_extract("t", WARNED, 1))).otherwise("")).withColumn("raw", _strip(F.when(F.col("warned"), F.regexp_replace("t", WARNED, "")).otherwise(t)))
     out = out.withColumn("t", F.regexp_replace("raw", r"\s+", " ")).where("t <> ''")
     letters = F.regexp_replace(t, r"[^\p{L}]", "")
     shouts = (F.length(letters) > 0) & (F.length(F.regexp_replace(letters, r"[^\p{Lu}]", "")) / F.greatest(F.length(letters), F.lit(1)) > 0.7)
     out = out.withColumn("t", F.when(shouts, F.lower("t")).otherwise(t))
     out = out.withColumn("tail", F.regexp_extract_all("t", F.lit(r"\(([^)]*)\)"), 1)).withColumn("t", _strip(F.regexp_replace(F.regexp_replace("t", r"\([^)]*\)", " "), r"\s+", " ")))
-    out = out.withColumn("optional", _has(t, OPTIONAL)).withColumn("t", F.when(F.col("optional"), _strip(F.regexp_replace("t", _i(OPTIONAL), "$1$3"))).otherwise(t))
-    out = out.withColumn("taste", F.lower(_got(t, TASTE, 2))).withColumn("t", F.when(F.col("taste") != "", _strip(F.regexp_replace("t", _i(TASTE), "$1$3"), ",;")).otherwise(t))
+    out = out.withColumn("optional", F.when(_holds(t, "facultati", "optionnel"), _has(t, OPTIONAL)).otherwise(False)).withColumn("t", F.when(F.col("optional"), _strip(F.regexp_replace("t", _i(OPTIONAL), "$1$3"))).otherwise(t))
+    out = out.withColumn("taste", F.when(_holds(t, "go", "volont", "convenance"), F.lower(_got(t, TASTE, 2))).otherwise("")).withColumn("t", F.when(F.col("taste") != "", _strip(F.regexp_replace("t", _i(TASTE), "$1$3"), ",;")).otherwise(t))
     out = out.withColumn("head", F.regexp_extract("t", QUANTITY, 0)).withColumn("q", _strip(F.regexp_extract("t", QUANTITY, 1))).withColumn("to", F.regexp_extract("t", QUANTITY, 3))
     out = out.withColumn("counted", F.col("head") != "").withColumn("quantity", F.when(F.col("counted"), _number(F.col("q")))).withColumn("rest", F.when(F.col("counted"), _after(t, F.col("head"))).otherwise(t))
     out = out.withColumn("kind", F.when(F.col("counted"), F.lower(_got(rest, QUALIFIED))).otherwise("")).withColumn("rest", _after(rest, F.col("kind")))
@@ -152,8 +161,9 @@ def ingredients(lines: DataFrame, text: str = "text") -> DataFrame:
     notes = F.array_distinct(F.filter(F.transform(notes, lambda n: _strip(n, ",;")), lambda n: n.isNotNull() & (n != "")))
     out = out.withColumn("note", F.when(F.size(notes) > 0, F.left(F.array_join(notes, ", "), F.lit(120))))
     words = lambda x: F.regexp_count(fold(x), F.lit("[a-z'][a-z'-]*"))
-    one, two = _got(rest, TWO), _got(rest, TWO, 2)
-    both = ~F.col("counted") & (one != "") & (words(one) <= 3) & (words(two) <= 3)
+    out = out.withColumn("few", F.when(~F.col("counted"), words(rest) <= 7).otherwise(False))  # two names of three words and 'et'
+    one, two = (F.when(F.col("few"), _got(rest, TWO, k)).otherwise("") for k in (1, 2))
+    both = F.when(F.col("few"), (one != "") & (words(one) <= 3) & (words(two) <= 3)).otherwise(False)
     none = F.lit(None)
     item = lambda name, q, u, note, check: F.struct(_bare(name).alias("name"), q.cast("double").alias("quantity"), u.cast("string").alias("unit"), note.cast("string").alias("note"), check.cast("string").alias("check"))
     items = F.when(both, F.array(item(one, none, none, F.col("note"), none), item(two, none, none, none, none))).when(rest != "", F.array(item(rest, F.col("quantity"), F.col("unit"), F.col("note"), F.col("check")))).otherwise(F.array().cast(ITEM))
