@@ -246,10 +246,19 @@ def all_moves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queue_head(spark: SparkSession, d: str) -> DataFrame:
-    """One at a time in all: the first open import of any household, else the first open receipt."""
+    """Of each household its first open import, else its first open receipt; beside it the one that keeps it waiting.
+
+    One is read at a time in all: what waits does so for the first open import of any household, else the first open
+    receipt, itself left out. Ids that are null come last.
+    """
     i = meals(spark, d).where("slot = 'signup' AND value < 20").select("household", F.lit(0).alias("kind"), F.col("meal").alias("id"))
     r = recipes(spark, d).where("status = 'O'").select(F.col("author").alias("household"), F.lit(1).alias("kind"), F.col("recipe").alias("id"))
-    return i.unionByName(r).agg(F.min(F.struct("kind", "id", "household")).alias("x")).where("x IS NOT NULL").select("x.household", "x.kind", "x.id")
+    u = i.unionByName(r).withColumn("x", F.struct("kind", F.col("id").isNull().alias("last"), "id"))
+    first = u.agg(F.min("x").alias("first"))
+    second = u.join(F.broadcast(first), F.col("x") != F.col("first")).agg(F.min("x").alias("second"))
+    own = u.groupBy("household").agg(F.min("x").alias("x")).join(F.broadcast(first.join(second)))
+    busy = F.when(F.col("x") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    return own.withColumn("busy", busy).select("household", "x.kind", "x.id", F.col("busy.kind").alias("busy_kind"), F.col("busy.id").alias("busy_id"))
 
 
 FOLDED = text.fold_sql("title")
@@ -296,5 +305,6 @@ SQL = {
     "set_algebra": """SELECT c_custkey AS list, array_to_string([c_custkey, c_custkey + 1, c_custkey + 3], ',') AS excluded, CASE WHEN c_custkey % 2 = 0 THEN 'purchase,click' ELSE 'click,purchase' END AS slots, 4::BIGINT AS ids FROM customer""",
     "all_moves": f"WITH {MEALS}, {RECIPES}, u AS (SELECT household, day, 'meal' AS kind FROM me UNION ALL SELECT author, day, 'receipt' FROM re) SELECT household, kind, count(*) AS n, max(day) AS last FROM u GROUP BY 1, 2",
     "queue_head": f"""WITH {MEALS}, {RECIPES}, u AS (SELECT household, 0 AS kind, meal AS id FROM me WHERE slot = 'signup' AND value < 20 UNION ALL SELECT author, 1, recipe FROM re WHERE status = 'O'),
-      k AS (SELECT *, row_number() OVER (ORDER BY kind, id, household) AS k FROM u) SELECT household, kind, id FROM k WHERE k = 1""",
+      k AS (SELECT *, row_number() OVER (PARTITION BY household ORDER BY kind, id) AS k FROM u), o AS (SELECT kind, id, row_number() OVER (ORDER BY kind, id) AS n FROM (SELECT DISTINCT kind, id FROM u))
+      SELECT household, k.kind, k.id, b.kind AS busy_kind, b.id AS busy_id FROM k JOIN o ON o.kind = k.kind AND o.id IS NOT DISTINCT FROM k.id LEFT JOIN o b ON b.n = CASE WHEN o.n = 1 THEN 2 ELSE 1 END WHERE k = 1""",
 }
