@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import itertools
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,23 +14,27 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, mix, read, shingle_row, tokenizer_dir, written
+from .common import STEP, byte_column, mix, pieces, read, tokenizer_dir, written
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\r\x0b\f"
-CACHE = 150_000  # words a worker remembers
+CACHE = 400_000  # words from which a worker forgets those it met once
 FAMILIES = 10_000  # languages and scripts whose bands are broadcast, some 200 bytes each; more are joined in a shuffle
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 #: A text is out of its group's band beyond this many quartile ranges from the quartiles; only where they are equal, beyond LEAST (a share of the median, or plainly).
 WIDE = {"chars_per_token": 4.0, "chars_per_byte_token": 4.0, "byte_share": 4.0, "entropy": 1.5}
 LEAST = {"chars_per_token": 0.25, "chars_per_byte_token": 0.25, "byte_share": 0.05, "entropy": 0.15}
 SCRIPT = regex.compile(r"(\p{Latin})|(\p{Cyrillic})|(\p{Greek})|(\p{Han}|\p{Hiragana}|\p{Katakana}|\p{Hangul})|(\p{Arabic})|(\p{L})")
+ODD = re.compile(r" [^\S ]")  # a space and other white space: pieces may begin elsewhere
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "East Asian", "Arabic", "other")
 
 
 class Vocabularies:
-    """A piece vocabulary with byte fallback and a byte-level one; both end tokens at white space, so words are cut once and remembered."""
+    """A piece vocabulary with byte fallback and a byte-level one; both end tokens at white space, so words are cut once and remembered.
+
+    Words have numbers. Of each: its byte-level tokens, its uses, and where its piece ids lie in one array of those of all words.
+    """
 
     def __init__(self, folder: str):
         import sentencepiece
@@ -38,23 +45,62 @@ class Vocabularies:
         with open(f"{folder}/{RANKS}", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.opens = np.zeros(max(ranks.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for x, i in ranks.items() if x[:1] == b" "]] = True
         self.fallback = np.array([self.pieces.is_byte(i) or self.pieces.is_unknown(i) for i in range(self.pieces.get_piece_size())])
-        self.known: dict[bytes, tuple[bytes, int]] = {}
-
-    def learn(self, words: set[bytes]) -> dict[bytes, tuple[bytes, int]]:
-        """Packed piece ids and the number of byte-level tokens of each word."""
-        new = list(words.difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(words)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            some = [w.decode("utf-8", "replace") for w in part]
-            ids = self.pieces.encode(some, num_threads=1)
-            cut = self.bytes.encode_ordinary
-            for w, t, i in zip(part, some, ids, strict=True):
-                self.known[w] = (np.array(i, "<u4").tobytes(), len(cut(" " + t)))
-        return self.known
+        self.number: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.n_bytes = self.uses = self.length = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.begin = np.zeros(1, np.int64)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, until the next call; new ones are cut."""
+        if len(self.number) > CACHE:
+            self.forget()
+        old = len(self.number)
+        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new = list(itertools.islice(self.number, old, None))
+        n_bytes, length, ids = [self.n_bytes], [self.length], [self.ids]
+        for a in range(0, len(new), 2_000):
+            text = b" ".join(new[a : a + 2_000]).decode("utf-8", "replace")
+            some = text.split(" ")
+            cut = self.pieces.encode(some, num_threads=1)
+            length.append(np.fromiter(map(len, cut), np.int64, len(cut)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(cut), np.uint32, int(length[-1].sum())))
+            n_bytes.append(self.byte_tokens(text, some))
+        self.n_bytes, self.length, self.ids = map(np.concatenate, (n_bytes, length, ids))
+        self.begin = np.concatenate([[0], np.cumsum(self.length)])
+        self.uses = np.bincount(number, minlength=len(self.number)) + np.pad(self.uses, (0, len(new)))
+        return number
+
+    def byte_tokens(self, text: str, words: list[str]) -> np.ndarray:
+        """The byte-level tokens of each word of a text. Its pieces begin at each space, if no other white space follows one."""
+        cut = self.bytes.encode_ordinary
+        if ODD.search(text) or ODD.match(" " + text[:1]):
+            return np.fromiter((len(cut(" " + w)) for w in words), np.int64, len(words))
+        tokens = np.array(cut(" " + text), np.int64)
+        return np.diff(np.flatnonzero(self.opens[tokens]), append=len(tokens))
+
+    def piece_ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of words end to end, and how many each has."""
+        length, ids = self.length[number], [self.ids[:0]]
+        for a in range(0, len(number), 200_000):
+            n, some = length[a : a + 200_000], number[a : a + 200_000]
+            at = np.repeat(self.begin[some] - (np.cumsum(n) - n), n)
+            ids.append(self.ids[at + np.arange(len(at))])
+        return np.concatenate(ids), length
+
+    def forget(self) -> None:
+        """Keeps the words used twice or more, or none if these are too many. Their uses count anew."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > CACHE // 2:
+            keep = keep[:0]
+        words = list(self.number)
+        self.ids, self.n_bytes = self.piece_ids(keep)[0], self.n_bytes[keep]
+        self.length = self.length[keep]
+        self.begin = np.concatenate([[0], np.cumsum(self.length)])
+        self.uses = np.zeros(len(keep), np.int64)
+        self.number = defaultdict(itertools.count(len(keep)).__next__, zip([words[i] for i in keep.tolist()], range(len(keep)), strict=True))
 
 
 _ready: dict[str, Vocabularies] = {}
@@ -74,10 +120,14 @@ def base_measures(text: bytes, words: list[bytes], number: np.ndarray) -> tuple[
             seen.add(line)
     repeat = 0
     if len(words) > WINDOW:
-        h = shingle_row(mix(number.astype(np.uint64) + np.uint64(1)), WINDOW)
-        _, at, n = np.unique(h, return_inverse=True, return_counts=True)
-        again = np.flatnonzero(n[at] > 1)
-        if len(again):
+        x = mix(number.astype(np.uint64) + np.uint64(1))
+        h = x[: len(x) - WINDOW + 1]
+        for k in range(1, WINDOW):
+            h = h * STEP + x[k : len(x) - WINDOW + 1 + k]
+        s = np.sort(h)
+        twice = s[1:][s[1:] == s[:-1]]
+        if len(twice):
+            again = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h)
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, again, 1)
             np.add.at(edge, again + WINDOW, -1)
@@ -100,30 +150,31 @@ def measures(docs: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _ready.setdefault(folder, _ready.get(folder) or Vocabularies(folder))
-        for whole in batches:
-            for a in range(0, whole.num_rows, 300):
-                batch = whole.slice(a, 300)
-                texts = byte_column(batch, "text")
-                split = [t.split() for t in texts]
-                own = {w: i for i, w in enumerate({w for s in split for w in s})}
-                known = vocab.learn(set(own))
-                cut = [known[w] for w in own]
-                n_bytes = np.fromiter((c[1] for c in cut), np.int64, len(cut))
-                rows = []
-                for key, lang, text, words in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), texts, split, strict=True):
-                    number = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
-                    base = base_measures(text, words, number)
-                    ids = np.frombuffer(b"".join([cut[i][0] for i in number.tolist()]), "<u4")
-                    if len(ids):
-                        n = np.unique(ids, return_counts=True)[1] / len(ids)
-                        # of what a text of so many tokens can have at most
-                        entropy = float(-(n * np.log2(n)).sum() / np.log2(max(2, min(len(ids), len(vocab.fallback)))))
-                        more = (base[0] / len(ids), base[0] / max(1, int(n_bytes[number].sum())), float(vocab.fallback[ids].mean()), entropy)
-                    else:
-                        more = (None,) * 4
-                    rows.append((key, lang if lang is not None else script(text.decode("utf-8", "replace")), len(words), *base, *more))
-                kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for batch in pieces(batches, size=1 << 21):
+            texts = byte_column(batch, "text")
+            split = [t.split() for t in texts]
+            number = vocab.numbers([w for s in split for w in s])
+            ids, n_pieces = vocab.piece_ids(number)
+            ends = np.cumsum([len(s) for s in split])
+            of_words = np.concatenate([[0], np.cumsum(n_pieces)])
+            of_bytes = np.concatenate([[0], np.cumsum(vocab.n_bytes[number])])
+            rows = []
+            for lang, text, words, b in zip(batch.column("lang").to_pylist(), texts, split, ends.tolist(), strict=True):
+                a = b - len(words)
+                base = base_measures(text, words, number[a:b])
+                i, j = int(of_words[a]), int(of_words[b])
+                if j > i:
+                    own = np.sort(ids[i:j])
+                    n = np.diff(np.flatnonzero(own[1:] != own[:-1]), prepend=-1, append=j - i - 1) / (j - i)
+                    # of what a text of so many tokens can have at most
+                    entropy = float(-(n * np.log2(n)).sum() / np.log2(max(2, min(j - i, len(vocab.fallback)))))
+                    more = (base[0] / (j - i), base[0] / max(1, int(of_bytes[b] - of_bytes[a])), float(vocab.fallback[own].mean()), entropy)
+                else:
+                    more = (None,) * 4
+                rows.append((lang if lang is not None else script(text.decode("utf-8", "replace")), len(words), *base, *more))
+            kinds = [pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 4]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], names=names)
 
     return docs.select("doc_id", "lang", "text").mapInArrow(run, schema)
 
