@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from larder.operators.labels import TODAY, label_quantity, normalised, read_date, signed_cents
 from larder.sources import rendered
 
-PRICE = r"(-?[0-9]{1,4}[,.][0-9]{2}-?)(?: ?€)?(?: +([A-Z]))?$"
+PRICE = r"(-?[0-9]{1,7}[,.][0-9]{2}-?)(?: ?€)?(?: +([A-Z]))?$"
 WEIGHT = r"^([0-9]+[,.][0-9]{3}) ?kg ?x ?([0-9]+[,.][0-9]{2})"
 COUNT = r"^([0-9]{1,2}) ?x ?([0-9]+[,.][0-9]{2})"
 TOTAL = r"^(TOTAL(?! (REMISE|PROMO|HT|TVA))|NET A PAYER|A PAYER)"
