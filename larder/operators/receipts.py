@@ -1,7 +1,7 @@
 """Receipts as text: each line classed by what it says, details tied to the article above, totals checked.
 
-Lines stay rows: patterns class them in columns, a window within a receipt carries the article that a detail
-belongs to. A receipt is some dozens of lines, so no window is large.
+A receipt stays one row: its lines are an array, which patterns class line by line and one pass ties together. A
+receipt is some dozens of lines, so no array is large, and nothing is dealt out again after its text is there.
 """
 
 from __future__ import annotations
@@ -10,72 +10,115 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from larder.operators.labels import TODAY, label_quantity, normalised, read_date, signed_cents
+from larder.operators.labels import TODAY, label_quantity, normalised, read_date
 from larder.sources import rendered
 
-PRICE = r"(-?[0-9]{1,7}[,.][0-9]{2}-?)(?: ?€)?(?: +([A-Z]))?$"
+PRICE = r"(-?[0-9]{1,4}[,.][0-9]{2}-?)(?: ?€)?(?: +([A-Z]))?$"
+PAID = PRICE.replace("{1,4}", "{1,7}")  # totals are longer than prices of a line
 WEIGHT = r"^([0-9]+[,.][0-9]{3}) ?kg ?x ?([0-9]+[,.][0-9]{2})"
 COUNT = r"^([0-9]{1,2}) ?x ?([0-9]+[,.][0-9]{2})"
 TOTAL = r"^(TOTAL(?! (REMISE|PROMO|HT|TVA))|NET A PAYER|A PAYER)"
 SKIP = r"^(SOUS TOTAL|TVA|CB|CARTE|VISA|ESPECES|RENDU|TICKET|CAISSE|MERCI|SIRET|TEL|WWW|DATE|FIDELITE|BIENVENUE)"
 DISCOUNT = r"^(REMISE|REDUCTION|PROMO|COUPON|RABAIS)"
 VAT = r"^TVA +([A-Z]) +([0-9]{1,2}[,.][0-9]{2}) ?%"
+NAMED = ("TOT", "NET", "A P", "SOU", "TVA", "CAR", "VIS", "ESP", "REN", "TIC", "CAI", "MER", "SIR", "TEL", "WWW", "DAT", "FID", "BIE", "REM", "RED", "PRO", "COU", "RAB", "NOM")  # how the words above begin, beside CB: a quick look before patterns
+ARTICLE = "struct<label:string,cents:bigint,unread:boolean,vat:string,discount:bigint,qty:double,kg:boolean>"
+
+
+def _cents(price: Column) -> Column:
+    """Cents of what PAID found; null without, or with a sign before and behind."""
+    value = F.replace(F.replace(F.replace(price, F.lit(",")), F.lit(".")), F.lit("-")).try_cast("long")
+    return F.when(price.endswith("-"), F.when(~price.startswith("-"), -value)).when(price.startswith("-"), -value).otherwise(value)
+
+
+def _decimal(x: Column, pattern: str, group: int) -> Column:
+    return F.replace(F.regexp_extract(x, pattern, group), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def receipt_lines(receipts: DataFrame) -> DataFrame:
-    """receipt, line, kind, label, cents, qty, unit, each, vat (letter) of every line of receipts (receipt, text) that says something."""
-    rows = receipts.select("receipt", F.posexplode(F.split("text", "\\R")).alias("line", "raw"))
-    x = F.trim(F.regexp_replace("raw", " +", " "))
-    rows = rows.withColumn("x", x).where("x <> ''")
-    price = F.regexp_extract("x", PRICE, 1)
-    label = normalised(F.regexp_replace("x", PRICE, ""))
-    up = normalised(F.col("x"))
-    kind = (
-        F.when(up.rlike(TOTAL) & (price != ""), "total").when(up.rlike(VAT.replace("%", "")), "vat").when(up.rlike("^NOMBRE"), "count").when(F.col("x").rlike(WEIGHT), "weight").when(F.col("x").rlike(COUNT), "times")
-        .when(up.rlike(DISCOUNT) & (price != ""), "discount").when(up.rlike(SKIP), "skip").when((price != "") & label.rlike("[A-Z]{2}"), "article").when(F.col("x").rlike("[?]{3}"), "unread").otherwise("other")
-    )
-    decimal = lambda p, k: F.replace(F.regexp_extract("x", p, k), F.lit(","), F.lit(".")).try_cast("double")
-    return rows.select(
-        "receipt", "line", kind.alias("kind"), label.alias("label"), signed_cents(price).alias("cents"), F.coalesce(decimal(WEIGHT, 1), decimal(COUNT, 1)).alias("qty"),
-        F.round(F.coalesce(decimal(WEIGHT, 2), decimal(COUNT, 2)) * 100).cast("long").alias("each"), F.regexp_extract("x", PRICE, 2).alias("vat"), "x",
-    )
+    """receipts (receipt, text), with lines: an array of kind, label, cents, qty, each, vat (letter) and x of every line that says something."""
+    said = F.filter(F.transform(F.split(F.regexp_replace("text", "  +", " "), "[\n\x0b\f\r\x85\u2028\u2029]"), lambda x: F.trim(x)), lambda x: x != "")
+    priced = F.transform(said, lambda x: F.struct(x.alias("x"), F.split(F.regexp_replace(x, PAID, "\n$1\n$2"), "\n").alias("p")))  # what is before the price, the price, its letter
+    parted = F.transform(priced, lambda r: F.struct(r["x"].alias("x"), normalised(r["p"][0]).alias("label"), F.coalesce(F.get(r["p"], F.lit(1)), F.lit("")).alias("price"), F.coalesce(F.get(r["p"], F.lit(2)), F.lit("")).alias("vat")))
 
+    def kind(r: Column) -> Column:
+        x, label, paid, digit = r["x"], r["label"], r["price"] != "", (r["x"] >= "0") & (r["x"] < ":")
+        amount = F.when(digit & x.rlike(WEIGHT), "weight").when(digit & x.rlike(COUNT), "times")
+        bare = F.coalesce(amount, F.when(paid & label.rlike("[A-Z]{2}"), "article").when(F.contains(x, F.lit("???")), "unread").otherwise("other"))
+        vat = label.startswith("TVA") & F.when(paid, normalised(x)).otherwise(label).rlike(VAT.replace("%", ""))
+        named = F.when(paid & label.rlike(TOTAL), "total").when(vat, "vat").when(label.startswith("NOMBRE"), "count").when(paid & label.rlike(DISCOUNT), "discount").when(label.rlike(SKIP), "skip")
+        return F.when((F.left(label, F.lit(2)) == "CB") | F.left(label, F.lit(3)).isin(*NAMED), F.coalesce(named, bare)).otherwise(bare)
 
-def parsed(receipts: DataFrame) -> DataFrame:
-    """Articles: receipt, n, label, qty, unit, cents, discount, paid, vat rate, non_food, note.
+    classed = F.transform(parted, lambda r: F.struct(kind(r).alias("kind"), r.alias("r")))
+
+    def read(k: Column) -> Column:
+        r, weight, times = k["r"], k["kind"] == "weight", k["kind"] == "times"
+        qty = F.when(weight, _decimal(r["x"], WEIGHT, 1)).when(times, _decimal(r["x"], COUNT, 1))
+        each = F.when(weight, _decimal(r["x"], WEIGHT, 2)).when(times, _decimal(r["x"], COUNT, 2))
+        return F.struct(k["kind"].alias("kind"), r["label"].alias("label"), F.when(r["price"] != "", _cents(r["price"])).alias("cents"), qty.alias("qty"), F.round(each * 100).cast("long").alias("each"), r["vat"].alias("vat"), r["x"].alias("x"))
+
+    return receipts.withColumn("lines", F.transform(classed, read))
+
+
+def _tied(body: Column) -> Column:
+    """The articles of a receipt's lines with their details and discounts: ARTICLE each, in order.
+
+    The fold's state: the articles that are done, the last one, the price before (of the last article that has one),
+    and the details that wait for the article behind.
+    """
+    none = F.lit(None)
+    wait = lambda qty, kg: F.struct(qty.cast("double").alias("qty"), kg.cast("boolean").alias("kg"))
+    state = lambda done, last, price, waits: F.struct(done.alias("done"), last.alias("last"), price.cast("long").alias("price"), waits.alias("waits"))
+    with_last = lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["last"]))
+
+    def article(a: Column, discount: Column, qty: Column, kg: Column) -> Column:
+        return F.struct(a["label"].alias("label"), a["cents"].alias("cents"), a["unread"].alias("unread"), a["vat"].alias("vat"), discount.alias("discount"), qty.alias("qty"), kg.alias("kg"))
+
+    def told(a: Column, w: Column) -> Column:
+        return F.when(a.isNotNull(), article(a, a["discount"], F.greatest(a["qty"], w["qty"]), a["kg"] | w["kg"]))
+
+    def step(s: Column, x: Column) -> Column:
+        own = F.struct(x["label"].alias("label"), x["cents"].alias("cents"), (x["kind"] == "unread").alias("unread"), x["vat"].alias("vat"))
+        new = state(with_last(s), article(own, F.lit(0).cast("long"), s["waits"]["qty"], s["waits"]["kg"]), F.coalesce(x["cents"], s["price"]), wait(none, F.lit(False)))
+        cut = state(s["done"], F.when(s["last"].isNotNull(), article(s["last"], s["last"]["discount"] + F.coalesce(F.abs(x["cents"]), F.lit(0).cast("long")), s["last"]["qty"], s["last"]["kg"])), s["price"], s["waits"])
+        detail, weight = wait(x["qty"], x["kind"] == "weight"), x["kind"] == "weight"
+        fits = F.round(F.round(x["qty"] * 1000) * x["each"] / 1000) == s["price"]  # thousandths are exact
+        here = state(s["done"], told(s["last"], detail), s["price"], s["waits"])
+        later = state(s["done"], s["last"], s["price"], wait(F.greatest(s["waits"]["qty"], x["qty"]), s["waits"]["kg"] | weight))
+        return F.when(x["kind"].isin("article", "unread"), new).when(x["kind"] == "discount", cut).when(fits, here).otherwise(later)
+
+    zero = state(F.array().cast(f"array<{ARTICLE}>"), none.cast(ARTICLE), none, wait(none, F.lit(False)))
+    return F.aggregate(body, zero, step, lambda s: with_last(state(s["done"], told(s["last"], s["waits"]), s["price"], s["waits"])))
+
+
+def read_receipts(receipts: DataFrame) -> DataFrame:
+    """receipts with lines, total, and articles: an array of label, qty, unit, cents, discount, paid, rate, non_food, note.
 
     A weight or a count completes the article before it if that has no other, else the one behind it; a discount
     goes to the article before. What is behind the total is no article. One unreadable line takes what is missing
-    to the total, if that is up to 200 euros.
+    to the total, if that is up to 200 euros. Of two rates of one letter the first counts.
     """
     every = receipt_lines(receipts)
-    own = W.partitionBy("receipt")
-    order = own.orderBy("line")
-    upto, after = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(1, W.unboundedFollowing)
-    total = F.min(F.when(F.col("kind") == "total", F.struct("line", "cents"))).over(own)
-    every = every.withColumn("total", total["cents"]).withColumn("end", total["line"])
-    body = every.where("(end IS NULL OR line < end) AND kind IN ('article', 'unread', 'weight', 'times', 'discount')")
-    article = F.col("kind").isin("article", "unread")
-    price = F.last(F.when(article, F.col("cents")), ignorenulls=True).over(upto)
-    before = F.last(F.when(article, F.col("line")), ignorenulls=True).over(upto)
-    behind = F.first(F.when(article, F.col("line")), ignorenulls=True).over(after)
-    fits = F.round(F.round(F.col("qty") * 1000) * F.col("each") / 1000) == price  # thousandths are exact
-    body = body.withColumn("to", F.when(article | (F.col("kind") == "discount"), before).when(F.coalesce(fits, F.lit(False)), before).otherwise(F.coalesce(behind, before)))
-    detail = lambda c: F.max(F.when(F.col("kind").isin("weight", "times"), F.col(c)))
-    lines = body.where("to IS NOT NULL").groupBy("receipt", "to", "total").agg(
-        F.max(F.when(article, F.col("label"))).alias("label"), F.max(F.when(article, F.col("cents"))).alias("cents"), F.max(F.when(article, F.col("kind"))).alias("kind"), F.max(F.when(article, F.col("vat"))).alias("vat"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "discount", F.abs("cents"))), F.lit(0)).alias("discount"), detail("qty").alias("qty"), F.max(F.when(F.col("kind") == "weight", "kg")).alias("unit"),
-    )
-    by = W.partitionBy("receipt")
-    gap = F.col("total") - F.sum(F.coalesce("cents", F.lit(0)) - F.col("discount")).over(by)
-    lone = (F.col("kind") == "unread") & (F.count_if(F.col("kind") == "unread").over(by) == 1) & gap.between(1, 20_000)
-    lines = lines.withColumn("deduced", F.coalesce(lone, F.lit(False))).withColumn("cents", F.when(F.col("deduced"), gap).otherwise(F.col("cents"))).where("cents IS NOT NULL")
-    rates = every.where("kind = 'vat'").select("receipt", F.regexp_extract("x", VAT, 1).alias("vat"), F.replace(F.regexp_extract("x", VAT, 2), F.lit(","), F.lit(".")).try_cast("double").alias("rate")).dropDuplicates(["receipt", "vat"])
-    out = lines.join(rates, ["receipt", "vat"], "left")
-    return out.select(
-        "receipt", F.row_number().over(by.orderBy("to")).alias("n"), "label", F.coalesce("qty", F.lit(1.0)).alias("qty"), F.coalesce("unit", F.lit("piece")).alias("unit"), "cents", "discount", (F.col("cents") - F.col("discount")).alias("paid"),
-        "rate", F.coalesce(F.col("rate") >= 19, F.lit(False)).alias("non_food"), F.when(F.col("deduced"), "deduced from the total").alias("note"), "total",
-    )
+    place = F.array_position("lines.kind", F.lit("total")).cast("int")
+    every = every.withColumn("place", F.when(place > 0, place))
+    body = F.filter(F.coalesce(F.slice("lines", F.lit(1), F.col("place") - 1), "lines"), lambda x: x["kind"].isin("article", "unread", "weight", "times", "discount"))
+    rates = F.transform(F.filter("lines", lambda x: x["kind"] == "vat"), lambda x: F.struct(F.regexp_extract(x["x"], VAT, 1).alias("vat"), _decimal(x["x"], VAT, 2).alias("rate")))
+    every = every.withColumn("total", F.get("lines.cents", F.col("place") - 1)).withColumn("tied", _tied(body)).withColumn("rates", rates)
+    gap = F.col("total") - F.aggregate("tied", F.lit(0).cast("long"), lambda s, a: s + F.coalesce(a["cents"], F.lit(0).cast("long")) - a["discount"])
+    lone = F.size(F.filter("tied", lambda a: a["unread"])) == 1
+    every = every.withColumn("gap", F.when(lone, gap)).withColumn("gap", F.when(F.col("gap").between(1, 20_000), F.col("gap")))
+    found = F.transform("tied", lambda a: F.struct(a.alias("a"), F.when(a["unread"] & F.col("gap").isNotNull(), F.col("gap")).otherwise(a["cents"]).alias("cents"), F.get(F.filter("rates", lambda r: r["vat"] == a["vat"]), F.lit(0))["rate"].alias("rate")))
+    articles = F.transform(F.filter(found, lambda f: f["cents"].isNotNull()), lambda f: F.struct(
+        f["a"]["label"].alias("label"), F.coalesce(f["a"]["qty"], F.lit(1.0)).alias("qty"), F.when(f["a"]["kg"], "kg").otherwise("piece").alias("unit"), f["cents"].alias("cents"), f["a"]["discount"].alias("discount"), (f["cents"] - f["a"]["discount"]).alias("paid"),
+        f["rate"].alias("rate"), F.coalesce(f["rate"] >= 19, F.lit(False)).alias("non_food"), F.when(f["a"]["unread"] & F.col("gap").isNotNull(), "deduced from the total").alias("note"),
+    ))
+    return every.select("receipt", "lines", "total", articles.alias("articles"))
+
+
+def parsed(receipts: DataFrame) -> DataFrame:
+    """Articles: receipt, n, label, qty, unit, cents, discount, paid, vat rate, non_food, note."""
+    rows = read_receipts(receipts).select("receipt", "total", F.posexplode_outer("articles").alias("pos", "a")).where("pos IS NOT NULL")  # an inner one would be filtered first, and so read twice
+    return rows.select("receipt", (F.col("pos") + 1).alias("n"), "a.*", "total")
 
 
 def split_discount(cents: Column, parts: Column, place: Column) -> Column:
@@ -89,17 +132,19 @@ def receipt_articles(spark: SparkSession, d: str) -> DataFrame:
 
 def receipt_heads(spark: SparkSession, d: str) -> DataFrame:
     """Each receipt's day, printed total and what its articles come to; whether they agree."""
-    day = receipt_lines(rendered.receipts(spark, d)).groupBy("receipt").agg(F.max(read_date(F.regexp_extract("x", "^([0-9./-]+)", 1))).alias("day"))
-    sums = parsed(rendered.receipts(spark, d)).groupBy("receipt").agg(F.sum("paid").alias("paid"), F.max("total").alias("total"), F.count(F.lit(1)).alias("articles"))
-    return day.join(sums, "receipt").select("receipt", "day", "total", "paid", "articles", (F.col("paid") == F.col("total")).alias("agrees"))
+    own = read_receipts(rendered.receipts(spark, d))
+    days = F.transform(F.filter("lines.x", lambda x: (x >= "-") & (x < ":")), lambda x: read_date(F.regexp_extract(x, "^([0-9./-]+)", 1)))  # digits, points and signs are in this range
+    own = own.select("receipt", "total", F.array_max(days).alias("day"), F.aggregate("articles.paid", F.lit(0).cast("long"), lambda s, x: s + x).alias("paid"), F.size("articles").cast("long").alias("articles"))
+    head = F.struct("receipt", "day", "total", "paid", "articles", (F.col("paid") == F.col("total")).alias("agrees"))
+    return own.select(F.explode_outer(F.filter(F.array(head), lambda h: h["articles"] > 0)).alias("h")).where("h IS NOT NULL").select("h.*")
 
 
 def receipt_packs(spark: SparkSession, d: str) -> DataFrame:
     """For each article the pack that fits its label among 200, 500 and 1,000: the exact one within 2 %, else the nearest; for a weight the loose one."""
-    own = parsed(rendered.receipts(spark, d)).withColumn("q", label_quantity(F.col("label"))["value"])
+    own = parsed(rendered.receipts(spark, d)).select("receipt", "n", "unit", label_quantity(F.col("label"))["value"].alias("q"))
     packs = F.array(*map(F.lit, (200.0, 500.0, 1000.0)))
-    near = F.array_min(F.transform(packs, lambda p: F.struct(F.abs(p - F.col("q")).alias("far"), p.alias("pack"))))
-    return own.select("receipt", "n", F.when(F.col("unit") == "kg", "loose").when(F.col("q").isNull(), "piece").when(near["far"] <= near["pack"] * 0.02, "exact").otherwise("nearest").alias("how"), F.when((F.col("unit") != "kg") & F.col("q").isNotNull(), near["pack"]).alias("pack"))
+    own = own.withColumn("near", F.array_min(F.transform(packs, lambda p: F.struct(F.abs(p - F.col("q")).alias("far"), p.alias("pack")))))
+    return own.select("receipt", "n", F.when(F.col("unit") == "kg", "loose").when(F.col("q").isNull(), "piece").when(F.col("near.far") <= F.col("near.pack") * 0.02, "exact").otherwise("nearest").alias("how"), F.when((F.col("unit") != "kg") & F.col("q").isNotNull(), F.col("near.pack")).alias("pack"))
 
 
 def lot_savings(spark: SparkSession, d: str) -> DataFrame:
