@@ -9,7 +9,8 @@ from pyspark.sql.window import Window as W
 
 from larder.functions.text import fold_sql, slug, tokens
 from larder.operators import ingredient_lines
-from larder.sources.tables import table
+from larder.sources import rendered
+from larder.sources.tables import kept, table
 
 # fixed values: words that say nothing, words that describe a product without changing it, colours, other names of ingredients
 STOP = ("de", "du", "des", "la", "le", "les", "l", "d", "au", "aux", "a", "en", "et", "un", "une", "ou", "pour", "avec", "sans", "ici", "sur", "dans")
@@ -121,7 +122,8 @@ def _frame(spark: SparkSession, rows: list[tuple], *columns: tuple[str, T.DataTy
 
 def sheet_matches(spark: SparkSession, d: str) -> DataFrame:
     """The names that recipes' sheets are read to have, each once, and the parts that they name; what was learned of labels comes first."""
-    read = ingredient_lines.sheet_ingredients(spark, d).select("name").distinct()
+    texts = ingredient_lines.section_lines(rendered.sheets(spark, d), "recipe").select("text").distinct()  # orders repeat what they say: each text is read once
+    read = kept(ingredient_lines.ingredients(texts).select("name").distinct())  # every stage of the matching reads them
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     return match_labels(read.select(F.col("name").alias("id"), F.col("name").alias("label")), names, learned_aliases(spark, d).select("key", F.col("ingredient").alias("name")))
 

@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once for all that read it: in the checkpoint folder if the session has one, else by the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pack, store, day, cents, promo, and the line that orders prices of one day."""
     return table(spark, sf_dir, "lineitem").select(
